@@ -50,3 +50,31 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def annotate(df: DataFrame, text: str, keep: list[str], fields: str, build) -> DataFrame:
+    """Add columns that Python computes from one text column, batch by batch.
+
+    ``build()`` runs once a task and returns a function from a list of UTF-8 byte strings (None for
+    null) to a list of Arrow arrays, one for each of ``fields``.  The kept columns travel in the
+    struct ``row``, so no name of theirs can clash with a new one.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    kept = F.struct(*[F.col(quoted(c)) for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
+    slim = df.select(kept.alias("row"), F.col(quoted(text)).cast("string").cast("binary").alias("text"))
+    out = df.sparkSession.createDataFrame([], fields).schema
+    names = ["row", *out.names]
+
+    def run(batches):
+        work = build()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *work(b.column(1).to_pylist())], names=names)
+
+    schema = type(out)([slim.schema["row"], *out.fields])
+    return slim.mapInArrow(run, schema)

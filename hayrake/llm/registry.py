@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import token_store
+from . import decontaminate, token_store
 
 
 def queries() -> dict:
-    return {"op1_token_store": token_store.op1_token_store}
+    return {"op1_token_store": token_store.op1_token_store, "op6_decontaminate": decontaminate.op6_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": decontaminate.OP6_SQL}
