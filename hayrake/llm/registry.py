@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, token_store
+from . import decontaminate, language_id, token_store
 
 
 def queries() -> dict:
-    return {"op1_token_store": token_store.op1_token_store, "op6_decontaminate": decontaminate.op6_decontaminate}
+    return {"op1_token_store": token_store.op1_token_store, "op6_decontaminate": decontaminate.op6_decontaminate, "op9_language_id": language_id.op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
