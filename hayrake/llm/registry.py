@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, token_store
+from . import decontaminate, language_id, secrets, token_store
 
 
 def queries() -> dict:
-    return {"op1_token_store": token_store.op1_token_store, "op6_decontaminate": decontaminate.op6_decontaminate, "op9_language_id": language_id.op9_language_id}
+    return {
+        "op1_token_store": token_store.op1_token_store,
+        "op2_secrets": secrets.op2_secrets,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op9_language_id": language_id.op9_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.OP6_SQL}
+    return {
+        "op2_secrets": secrets.OP2_SQL,
+        "op6_decontaminate": decontaminate.OP6_SQL,
+    }

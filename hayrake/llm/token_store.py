@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,10 +33,25 @@ from .common import discard, prepare, stage_path, store
 MAX_BITS = 20
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 18
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 #: A single space between two visible characters starts a pre-token of its own, whatever surrounds it.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-_RISKY = re.compile(r" \s|\s |^\s|\s$")
+#: White space but the space and the line feed; a text without any of it needs no search for its cuts.
+_ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Words of ASCII and Latin letters, and their pre-tokens.
+_PLAIN = re.compile(" ?[!-~\xa1-\u024f]+")
+_PLAIN_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ {_L}{_N}]+")
+
+
+def _visible_bytes() -> dict[int, int]:
+    """Byte -> the character that byte-level BPE files write for it: unprintable bytes follow from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_VISIBLE = _visible_bytes()
 
 _RAW = (
     "file_no int, block_no int, first_token bigint, n_tokens bigint, "
@@ -50,12 +66,24 @@ _PACKED = (
 # ---------------------------------------------------------------- tokenising
 
 
+class _Places(dict):
+    """Word -> place of its ids; a word that is not known yet is encoded on the first look."""
+
+    def __init__(self, learn, lead: str):
+        self.learn, self.lead = learn, lead
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = self.learn(self.lead + word)
+        return at
+
+
 class MemoTokenizer:
-    """Whole-text ids of a ``tokenizers`` file, with one library call per distinct word.
+    """Whole-text ids of a byte-level BPE file of ``tokenizers``, with one look-up per word.
 
-    Byte-level BPE never merges across a pre-token boundary, and a single space between two visible
-    characters is always such a boundary.  The text is cut there, each distinct piece is
-    encoded once by the library, and ids are gathered by index.  The memo is bounded and restarts
+    BPE never merges across a pre-token boundary, and a single space between two visible characters is always
+    such a boundary.  The text is cut there, each distinct word is encoded once by the library, and ids
+    are gathered by index.  Plain Latin words are cut further, so that "word," and "word" share the model's work;
+    any other piece goes through the library's own pre-tokenizer.  The memo is bounded and restarts
     when full, so memory does not depend on the corpus.
     """
 
@@ -63,56 +91,55 @@ class MemoTokenizer:
         from tokenizers import Tokenizer
 
         self.lib, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.lib.model
+        names = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names)) or r"(?!)")
+        self.letters_only = not any(n.strip().isalpha() for n in names)
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.sizes = np.zeros(1 << 16, np.int32)
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        found = _SAFE_CUT.split(text) if _RISKY.search(text) else text.split(" ")
-        return [found[0], *[" " + w for w in found[1:]]]
-
-    def _learn(self, words: list[str]) -> None:
-        first = len(self.memo)
-        for lo in range(0, len(words), 4096):
-            for e in self.lib.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False):
-                ids = e.ids
-                n, k = len(ids), first
-                if self.used + n > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty(max(n, len(self.flat)), np.uint32)])
-                if k >= len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                    self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-                self.flat[self.used : self.used + n] = ids
-                self.starts[k], self.sizes[k] = self.used, n
-                self.used += n
-                first += 1
-        self.memo.update(zip(words, range(first - len(words), first), strict=True))
+        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.parts: dict[str, list[int]] = {}
+        self.first, self.later = _Places(self._learn, ""), _Places(self._learn, " ")
+
+    def _part(self, part: str) -> list[int]:
+        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_VISIBLE))]
+        self.parts[part] = ids
+        return ids
+
+    def _learn(self, piece: str) -> int:
+        known = self.parts
+        if self.letters_only and piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():
+            ids = known.get(piece) or self._part(piece)
+        elif _PLAIN.fullmatch(piece) and not self.special.search(piece):
+            ids = []
+            for part in _PLAIN_PART.findall(piece):
+                ids += known.get(part) or self._part(part)
+        else:
+            ids = self.lib.encode(piece, add_special_tokens=False).ids
+        self.starts.append(len(self.flat))
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+        return len(self.starts) - 1
+
+    def _places(self, text: str) -> np.ndarray:
+        odd = text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text)
+        words = _SAFE_CUT.split(text) if odd else text.split(" ")
+        at = np.empty(len(words), np.int64)
+        at[0] = self.first[words[0]]
+        at[1:] = np.fromiter(map(self.later.__getitem__, words[1:]), np.int64, len(words) - 1)
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > self.limit or self.used > 8 * self.limit:
+        if len(self.starts) > self.limit or len(self.flat) > 8 * self.limit:
             self.reset()
-        cut = [self.pieces(t) if t else [] for t in texts]
-        memo = self.memo
-        fresh = {w for ws in cut for w in ws if w not in memo}
-        if fresh:
-            self._learn(list(fresh))
-        get, out = memo.__getitem__, []
-        for ws in cut:
-            at = np.fromiter(map(get, ws), np.int64, len(ws))
-            size = self.sizes[at]
-            total = int(size.sum())
-            if not total:
-                out.append(np.empty(0, np.uint32))
-                continue
-            shift = np.repeat(self.starts[at] - (np.cumsum(size) - size), size)
-            out.append(self.flat[shift + np.arange(total)])
-        return out
+        places = [self._places(t) if t else np.empty(0, np.int64) for t in texts]
+        at = np.concatenate([np.empty(0, np.int64), *places])
+        size, start = np.array(self.sizes, np.int64)[at], np.array(self.starts, np.int64)[at]
+        end = np.concatenate([[0], np.cumsum(size)])
+        ids = np.array(self.flat, np.uint32)[np.repeat(start - end[:-1], size) + np.arange(end[-1])]
+        past = end[np.cumsum([0, *map(len, places)])].tolist()
+        return [ids[a:b] for a, b in zip(past[:-1], past[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -143,8 +170,8 @@ def tokenised_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, bloc
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _RAW_ARROW, strict=True)], names=_RAW_NAMES)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
                 for doc_id, got in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist()), strict=True):
                     ids.append(doc_id)
                     sizes.append(len(got) + 1)

@@ -12,7 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_pieces_encode_as_the_whole_text():
     tok, lib = ts.MemoTokenizer(PATH), Tokenizer.from_file(PATH)
-    texts = ["", " ", "a", " a", "a ", "a  b", "a \n b\n\nc", "x y z", "Hello, world's 123 été", "\tq r\t", "a\x1c b", "日本 語 🙂"]
+    texts = ["", " ", "a", " a", "a ", "a  b", "x   foo  bar", " lead", "\u00e9 b", "a \n b\n\nc", "x y z", "Hello, world's 123 été", "\tq r\t", "a\x1c b", "日本 語 🙂", "ſpecial don't we'll 3² a<|endoftext|>b <|endoftext|>", "ǅ ʼn ×÷ a\xad b\xa0c d"]
     for text, got in zip(texts, tok.encode(texts), strict=True):
         assert got.tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
