@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, secrets, token_store
+from . import decontaminate, language_id, secrets, token_store, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_store": token_store.op1_token_store,
         "op2_secrets": secrets.op2_secrets,
+        "op4_warc": warc.op4_warc,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op9_language_id": language_id.op9_language_id,
     }
@@ -17,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_secrets": secrets.OP2_SQL,
+        "op4_warc": warc.OP4_SQL,
         "op6_decontaminate": decontaminate.OP6_SQL,
     }
