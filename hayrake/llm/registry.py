@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, secrets, token_store, warc
+from . import decontaminate, language_id, line_dedup, secrets, token_store, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_secrets": secrets.op2_secrets,
         "op4_warc": warc.op4_warc,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op9_language_id": language_id.op9_language_id,
     }
 
