@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, secrets, token_store, warc
+from . import decontaminate, language_id, line_dedup, pieces, secrets, token_store, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_store": token_store.op1_token_store,
         "op2_secrets": secrets.op2_secrets,
+        "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_warc": warc.op4_warc,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_line_dedup": line_dedup.op7_line_dedup,
