@@ -33,6 +33,7 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: The member that ends every record.
 END = gzip.compress(b"\r\n\r\n", mtime=0)
 MOST_RECORDS = 20_000
+_PIECE = 1 << 14
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)+)\r\n")
@@ -146,14 +147,18 @@ def parse(data: bytes, at: int, closed: bool) -> tuple[dict, bytes, int]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    unzip = zlib.decompressobj(31)
+    if data.startswith(END, at):
+        return b"", at + len(END)
+    unzip, parts = zlib.decompressobj(31), []
     try:
-        content = unzip.decompress(memoryview(data)[at:])
+        while not unzip.eof and at < len(data):  # by pieces: zlib copies what it leaves unused
+            parts.append(unzip.decompress(data[at : at + _PIECE]))
+            at = min(at + _PIECE, len(data))
     except zlib.error as e:
         raise Bad("member") from e
     if not unzip.eof:
         raise Bad("member")
-    return content, len(data) - len(unzip.unused_data)
+    return b"".join(parts), at - len(unzip.unused_data)
 
 
 def _unit(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
