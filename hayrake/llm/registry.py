@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, pieces, secrets, token_store, warc
+from . import decontaminate, language_id, line_dedup, pieces, secrets, token_store, url_filter, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_warc": warc.op4_warc,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_url_filter": url_filter.op8_url_filter,
         "op9_language_id": language_id.op9_language_id,
     }
 
