@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, pieces, secrets, token_store, url_filter, warc
+from . import decontaminate, language_id, line_dedup, near_join, pieces, secrets, token_store, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_secrets": secrets.op2_secrets,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_warc": warc.op4_warc,
+        "op5_near_join": near_join.op5_near_join,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_url_filter": url_filter.op8_url_filter,
