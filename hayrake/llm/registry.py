@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, near_join, pieces, secrets, token_store, url_filter, warc
+from . import decontaminate, language_id, line_dedup, near_join, pieces, secrets, token_store, url_filter, warc, webp
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_language_id": language_id.op9_language_id,
+        "op10_webp": webp.op10_webp,
     }
 
 
