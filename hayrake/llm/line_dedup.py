@@ -162,14 +162,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prepare(docs.sparkSession)
     keyed = _keyed(docs)
     copies, _ = repeated_windows(keyed, min_words)
-    copies = copies.select(F.col("doc_id").alias("c_id"), F.col("hash").alias("c_hash"), "windows")
-    joined = keyed.join(copies, [F.col("doc_id").eqNullSafe(F.col("c_id")), F.col("hash") == F.col("c_hash")], "left")
+    copies = copies.select(F.col("doc_id").alias("c_id"), F.col("hash").alias("c_hash"), "windows").hint("shuffle_hash")
+    same = [F.col("doc_id").eqNullSafe(F.col("c_id")), F.col("hash") == F.col("c_hash")]
+    joined = keyed.drop("text").join(copies, same, "left").select("row", F.col("row.text").cast("string").alias("text"), "windows")
     lines = _lines(F.col("text"))
-    joined = joined.select("row", "text", "windows", F.when(F.col("row.text").isNotNull(), F.size(lines)).otherwise(0).alias("n_lines"))
-    changed = joined.where("windows is not null").select("row", "n_lines", _without(lines, F.col("windows")).alias("kept"))
-    changed = changed.select("row", F.col("n_lines").cast("bigint"), F.col("kept.n_removed").cast("bigint").alias("n_removed"), F.col("kept.text").alias("text"))
-    same = joined.where("windows is null").select("row", F.col("n_lines").cast("bigint"), F.lit(0).cast("bigint").alias("n_removed"), F.col("row.text").cast("string").alias("text"))
-    return changed.unionByName(same)
+    kept = F.when(F.col("windows").isNotNull(), _without(lines, F.col("windows")))
+    out = joined.select("row", "text", F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).cast("bigint").alias("n_lines"), kept.alias("kept"))
+    changed = F.col("kept").isNotNull()
+    n_removed = F.when(changed, F.col("kept.n_removed")).otherwise(0).cast("bigint")
+    return out.select("row", "n_lines", n_removed.alias("n_removed"), F.when(changed, F.col("kept.text")).otherwise(F.col("text")).alias("text"))
 
 
 def keep_first_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
