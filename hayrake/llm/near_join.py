@@ -274,7 +274,7 @@ def groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 [pa.array(fps[keep]), pa.array([_signed(sets[k]) for k in keep], pa.list_(pa.int64()))], names=["fp", "shingles"]
             )
 
-    texts = slim.join(holders, slim["doc_id"].eqNullSafe(holders["holder"])).select("fp", "text")
+    texts = slim.join(holders.hint("shuffle_hash"), slim["doc_id"].eqNullSafe(holders["holder"])).select("fp", "text")
     sets = texts.mapInArrow(expand, "fp bigint, shingles array<bigint>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
     sets, sets_path = store(sets, "near-sets")
     checked, checked_path = store(compared(stars, sets), "near-checked")
@@ -326,6 +326,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     keyed = docs.select(whole.alias("row"), F.col("doc_id").cast("bigint").alias("k_id"), _hash(F.col("text").cast("string")).alias("k_hash"))
 
     def against(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.hint("shuffle_hash")
         return rows.join(some, [rows["k_id"].eqNullSafe(some["doc_id"]), rows["k_hash"] == some["text_hash"]], how)
 
     kept = against(keyed, keys.where(~F.col("stays")), "left_anti")
