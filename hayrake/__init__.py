@@ -1,0 +1 @@
+"""Hybrid retrieval and candidate ranking as DataFrame plans."""
