@@ -12,8 +12,9 @@ its empty signatures out if no more of its partitions have one than that; else i
 
 Sets with equal shingles are one set from the start.  Of the sets under a signature each is compared with the least one,
 exactly; then, only where the sets under a signature still fall into several groups, with the members of the other
-groups that the triangle inequality does not rule out.  So no link that could join two groups is left out, and
-pairs within a group are not expanded.
+groups that two bounds do not rule out: the triangle inequality, and the parities of the sets in PARITIES buckets (every
+differing shingle turns one parity, so sets differ at least as often as their parities do).  So no link that
+could join two groups is left out, and pairs within a group are not expanded.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import discard, prepare, quoted, store, table
 
 MEMO_WORDS = 500_000
+PARITIES = 512
+_P = [f"p{k}" for k in range(PARITIES // 64)]
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,6 +148,12 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each bucket holds an odd number of shingles, as 64-bit numbers."""
+    odd = np.bincount((_mix(shingles ^ _M) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 # ---------------------------------------------------------------- frames
 
 
@@ -270,18 +279,19 @@ def groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
             fps = np.array([fingerprint(s) or 0 for s in sets], np.int64)
             keep = [k for k, fp in enumerate(b.column(0).to_pylist()) if len(sets[k]) and fps[k] == fp]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fps[keep]), pa.array([_signed(sets[k]) for k in keep], pa.list_(pa.int64()))], names=["fp", "shingles"]
-            )
+            odd = np.array([parities(sets[k]) for k in keep], np.int64).reshape(len(keep), len(_P))
+            shingles = pa.array([_signed(sets[k]) for k in keep], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[keep]), shingles, *(pa.array(odd[:, j]) for j in range(len(_P)))], names=["fp", "shingles", *_P])
 
     texts = slim.join(holders.hint("shuffle_hash"), slim["doc_id"].eqNullSafe(holders["holder"])).select("fp", "text")
-    sets = texts.mapInArrow(expand, "fp bigint, shingles array<bigint>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    schema = "fp bigint, shingles array<bigint>, " + ", ".join(f"{c} bigint" for c in _P)
+    sets = texts.mapInArrow(expand, schema).groupBy("fp").agg(*[F.first(c).alias(c) for c in ("shingles", *_P)])
     sets, sets_path = store(sets, "near-sets")
     checked, checked_path = store(compared(stars, sets), "near-checked")
     links = checked.where(similar(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     label, label_path = components(links)
 
-    rest, rest_path = store(_open_pairs(met, checked, label, percent), "near-rest")
+    rest, rest_path = store(_open_pairs(met, checked, label, sets, percent), "near-rest")
     more = compared(rest, sets)
     more, more_path = store(more.where(similar(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "near-more")
     if not more.isEmpty():
@@ -291,22 +301,25 @@ def groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return member.join(label, "fp", "left").select("doc_id", "text_hash", "n_shingles", "fp", F.coalesce("comp", "fp").alias("comp"))
 
 
-def _open_pairs(met: DataFrame, checked: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs under one signature, in different groups, that their distances from the hub do not rule out.
+def _open_pairs(met: DataFrame, checked: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs under one signature, in different groups, that neither bound rules out.
 
-    Jaccard distance is a metric: sets whose distances from one third set differ by more than the limit
-    are farther apart than the limit.
+    Jaccard distance is a metric: sets whose distances from one third set, the hub, differ by more than the limit are
+    farther apart than the limit.  Both bounds are conditions of the join, so pairs that they rule out are not made.
     """
     placed = met.join(label, "fp", "left").select("sig", "hub", "fp", F.coalesce("comp", "fp").alias("comp"))
     several = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
     union = F.col("n_a") + F.col("n_b") - F.col("inter")
     far = checked.select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.col("n_b").alias("n"), (1 - F.col("inter") / union).alias("far"))
-    left = placed.join(several, "sig", "left_semi").join(far, ["hub", "fp"]).select("sig", "fp", "comp", "n", "far")
+    left = placed.join(several, "sig", "left_semi").join(far, ["hub", "fp"]).select("sig", "fp", "comp", "n", "far").join(sets.select("fp", *_P), "fp")
+    left = left.select("sig", "fp", "comp", "n", "far", *_P)
     a, b = (left.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in left.columns[1:]]) for side in "ab")
     limit = (100 - percent) / 100 + 1e-9
+    apart = sum([F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _P], F.lit(0))
     return (
         a.join(b, "sig")
         .where("fp_a < fp_b and comp_a <> comp_b")
+        .where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
         .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= limit))
         .select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
         .distinct()
