@@ -162,7 +162,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prepare(docs.sparkSession)
     keyed = _keyed(docs)
     copies, _ = repeated_windows(keyed, min_words)
-    copies = copies.select(F.col("doc_id").alias("c_id"), F.col("hash").alias("c_hash"), "windows").hint("shuffle_hash")
+    copies = copies.select(F.col("doc_id").alias("c_id"), F.col("hash").alias("c_hash"), "windows").hint("merge")
     same = [F.col("doc_id").eqNullSafe(F.col("c_id")), F.col("hash") == F.col("c_hash")]
     joined = keyed.drop("text").join(copies, same, "left").select("row", F.col("row.text").cast("string").alias("text"), "windows")
     lines = _lines(F.col("text"))
