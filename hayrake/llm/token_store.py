@@ -33,7 +33,7 @@ from .common import discard, prepare, stage_path, store
 MAX_BITS = 20
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 18
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 1_500_000
 #: A single space between two visible characters starts a pre-token of its own, whatever surrounds it.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space but the space and the line feed; a text without any of it needs no search for its cuts.
@@ -99,22 +99,29 @@ class MemoTokenizer:
 
     def reset(self) -> None:
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.first, self.later = _Places(self._learn, ""), _Places(self._learn, " ")
 
-    def _part(self, part: str) -> list[int]:
-        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_VISIBLE))]
-        self.parts[part] = ids
+    def _tokens(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_VISIBLE))]
+
+    def _part(self, part: str):
+        """Ids of a pre-token: those of the same word where it is known, else kept apart."""
+        at = self.later.get(part[1:]) if part[0] == " " else self.first.get(part)
+        if at is not None:
+            return self.flat[self.starts[at] : self.starts[at] + self.sizes[at]]
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = tuple(self._tokens(part))
         return ids
 
     def _learn(self, piece: str) -> int:
-        known = self.parts
         if self.letters_only and piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():
-            ids = known.get(piece) or self._part(piece)
+            ids = self._tokens(piece)
         elif _PLAIN.fullmatch(piece) and not self.special.search(piece):
             ids = []
             for part in _PLAIN_PART.findall(piece):
-                ids += known.get(part) or self._part(part)
+                ids += self._part(part)
         else:
             ids = self.lib.encode(piece, add_special_tokens=False).ids
         self.starts.append(len(self.flat))
