@@ -52,6 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MEMOS: dict = {}
+
+
+def claim(name: str, clear) -> None:
+    """Call at a task's start: empties the memos that other operators left in this Python worker."""
+    for other in [k for k in _MEMOS if k != name]:
+        _MEMOS.pop(other)()
+    _MEMOS[name] = clear
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, quoted, store, table
+from .common import claim, discard, prepare, quoted, store, table
 
 MEMO_WORDS = 500_000
 PARITIES = 512
@@ -165,6 +165,7 @@ def members(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, fp) of every row; fp is null where the set is empty."""
 
     def run(batches):
+        claim("shingles", _HASHES.clear)
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -179,6 +180,7 @@ def shared_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(sig, hub, fp): under every signature that several sets have, the least one is the hub of each other."""
 
     def sign(batches):
+        claim("shingles", _HASHES.clear)
         for b in batches:
             sigs, fps, held = [], [], 0
             for t in b.column(1).to_pylist():
@@ -275,6 +277,7 @@ def groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     holders, holders_path = store(holders.withColumnRenamed("doc_id", "holder"), "near-holders")
 
     def expand(batches):
+        claim("shingles", _HASHES.clear)
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
             fps = np.array([fingerprint(s) or 0 for s in sets], np.int64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, prepare, table
+from .common import annotate, claim, prepare, table
 
 MARK = "▁"
 MEMO_WORDS = 600_000
@@ -97,8 +97,12 @@ class PieceModel:
             node[""] = (s, k)
         self.bytes_of = [self._bytes(p, t) for p, _, t in self.pieces]
         self.limit = limit
+        self.reset()
+
+    def reset(self) -> None:
         self.memo: dict[str, int] = {}
         self.ids: list[list[int]] = []
+        self.pairs.clear()
 
     @staticmethod
     def _bytes(piece: str, kind: int) -> bytes:
@@ -238,6 +242,7 @@ def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
     def build():
         m = model(path)
+        claim("pieces", m.reset)
 
         def work(texts):
             ids, decoded = [], []
@@ -267,6 +272,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def build():
         m = model(path)
+        claim("pieces", m.reset)
 
         def work(texts):
             out = []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, stage_path, store
+from .common import claim, discard, prepare, stage_path, store
 
 MAX_BITS = 20
 CHECKPOINT = 128
@@ -168,6 +168,7 @@ def tokenised_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, bloc
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = _tokenizer(tokenizer_path)
+        claim("tokens", tok.reset)
         kind = _id_type(tok.lib.get_vocab_size())
         file_no, block_no, first = TaskContext.get().partitionId(), 0, 0
         ids, sizes, parts, held = [], [], [], 0
