@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import claim, discard, prepare, quoted, store, table
 
 MEMO_WORDS = 500_000
-PARITIES = 512
+PARITIES = 1024
 _P = [f"p{k}" for k in range(PARITIES // 64)]
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -294,7 +294,7 @@ def groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = checked.where(similar(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     label, label_path = components(links)
 
-    rest, rest_path = store(_open_pairs(met, checked, label, sets, percent), "near-rest")
+    rest, rest_path = store(_open_pairs(checked, label, sets, percent), "near-rest")
     more = compared(rest, sets)
     more, more_path = store(more.where(similar(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "near-more")
     if not more.isEmpty():
@@ -304,23 +304,26 @@ def groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return member.join(label, "fp", "left").select("doc_id", "text_hash", "n_shingles", "fp", F.coalesce("comp", "fp").alias("comp"))
 
 
-def _open_pairs(met: DataFrame, checked: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs under one signature, in different groups, that neither bound rules out.
+def _open_pairs(checked: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that were compared with one hub, in different groups, that neither bound rules out.
+
+    Sets under one signature have its hub in common, so these are all pairs under one signature, and few pairs meet at
+    more than a few hubs, while similar sets meet under many signatures.
 
     Jaccard distance is a metric: sets whose distances from one third set, the hub, differ by more than the limit are
     farther apart than the limit.  Both bounds are conditions of the join, so pairs that they rule out are not made.
     """
-    placed = met.join(label, "fp", "left").select("sig", "hub", "fp", F.coalesce("comp", "fp").alias("comp"))
-    several = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
     union = F.col("n_a") + F.col("n_b") - F.col("inter")
     far = checked.select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.col("n_b").alias("n"), (1 - F.col("inter") / union).alias("far"))
-    left = placed.join(several, "sig", "left_semi").join(far, ["hub", "fp"]).select("sig", "fp", "comp", "n", "far").join(sets.select("fp", *_P), "fp")
-    left = left.select("sig", "fp", "comp", "n", "far", *_P)
-    a, b = (left.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in left.columns[1:]]) for side in "ab")
+    placed = far.join(label, "fp", "left").select("hub", "fp", F.coalesce("comp", "fp").alias("comp"), "n", "far")
+    several = placed.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("hub")
+    left = placed.join(several, "hub", "left_semi").join(sets.select("fp", *_P), "fp")
+    left = left.select("hub", "fp", "comp", "n", "far", *_P)
+    a, b = (left.select("hub", *[F.col(c).alias(f"{c}_{side}") for c in left.columns[1:]]) for side in "ab")
     limit = (100 - percent) / 100 + 1e-9
     apart = sum([F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _P], F.lit(0))
     return (
-        a.join(b, "sig")
+        a.join(b, "hub")
         .where("fp_a < fp_b and comp_a <> comp_b")
         .where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
         .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= limit))
