@@ -2,6 +2,9 @@
 
 Names such as ``cheappills`` are split by unigram Viterbi over word counts of all URLs; then naive Bayes scores the words
 of host and path.  It learns from the URLs that the rules judge and from a short list of marked words.
+
+Both models are over all words: counts and weights are tables, and distinct letter runs are joined with them.  Only the
+split and weights of the most frequent runs are broadcast; URLs with others join the table.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, quoted, table
+from .common import discard, prepare, quoted, store, table
 
 #: (verdict, host, path prefix): a rule fits its host and all subdomains, the longest wins.
 RULES = [
@@ -27,9 +30,11 @@ RULES = [
 #: Words that count as seen in blocked URLs, SEED_WEIGHT times each.
 SEEDS = ["adult", "bet", "casino", "cheap", "dating", "gambling", "loan", "nude", "pills", "poker", "porn", "sex", "viagra", "warez", "xxx"]
 SEED_WEIGHT = 1000
-#: Most words that a model keeps, by count; bounds what executors hold.
+#: Most letter runs whose split and weights executors hold, by count; the others are joined, so no result depends on it.
 MODEL_WORDS = 100_000
 LONGEST = 24
+#: Words up to this length are few whatever the input (26 + 26**2 + 26**3), and so are broadcast whole.
+SHORT = 3
 SMOOTHING = 1.0
 _TOKEN = "[A-Za-z]+"
 
@@ -54,8 +59,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 class Segmenter:
     """Most probable split of letters into words; an unknown string of n letters has 10 / (total * 10**n)."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int = 0):
+        self.total = total or sum(counts.values()) or 1
         self.score = {w: math.log(n / self.total) for w, n in counts.items() if n and len(w) <= LONGEST}
         self.memo: dict[str, list[str]] = {}
 
@@ -108,8 +113,11 @@ class NaiveBayes:
         self.prior = math.log((docs.get("block", 0) + 1) / (docs.get("allow", 0) + 1))
 
     def p_block(self, words: list[str]) -> float:
-        odds = self.prior + sum(self.weight.get(w, 0.0) for w in words)
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+        return chance(self.prior + sum(self.weight.get(w, 0.0) for w in words))
+
+
+def chance(odds: float) -> float:
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
 def _parsed(pages: DataFrame, rules) -> DataFrame:
@@ -122,14 +130,71 @@ def _parsed(pages: DataFrame, rules) -> DataFrame:
     return out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("by_rule", verdicts)
 
 
-def word_counts(parsed: DataFrame) -> dict[str, int]:
-    """Counts of the letter runs of all hosts and paths; the MODEL_WORDS most frequent, ties by word."""
+def word_counts(parsed: DataFrame) -> DataFrame:
+    """word, n: counts of the letter runs of all hosts and paths, SEED_WEIGHT at least for SEEDS."""
     token = F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit("[a-z]+"), F.lit(0)))
     counts = parsed.select(token.alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
-    found = {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(MODEL_WORDS).collect()}
-    for w in SEEDS:
-        found[w] = max(found.get(w, 0), SEED_WEIGHT)
-    return found
+    seeds = parsed.sparkSession.createDataFrame([(w, SEED_WEIGHT) for w in SEEDS], "word string, n bigint")
+    return counts.unionByName(seeds).groupBy("word").agg(F.max("n").alias("n"))
+
+
+def token_counts(parsed: DataFrame) -> DataFrame:
+    """mark, token, n, allow, block: how often each letter run stands in hosts and (mark /) paths, and how often by verdict of a rule."""
+
+    def runs(name, mark):
+        found = F.regexp_extract_all(F.col(name), F.lit(_TOKEN), F.lit(0))
+        return F.transform(found, lambda t: F.struct(F.lit(mark).alias("mark"), F.lower(t).alias("token")))
+
+    each = parsed.select("by_rule", F.explode(F.concat(runs("host", ""), runs("path", "/"))).alias("t")).select("by_rule", "t.*")
+    verdicts = [F.count_if(F.col("by_rule") == v).alias(v) for v in ("allow", "block")]
+    return each.groupBy("mark", "token").agg(F.count("*").alias("n"), *verdicts)
+
+
+def segmented(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """token, words: every distinct token, split over all words of counts.
+
+    The parts of a token are joined with the counts.  They come back under a hash of the token, as long tokens have
+    many parts; where two tokens share a hash, each only sees true counts of words that it does not hold.
+    """
+    total = counts.agg(F.sum("n")).first()[0]
+    short = {r.word: r.n for r in counts.where(F.length("word") <= SHORT).collect()}
+    keyed = tokens.select("token").distinct().withColumn("key", F.xxhash64("token"))
+
+    def parts(batches):
+        for b in batches:
+            for token, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for at in range(0, len(token), 2000):
+                    starts = range(at, min(at + 2000, len(token)))
+                    found = list({token[i:j] for i in starts for j in range(i + SHORT + 1, min(len(token), i + LONGEST) + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.string())], names=["key", "word"])
+
+    known = keyed.mapInArrow(parts, "key bigint, word string").join(counts.where(F.length("word") > SHORT), "word")
+    known = known.groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+
+    def cut(batches):
+        for b in batches:
+            tokens, known = (c.to_pylist() for c in b.columns)
+            seg = Segmenter(short | {w["word"]: w["n"] for k in known for w in k or ()}, total)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([seg.words(t) for t in tokens], pa.list_(pa.string()))], names=["token", "words"])
+
+    return keyed.join(known, "key", "left").select("token", "known").mapInArrow(cut, "token string, words array<string>")
+
+
+def weighted(tokens: DataFrame, cuts: DataFrame) -> DataFrame:
+    """mark, token, n, words, weights: every token's features and their naive Bayes weights, over all words; 0 for unknown ones."""
+    spark = tokens.sparkSession
+    named = F.transform("words", lambda w: F.concat("mark", w))
+    split = tokens.join(cuts, "token").select("mark", "token", "n", "allow", "block", F.posexplode(named).alias("pos", "word"))
+    seeds = spark.createDataFrame([(mark + w, 0, SEED_WEIGHT) for w in SEEDS for mark in ("", "/")], "word string, allow bigint, block bigint")
+    seen = split.where("allow + block > 0").select("word", "allow", "block").unionByName(seeds)
+    features = seen.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    size, allow, block = features.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
+    rate = lambda v, total: F.log((F.col(v) + SMOOTHING) / (total + SMOOTHING * size))
+    weights = features.select("word", (rate("block", block) - rate("allow", allow)).alias("weight"))
+    part = F.struct("pos", "word", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    whole = split.select("mark", "token", "n", "pos", "word").join(weights, "word", "left").groupBy("mark", "token")
+    whole = whole.agg(F.first("n").alias("n"), F.sort_array(F.collect_list(part)).alias("parts"))
+    return whole.select("mark", "token", "n", F.col("parts.word").alias("words"), F.col("parts.weight").alias("weights"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -141,43 +206,54 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     spark = prepare(pages.sparkSession)
     parsed = _parsed(pages, rules)
     slim = _parsed(pages.select("url"), rules).drop("row")
-    shared = spark.sparkContext.broadcast(Segmenter(word_counts(slim)))
-
-    def segment(batches):
-        cut = shared.value
-        for b in batches:
-            verdicts, words = [], []
-            for host, path, verdict in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, p = cut.tokens(host, path)
-                verdicts.append(verdict)
-                words.append(h + p)
-            yield pa.RecordBatch.from_arrays([pa.array(verdicts, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["verdict", "words"])
-
-    labelled = slim.where("by_rule is not null")
-    docs = {r.by_rule: r["count"] for r in labelled.groupBy("by_rule").count().collect()}
-    seen = labelled.select("host", "path", "by_rule").mapInArrow(segment, "verdict string, words array<string>")
-    counts = seen.select("verdict", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block")
-    )
-    top = counts.orderBy(F.desc(F.col("allow") + F.col("block")), "word").limit(MODEL_WORDS).collect()
-    rows = [(v, r.word, r[v]) for r in top for v in ("allow", "block") if r[v]]
-    rows += [("block", mark + w, SEED_WEIGHT) for w in SEEDS for mark in ("", "/")]
-    bayes = spark.sparkContext.broadcast(NaiveBayes(rows, docs))
-    extra = spark.createDataFrame([], "p_block double, words array<string>").schema
+    docs = {r.by_rule: r["count"] for r in slim.where("by_rule is not null").groupBy("by_rule").count().collect()}
+    prior = NaiveBayes([], docs).prior
+    counts, counts_at = store(word_counts(slim), "url-words")
+    tokens, tokens_at = store(token_counts(slim), "url-tokens")
+    cuts, cuts_at = store(segmented(tokens, counts), "url-cuts")
+    split, split_at = store(weighted(tokens, cuts), "url-weights")
+    for at in (counts_at, tokens_at, cuts_at):
+        discard(spark, at)
+    top = split.orderBy(F.desc("n"), "mark", "token").limit(MODEL_WORDS).collect()
+    shared = spark.sparkContext.broadcast({(r.mark, r.token): (r.words, r.weights) for r in top})
     carried = ["row", "host", "path", "rule", "by_rule"]
+    extra = spark.createDataFrame([], "p_block double, words array<string>").schema
     schema = type(extra)([*(parsed.schema[c] for c in carried), *extra.fields])
 
+    def keys(host, path):
+        return [(mark, t.lower()) for mark, s in (("", host), ("/", path)) for t in re.findall(_TOKEN, s)]
+
     def score(batches):
-        cut, nb = shared.value, bayes.value
+        """Rows with a token that is neither shared nor in a further column ``more`` get null."""
         for b in batches:
+            more = b.column(len(carried)).to_pylist() if b.num_columns > len(carried) else [()] * b.num_rows
             odds, words = [], []
-            for host, path in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                h, p = cut.tokens(host, path)
-                odds.append(nb.p_block(h + p))
-                words.append(h + p)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(odds, pa.float64()), pa.array(words, pa.list_(pa.string()))], names=schema.names)
+            for host, path, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), more, strict=True):
+                held = {(m["mark"], m["token"]): (m["words"], m["weights"]) for m in own}
+                parts = [shared.value.get(k) or held.get(k) for k in keys(host, path)]
+                whole = None not in parts
+                odds.append(chance(prior + sum(x for _, weights in parts for x in weights)) if whole else None)
+                words.append([w for ws, _ in parts for w in ws] if whole else None)
+            arrays = [*b.columns[: len(carried)], pa.array(odds, pa.float64()), pa.array(words, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    def lacking(batches):
+        for b in batches:
+            rows = [(h, p, *k) for h, p in zip(*(c.to_pylist() for c in b.columns), strict=True) for k in set(keys(h, p)) if k not in shared.value]
+            arrays = [pa.array([r[k] for r in rows], pa.string()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "mark", "token"])
 
     scored = parsed.select(*carried).mapInArrow(score, schema)
+    if len(top) < MODEL_WORDS:
+        discard(spark, split_at)
+    else:
+        # the tokens not shared are rare, so no key of these joins has many rows
+        left = scored.where("p_block is null").select(*carried)
+        lacked = left.select("host", "path").distinct().mapInArrow(lacking, "host string, path string, mark string, token string")
+        found = lacked.join(split.drop("n"), ["mark", "token"]).groupBy("host", "path")
+        found = found.agg(F.collect_list(F.struct("mark", "token", "words", "weights")).alias("more"))
+        rest = left.join(found, ["host", "path"]).select(*carried, "more").mapInArrow(score, schema)
+        scored = scored.where("p_block is not null").unionByName(rest)
     verdict = F.coalesce("by_rule", F.when(F.col("p_block") > 0.5, "block").otherwise("allow"))
     return scored.select("row", "host", "path", "rule", verdict.alias("verdict"), "p_block", "words")
 

@@ -84,3 +84,21 @@ def test_query_against_brute_force(spark):
         g = got[r.page_id]
         assert (g.host, g.path, g.rule) == (host, path, rule) and math.isclose(g.p_block, odds, rel_tol=1e-9)
         assert g.verdict == (verdict or ("block" if odds > 0.5 else "allow"))
+
+
+def test_rare_words_keep_their_vote(spark, monkeypatch):
+    """A model bound below the number of distinct words changes neither splits nor odds nor verdicts."""
+    urls = [f"http://{w}.net/es/{w}spam" for w in ("alpha", "beta", "gamma")] * 2 + ["http://site.com/page"] * 9
+    urls += ["http://rareblocked.net/es/", "http://rare.org/", "http://rareblocked.org/x", "http://blocked.org/", "", "http://alphabeta.org/gammaspam"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    whole = sorted(uf.judge(d).collect(), key=lambda r: r.row.page_id)
+    monkeypatch.setattr(uf, "MODEL_WORDS", 3)
+    assert sorted(uf.judge(d).collect(), key=lambda r: r.row.page_id) == whole
+    counts = {}
+    for u in urls:
+        for w in re.findall("[a-z]+", "/".join(_split(u)).lower()):
+            counts[w] = counts.get(w, 0) + 1
+    seg = uf.Segmenter(counts | {w: uf.SEED_WEIGHT for w in uf.SEEDS})
+    for r in whole:
+        h, p = seg.tokens(r.host, r.path)
+        assert r.words == h + p
