@@ -7,7 +7,8 @@ decompressed file is plain WARC/1.1.
 
 The reader takes records from gzip members or from plain text.  Where a check fails (member CRC, header syntax,
 length, digest) it moves on to the next place where a whole valid member or record starts, and reports
-the bytes in between as a quarantined gap.
+the bytes in between as a quarantined gap.  Of a member that fails, the records that hold on their own are kept: all that
+parse where the member's CRC holds, else those with a SHA-256 block digest that fits.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ MOST_RECORDS = 20_000
 _PIECE = 1 << 14
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_VERSION = re.compile(rb"WARC/1\.")
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)+)\r\n")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _RECORD = (
@@ -177,6 +179,60 @@ def _unit(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
     return [(fields, block)], end
 
 
+def _inflated(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What a gzip member gives up to its first error, and where it ends if its CRC holds."""
+    unzip, parts = zlib.decompressobj(31), []
+    while not unzip.eof and at < len(data):
+        before, piece = unzip.copy(), data[at : at + _PIECE]
+        try:
+            parts.append(unzip.decompress(piece))
+        except zlib.error:  # a call that fails gives nothing, so the last piece goes byte by byte
+            try:
+                for k in range(len(piece)):
+                    parts.append(before.decompress(piece[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), None
+        at += len(piece)
+    return b"".join(parts), at - len(unzip.unused_data) if unzip.eof else None
+
+
+def _consumed(data: bytes, at: int, size: int) -> int:
+    """Where the compressed bytes of the first ``size`` bytes of a member's content end, but for the last byte: no check behind it is run."""
+    unzip, size = zlib.decompressobj(31), size - 1
+    while size:
+        piece = data[at : at + _PIECE]
+        while piece and size:
+            size -= len(unzip.decompress(piece, size))
+            at += len(piece) - len(unzip.unconsumed_tail)
+            piece = unzip.unconsumed_tail
+    return at
+
+
+def _kept(content: bytes, sure: bool) -> tuple[list[tuple[dict, bytes]], int, str]:
+    """Records of a member's content that hold, where the last one ends, and the reason of the first that does not (not sure: before that end)."""
+    found, past, reason, inside, k, lost = [], 0, "", "", 0, False
+    while k < len(content):
+        if content.startswith(b"\r\n", k):
+            k += 2
+            continue
+        try:
+            fields, block, end = parse(content, k, closed=False)
+            if not sure and not fields.get("warc-block-digest", "").startswith("sha256:"):
+                raise Bad("member")
+            if lost and end < len(content) and content[end - 4 : end] != b"\r\n\r\n":
+                raise Bad("end")
+        except Bad as e:
+            reason, lost = reason or str(e), True
+            m = _VERSION.search(content, k + 1)
+            k = m.start() if m else len(content)
+            continue
+        found.append((fields, block))
+        past = k = end
+        lost, inside = False, reason
+    return found, past, reason if sure else inside
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict, bytes]]:
     """(kind, first, past, reason, fields, block) of all records and gaps of an archive, in order."""
     at, gap, reason = 0, None, ""
@@ -189,7 +245,20 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict, bytes]]:
                 raise Bad("start")
             found, end = _unit(data, at)
         except Bad as e:
-            if gap is None:
+            inner, sure = _inflated(data, at) if data.startswith(b"\x1f\x8b\x08", at) else (b"", None)
+            found, past, why = _kept(inner, sure is not None)
+            if found:
+                if gap is not None:
+                    yield "gap", gap, at, reason, {}, b""
+                end = sure or _consumed(data, at, past)
+                for fields, block in found:
+                    yield "record", at, end, "", fields, block
+                if why:
+                    yield "gap", at, end, why, {}, b""
+                at, gap, reason = end, None if sure else end, str(e)
+                if sure or _START.match(data, at):
+                    continue
+            elif gap is None:
                 gap, reason = at, str(e)
             m = _START.search(data, at + 1)
             at = m.start() if m else len(data)
@@ -214,7 +283,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
     ``payload_digest`` and ``payload_bytes`` of a response are computed from what was read; a response whose payload does
     not fit its header is a gap with reason ``payload``.  A revisit carries both in its header.  Files are read
-    one at a time; a folder without files gives no rows.
+    one at a time, whatever their names, those of folders below too, but not hidden ones (``.`` or ``_`` first); a folder
+    without files gives no rows.
     """
     prepare(spark)
     fields = _RECORD.split(", ")
@@ -248,7 +318,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, schema)
 
 

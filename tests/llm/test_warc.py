@@ -80,3 +80,25 @@ def test_damaged_archive_is_logged(spark, tmp_path):
     assert sum(r.kind == "record" for r in got) == 49
     (gap,) = [r for r in got if r.kind == "gap"]
     assert gap.first < torn < gap.past and gap.reason and gap.file.endswith(file.name)
+
+
+def test_salvage_inside_members():
+    recs = [_rec(k, bytes(random.Random(k).choices(range(256), k=400))) + b"\r\n\r\n" for k in range(5)]
+    after = gzip.compress(_rec(9), mtime=0) + warc.END
+    for level in (0, 6):
+        bad = gzip.compress(b"".join([*recs[:2], recs[2][:-50] + b"?" + recs[2][-49:], *recs[3:]]), level, mtime=0)
+        assert _ids(bad + after) == [0, 1, 3, 4, 9] and _gaps(bad + after) == [(0, len(bad))]
+        member = gzip.compress(b"".join(recs), level, mtime=0)
+        crc = member[:-8] + bytes([member[-8] ^ 1]) + member[-7:]
+        assert _ids(crc + after) == [0, 1, 2, 3, 4, 9] and len(_gaps(crc + after)) == 1
+        cut = member[: len(member) * 3 // 4]
+        for data, last in ((cut, []), (cut + after, [9])):
+            found = _ids(data)
+            assert found == [0, 1, 2, *last] and _gaps(data)[-1][1] == len(cut)
+
+
+def test_files_of_any_name_are_read(spark, tmp_path):
+    (tmp_path / "below").mkdir()
+    for k, name in enumerate(["a.warc.gz", "b.warc", "c.txt", "below/d.warc.gz"]):
+        (tmp_path / name).write_bytes(_rec(k) + b"\r\n\r\n" if name == "b.warc" else gzip.compress(_rec(k), mtime=0) + warc.END)
+    assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
