@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,14 +54,120 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(texts, most: int = 8 << 20):
+    """Runs of rows of an Arrow string column of at most ``most`` bytes, or of one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    past, lo = np.cumsum(size), 0
+    while lo < len(size):
+        done = past[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(past, done + most, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def coded_words(texts: list[str]):
+    """Words between single spaces: (distinct words, code of each word, first word of each text as a place in the codes)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = rows.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), rows.offsets.to_numpy().astype(np.int64)
+
+
+class WordMemo:
+    """Ids of words, bounded in words and characters.
+
+    When it is full, at the start of a slice, the half of the words that occurred in the fewest slices goes; so frequent words
+    stay known, and memory depends on the bounds and one slice only.
+    """
+
+    def __init__(self, words: int, chars: int):
+        self.words, self.most = words, chars
+        self.reset()
+
+    def reset(self) -> None:
+        import numpy as np
+
+        self.place: dict[str, int] = {}
+        self.flat, self.starts, self.chars, self.hits = array("I"), array("q", [0]), 0, np.zeros(0, np.int32)
+
+    def add(self, word: str | None, ids) -> int:
+        """Keep the ids of a word and return their place; those of no word go with the next half."""
+        at = len(self.starts) - 1
+        if word is not None:
+            self.place[word] = at
+            self.chars += len(word)
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+        return at
+
+    def prune(self) -> None:
+        import numpy as np
+
+        if len(self.starts) <= self.words and len(self.flat) <= 8 * self.words and self.chars <= self.most:
+            return
+        words, at = list(self.place), np.fromiter(self.place.values(), np.int64, len(self.place))
+        hits = np.zeros(len(self.starts) - 1, np.int32)
+        hits[: len(self.hits)] = self.hits
+        kept = np.sort(np.argsort(-hits[at], kind="stable")[: min(self.words, len(at)) // 2])
+        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.uint32)
+        ids, sizes = _gathered(flat, starts, at[kept])
+        words = [words[k] for k in kept.tolist()]
+        self.reset()
+        self.chars = sum(map(len, words))
+        if self.chars > self.most // 2 or len(ids) > 4 * self.words:
+            self.chars = 0
+            return
+        self.place = dict(zip(words, range(len(words)), strict=True))
+        self.flat, self.starts = array("I", ids.tobytes()), array("q", np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes())
+        self.hits = hits[at[kept]] // 2
+
+    def gather(self, places: list) -> list:
+        """Ids of each array of places."""
+        import numpy as np
+
+        starts = np.array(self.starts, np.int64)
+        at = np.concatenate([np.empty(0, np.int64), *places])
+        ids, sizes = _gathered(np.array(self.flat, np.uint32), starts, at)
+        seen = (np.bincount(at, minlength=len(starts) - 1) > 0).astype(np.int32)
+        seen[: len(self.hits)] += self.hits
+        self.hits = seen
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, places)])].tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _gathered(flat, starts, at):
+    import numpy as np
+
+    sizes, first = (starts[1:] - starts[:-1])[at], starts[:-1][at]
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
 _MEMOS: dict = {}
 
 
-def claim(name: str, clear) -> None:
-    """Call at a task's start: empties the memos that other operators left in this Python worker."""
-    for other in [k for k in _MEMOS if k != name]:
+def claim(name: str, clear=lambda: None) -> None:
+    """Call at a task's start: empties the memos that other operators left in this Python worker, and gives the memory back."""
+    others = [k for k in _MEMOS if k != name]
+    for other in others:
         _MEMOS.pop(other)()
     _MEMOS[name] = clear
+    if others:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def quoted(name: str) -> str:

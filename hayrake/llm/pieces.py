@@ -27,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, claim, prepare, table
+from .common import WordMemo, annotate, claim, coded_words, prepare, table
 
 MARK = "▁"
+_MARK = MARK.encode()
 MEMO_WORDS = 600_000
+#: Characters of words that a memo holds before it restarts.
+MEMO_CHARS = 16 << 20
 MEMO_PAIRS = 400_000
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
 #: Types of pieces in a model file.
@@ -86,7 +89,8 @@ class PieceModel:
         self.unknown = next(k for k, p in enumerate(self.pieces) if p[2] == UNKNOWN)
         self.byte_ids = {int(p[3:5], 16): k for k, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.rank = {p: s for p, s, _ in usable}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Whether a piece may follow another, by (id of the left one + 1, or 0 for none) * number of pieces + id of the right one.
+        self.pairs: dict[int, bool] = {}
         self.unknown_score = min(s for _, s, _ in usable) - 10.0
         #: Pieces by their characters from last to first; the key "" holds (score, id).
         self.tails: dict = {}
@@ -96,12 +100,12 @@ class PieceModel:
                 node = node.setdefault(c, {})
             node[""] = (s, k)
         self.bytes_of = [self._bytes(p, t) for p, _, t in self.pieces]
-        self.limit = limit
+        self.byte_column = pa.array(self.bytes_of, pa.large_binary())
+        self.memo = WordMemo(limit, MEMO_CHARS)
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.memo.reset()
         self.pairs.clear()
 
     @staticmethod
@@ -134,15 +138,18 @@ class PieceModel:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _fits(self, pair: tuple[str, str]) -> bool:
+    def _fits(self, key: int, left: str, right: str) -> bool:
         if len(self.pairs) > MEMO_PAIRS:
             self.pairs.clear()
-        fits = self.pairs[pair] = self.merged(pair[0] + pair[1]) == [p for p in pair if p]
+        fits = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return fits
 
     def _choose_pair(self, word: str, end: int, last: list[tuple[int, int]]) -> tuple[int, int]:
-        """The piece that ends at ``end`` in the one segmentation of word[:end]."""
-        node, at, ending, pairs = self.tails, end, [], self.pairs
+        """The piece that ends at ``end`` in the one segmentation of word[:end].
+
+        A character that no piece covers merges with nothing, so behind it a piece stands as it does at the start.
+        """
+        node, at, ending, pairs, size = self.tails, end, [], self.pairs, len(self.pieces)
         while at:
             node = node.get(word[at - 1])
             if node is None:
@@ -151,9 +158,10 @@ class PieceModel:
             if "" in node:
                 ending.append((at, node[""][1]))
         for at, k in reversed(ending):
-            pair = word[last[at][0] : at], word[at:end]
-            fits = pairs.get(pair)
-            if fits or fits is None and self._fits(pair):
+            left = last[at][1] if at else -1
+            key = (left + 1) * size + k
+            fits = pairs.get(key)
+            if fits or fits is None and self._fits(key, word[last[at][0] : at] if left >= 0 else "", word[at:end]):
                 return at, k
         return end - 1, -1
 
@@ -198,29 +206,61 @@ class PieceModel:
             before = word
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.memo) > self.limit:
-            self.memo, self.ids = {}, []
-        keys = [self.keys(t) if t else [] for t in texts]
-        memo = self.memo
-        fresh = set().union(*keys).difference(memo) if keys else set()
-        first = {k[0] for k in keys if k} if not self.prefix else set()
-        marked = sorted((MARK + k.replace(" ", MARK), k) for k in fresh)
+    def _learn(self, words: set[str]) -> None:
+        """Segment new words in sorted order, so that those with a common prefix are neighbours."""
+        marked = sorted((MARK + k.replace(" ", MARK), k) for k in words)
         for (_, k), ids in zip(marked, self.segment([m for m, _ in marked]), strict=True):
-            memo[k] = len(self.ids)
-            self.ids.append(ids)
-        bare = dict(zip(sorted(first), self.segment(sorted(k.replace(" ", MARK) for k in first)), strict=True)) if first else {}
-        get, ids, out = memo.__getitem__, self.ids, []
-        for ks in keys:
-            got = [ids[p] for p in map(get, ks)]
-            if bare and ks:
-                got[0] = bare[ks[0]]
-            flat = [i for w in got for i in w]
-            out.append(np.array(flat, np.int32))
-        return out
+            self.memo.add(k, ids)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text.  The distinct words of all texts are looked up once, and ids are gathered by index."""
+        self.memo.prune()
+        odd, plain, places = {}, [], [np.empty(0, np.int64)] * len(texts)
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            t = t.replace(MARK, " ")
+            if "  " in t or t[0] == " " or t[-1] == " ":
+                odd[k] = self.keys(t)
+            else:
+                plain.append((k, t))
+        words, codes, offsets = coded_words([t for _, t in plain])
+        self._learn(set(words).union(*odd.values()).difference(self.memo.place))
+        get = self.memo.place.__getitem__
+        at = np.fromiter(map(get, words), np.int64, len(words))[codes]
+        for (k, _), lo, hi in zip(plain, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            places[k] = at[lo:hi]
+        for k, keys in odd.items():
+            places[k] = np.fromiter(map(get, keys), np.int64, len(keys))
+        if not self.prefix:
+            firsts = {k: keys[0] for k, keys in odd.items() if keys} | {k: words[c] for (k, _), c in zip(plain, codes[offsets[:-1]].tolist(), strict=True)}
+            bare = sorted({w.replace(" ", MARK) for w in firsts.values()})
+            found = {w: self.memo.add(None, ids) for w, ids in zip(bare, self.segment(bare), strict=True)}
+            for k, w in firsts.items():
+                places[k] = np.concatenate([[found[w.replace(" ", MARK)]], places[k][1:]])
+        return [x.astype(np.int32) for x in self.memo.gather(places)]
+
+    def both(self, texts: list[bytes | None]) -> tuple[list[np.ndarray], list[bytes]]:
+        """Ids of UTF-8 texts, and what they decode to."""
+        ids = self.encode([None if t is None else t.decode("utf-8", "replace") for t in texts])
+        return ids, self.decode_all(ids, [(t or b"").replace(_MARK, b" ") for t in texts])
 
     # ------------------------------------------------------------ decoding
 
+    def decode_all(self, ids: list[np.ndarray], texts: list[bytes]) -> list[bytes]:
+        """Decoded UTF-8 texts; ``texts`` are those that were encoded, which spares checking what comes back equal."""
+        flat = np.concatenate([np.empty(0, np.int32), *ids])
+        got = self.byte_column.take(pa.array(flat))
+        offsets = np.frombuffer(got.buffers()[1], np.int64)[got.offset :] if len(got) else np.zeros(1, np.int64)
+        data, at, out = got.buffers()[2], 0, []
+        data = memoryview(data) if data is not None else memoryview(b"")
+        for one, t in zip(ids, texts, strict=True):
+            lo, hi = int(offsets[at]), int(offsets[at + len(one)])
+            at += len(one)
+            raw = bytes(data[lo + (self.prefix and data[lo : lo + 1] == b" ") : hi])
+            out.append(raw if raw == t else self.decode(one.tolist()).encode())
+        return out
+
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
         text = raw.decode("utf-8", "replace")
@@ -232,6 +272,19 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def runs(texts: list[bytes | None], most: int = 16 << 20):
+    """Runs of texts of about ``most`` bytes."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or b"")
+        if held >= most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """``row`` (struct of the kept columns), ids (array of int) and decoded text of every row.
 
@@ -246,14 +299,13 @@ def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
         def work(texts):
             ids, decoded = [], []
-            for lo in range(0, len(texts), 500):
-                part = [None if t is None else t.decode("utf-8", "replace") for t in texts[lo : lo + 500]]
-                got = m.encode(part)
+            for part in runs(texts):
+                got, back = m.both(part)
                 ids += got
-                decoded += [None if t is None else m.decode(g.tolist()) for t, g in zip(part, got, strict=True)]
+                decoded += [None if t is None else d for t, d in zip(part, back, strict=True)]
             offsets = np.concatenate([[0], np.cumsum([len(g) for g in ids])]).astype(np.int32)
             values = pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32())
-            return [pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(decoded, pa.string())]
+            return [pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(decoded, pa.binary()).cast(pa.string())]
 
         return work
 
@@ -276,11 +328,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
         def work(texts):
             out = []
-            for lo in range(0, len(texts), 500):
-                part = ["" if t is None else t.decode("utf-8", "replace") for t in texts[lo : lo + 500]]
-                for t, g in zip(part, m.encode(part), strict=True):
-                    back = m.decode(g.tolist())
-                    out.append((len(g), zlib.crc32(g.astype("<i4").tobytes()), zlib.crc32(back.encode()), back == t.replace(MARK, " ")))
+            for part in runs(texts):
+                for t, g, back in zip(part, *m.both(part), strict=True):
+                    out.append((len(g), zlib.crc32(g.astype("<i4").tobytes()), zlib.crc32(back), back == (t or b"").replace(_MARK, b" ")))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             return [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)]
 
