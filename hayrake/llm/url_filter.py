@@ -1,7 +1,10 @@
 """URL filter: host rules, then word segmentation and multinomial naive Bayes for what no rule judges.
 
-Names such as ``cheappills`` are split by unigram Viterbi over word counts of all URLs; then naive Bayes scores the words
-of host and path.  It learns from the URLs that the rules judge and from a short list of marked words.
+Names such as ``cheappills`` are split by unigram Viterbi.  The unigrams are words of running text (the visible text of the
+pages, or any other text that is given; without one the words of the paths), never the names that are to be split: a
+name would else be a word of its own as soon as it is frequent.  Naive Bayes then scores the words of host and path; it learns
+from the URLs that the rules judge and from nothing else, so multiplying all rows changes no verdict but through
+SMOOTHING and the prior's added ones.
 
 Both models are over all words: counts and weights are tables, and distinct letter runs are joined with them.  Only the
 split and weights of the most frequent runs are broadcast; URLs with others join the table.
@@ -27,11 +30,9 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Words that count as seen in blocked URLs, SEED_WEIGHT times each.
-SEEDS = ["adult", "bet", "casino", "cheap", "dating", "gambling", "loan", "nude", "pills", "poker", "porn", "sex", "viagra", "warez", "xxx"]
-SEED_WEIGHT = 1000
 #: Most letter runs whose split and weights executors hold, by count; the others are joined, so no result depends on it.
 MODEL_WORDS = 100_000
+#: Longest word of the unigram model; longer runs of letters are split into such.
 LONGEST = 24
 #: Words up to this length are few whatever the input (26 + 26**2 + 26**3), and so are broadcast whole.
 SHORT = 3
@@ -60,7 +61,7 @@ class Segmenter:
     """Most probable split of letters into words; an unknown string of n letters has 10 / (total * 10**n)."""
 
     def __init__(self, counts: dict[str, int], total: int = 0):
-        self.total = total or sum(counts.values()) or 1
+        self.total = max(total or sum(counts.values()), 20)
         self.score = {w: math.log(n / self.total) for w, n in counts.items() if n and len(w) <= LONGEST}
         self.memo: dict[str, list[str]] = {}
 
@@ -130,12 +131,16 @@ def _parsed(pages: DataFrame, rules) -> DataFrame:
     return out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("by_rule", verdicts)
 
 
-def word_counts(parsed: DataFrame) -> DataFrame:
-    """word, n: counts of the letter runs of all hosts and paths, SEED_WEIGHT at least for SEEDS."""
-    token = F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit("[a-z]+"), F.lit(0)))
-    counts = parsed.select(token.alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
-    seeds = parsed.sparkSession.createDataFrame([(w, SEED_WEIGHT) for w in SEEDS], "word string, n bigint")
-    return counts.unionByName(seeds).groupBy("word").agg(F.max("n").alias("n"))
+def visible_text(html: Column) -> Column:
+    """Markup without scripts, styles, comments and tags."""
+    return F.regexp_replace(html.cast("string"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+
+
+def word_counts(text: DataFrame, column: Column) -> DataFrame:
+    """word, n: counts of the letter runs (A-Z lower-cased) of a text column, up to LONGEST letters."""
+    runs = F.regexp_extract_all(F.lower(column), F.lit("(?<![^\\x00-\\x7f])[a-z]+(?![^\\x00-\\x7f])"), F.lit(0))
+    counts = text.select(F.explode(runs).alias("word")).where(F.length("word") <= LONGEST)
+    return counts.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def token_counts(parsed: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ def segmented(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     The parts of a token are joined with the counts.  They come back under a hash of the token, as long tokens have
     many parts; where two tokens share a hash, each only sees true counts of words that it does not hold.
     """
-    total = counts.agg(F.sum("n")).first()[0]
+    total = counts.agg(F.sum("n")).first()[0] or 0
     short = {r.word: r.n for r in counts.where(F.length("word") <= SHORT).collect()}
     keyed = tokens.select("token").distinct().withColumn("key", F.xxhash64("token"))
 
@@ -182,13 +187,11 @@ def segmented(tokens: DataFrame, counts: DataFrame) -> DataFrame:
 
 def weighted(tokens: DataFrame, cuts: DataFrame) -> DataFrame:
     """mark, token, n, words, weights: every token's features and their naive Bayes weights, over all words; 0 for unknown ones."""
-    spark = tokens.sparkSession
     named = F.transform("words", lambda w: F.concat("mark", w))
     split = tokens.join(cuts, "token").select("mark", "token", "n", "allow", "block", F.posexplode(named).alias("pos", "word"))
-    seeds = spark.createDataFrame([(mark + w, 0, SEED_WEIGHT) for w in SEEDS for mark in ("", "/")], "word string, allow bigint, block bigint")
-    seen = split.where("allow + block > 0").select("word", "allow", "block").unionByName(seeds)
+    seen = split.where("allow + block > 0").select("word", "allow", "block")
     features = seen.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    size, allow, block = features.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
+    size, allow, block = (x or 0 for x in features.agg(F.count("*"), F.sum("allow"), F.sum("block")).first())
     rate = lambda v, total: F.log((F.col(v) + SMOOTHING) / (total + SMOOTHING * size))
     weights = features.select("word", (rate("block", block) - rate("allow", allow)).alias("weight"))
     part = F.struct("pos", "word", F.coalesce("weight", F.lit(0.0)).alias("weight"))
@@ -197,10 +200,10 @@ def weighted(tokens: DataFrame, cuts: DataFrame) -> DataFrame:
     return whole.select("mark", "token", "n", F.col("parts.word").alias("words"), F.col("parts.weight").alias("weights"))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, unigrams: DataFrame | None = None) -> DataFrame:
     """``row`` (struct of all columns), host, path, rule, verdict, p_block, words of every row.
 
-    Null URLs and those without :// have empty host and path, fit no rule and get the prior's verdict.  Equal odds
+    ``unigrams`` (word, n) are the words into which names are split; those of the paths where none are given.  Null URLs and those without :// have empty host and path, fit no rule and get the prior's verdict.  Equal odds
     allow.  Repeated rows count as often as they occur.  An empty table gives none.
     """
     spark = prepare(pages.sparkSession)
@@ -208,7 +211,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     slim = _parsed(pages.select("url"), rules).drop("row")
     docs = {r.by_rule: r["count"] for r in slim.where("by_rule is not null").groupBy("by_rule").count().collect()}
     prior = NaiveBayes([], docs).prior
-    counts, counts_at = store(word_counts(slim), "url-words")
+    counts, counts_at = store(word_counts(slim, F.col("path")) if unigrams is None else unigrams, "url-words")
     tokens, tokens_at = store(token_counts(slim), "url-tokens")
     cuts, cuts_at = store(segmented(tokens, counts), "url-cuts")
     split, split_at = store(weighted(tokens, cuts), "url-weights")
@@ -259,5 +262,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    """Verdicts for every page; unigrams are the words of the visible text of all pages.
+
+    Null, empty and scheme-less URLs have empty host and path and get the prior's verdict; repeated rows are judged alike and
+    count as often as they occur; an empty table gives none; null markup has no words.
+    """
+    pages = table(spark, sf_dir, "pages")
+    unigrams = word_counts(pages, visible_text(F.col("html")))
+    found = judge(pages.select("page_id", "url"), unigrams=unigrams)
     return found.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "p_block", F.array_join("words", " ").alias("words"))

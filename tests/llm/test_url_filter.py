@@ -1,7 +1,10 @@
 import itertools
 import math
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from hayrake.llm import url_filter as uf
 
 SF = "/root/testdata/sf0.01"
@@ -58,22 +61,31 @@ def test_edge_urls(spark):
     assert got[10].words == ["casino", "example", "org", "/pills"] and uf.judge(d.limit(0)).count() == 0
 
 
-def test_query_against_brute_force(spark):
-    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
+def _words(texts):
     counts = {}
-    for r in rows:
-        for w in re.findall("[a-z]+", "/".join(_split(r.url)).lower()):
+    for t in texts:
+        t = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", t or "")
+        for w in re.findall(r"(?<![^\x00-\x7f])[a-z]+(?![^\x00-\x7f])", t.lower()):
             if len(w) <= uf.LONGEST:
                 counts[w] = counts.get(w, 0) + 1
-    seg = uf.Segmenter(counts | {w: max(counts.get(w, 0), uf.SEED_WEIGHT) for w in uf.SEEDS})
-    train, docs = [("block", m + w, uf.SEED_WEIGHT) for w in uf.SEEDS for m in ("", "/")], {}
-    for r in rows:
-        verdict = _rule(*_split(r.url))[1]
+    return counts
+
+
+def _bayes(urls, seg):
+    train, docs = [], {}
+    for url in urls:
+        verdict = _rule(*_split(url))[1]
         if verdict:
-            h, p = seg.tokens(*_split(r.url))
+            h, p = seg.tokens(*_split(url))
             docs[verdict] = docs.get(verdict, 0) + 1
             train += [(verdict, w, 1) for w in h + p]
-    nb = uf.NaiveBayes(train, docs)
+    return uf.NaiveBayes(train, docs)
+
+
+def test_query_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
+    seg = uf.Segmenter(_words(r.html for r in rows))
+    nb = _bayes([r.url for r in rows], seg)
     got = {r.page_id: r for r in uf.op8_url_filter(spark, SF).collect()}
     assert len(got) == len(rows)
     for r in rows:
@@ -83,22 +95,46 @@ def test_query_against_brute_force(spark):
         odds = nb.p_block(h + p)
         g = got[r.page_id]
         assert (g.host, g.path, g.rule) == (host, path, rule) and math.isclose(g.p_block, odds, rel_tol=1e-9)
+        assert g.words == " ".join(h + p)
         assert g.verdict == (verdict or ("block" if odds > 0.5 else "allow"))
 
 
+def test_planted_concatenations_are_split(spark):
+    """Two or three words of the text, run together as a host that is as frequent as any word."""
+    rng = random.Random(5)
+    text = "buy cheap pills online casino bonus garden house music market travel photo recipe school health fresh bread river stone window".split()
+    hosts = sorted({tuple(rng.sample(text, rng.choice((2, 3)))) for _ in range(60)})
+    urls = [f"http://{''.join(h)}.org/x" for h in hosts for _ in range(30)]
+    html = ["<p>" + " ".join(rng.choice(text) for _ in range(40)) + "</p>" for _ in urls]
+    d = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id bigint, url string, html string")
+    got = uf.judge(d, unigrams=uf.word_counts(d, uf.visible_text(F.col("html")))).collect()
+    right = sum(tuple(r.words[: len(hosts[r.row.page_id // 30])]) == hosts[r.row.page_id // 30] for r in got)
+    assert len(got) == len(urls) and right >= 0.9 * len(got)
+
+
+def test_verdicts_do_not_depend_on_the_number_of_rows(spark):
+    """Words of blocked URLs block elsewhere, words of allowed ones do not, once or fifty times."""
+    urls = ["http://goodnews.com/a", "http://dailynews.com/b", "http://badspam.net/es/a", "http://badspam.net/fr/b", "http://badspam.org/", "http://dailynews.org/"]
+    words = spark.createDataFrame([(w, 100) for w in ("good", "news", "daily", "bad", "spam")], "word string, n bigint")
+    for times in (1, 50):
+        d = spark.createDataFrame([(k, u) for k, u in enumerate(urls * times)], "page_id bigint, url string")
+        got = {r.row.url: r.verdict for r in uf.judge(d, unigrams=words).collect()}
+        assert [got[u] for u in urls] == ["allow", "allow", "block", "block", "block", "allow"]
+
+
 def test_rare_words_keep_their_vote(spark, monkeypatch):
     """A model bound below the number of distinct words changes neither splits nor odds nor verdicts."""
     urls = [f"http://{w}.net/es/{w}spam" for w in ("alpha", "beta", "gamma")] * 2 + ["http://site.com/page"] * 9
     urls += ["http://rareblocked.net/es/", "http://rare.org/", "http://rareblocked.org/x", "http://blocked.org/", "", "http://alphabeta.org/gammaspam"]
     d = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
-    whole = sorted(uf.judge(d).collect(), key=lambda r: r.row.page_id)
+    counts = {w: k + 3 for k, w in enumerate(["alpha", "beta", "gamma", "spam", "rare", "blocked", "site", "page", "net", "org"])}
+    words = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    whole = sorted(uf.judge(d, unigrams=words).collect(), key=lambda r: r.row.page_id)
     monkeypatch.setattr(uf, "MODEL_WORDS", 3)
-    assert sorted(uf.judge(d).collect(), key=lambda r: r.row.page_id) == whole
-    counts = {}
-    for u in urls:
-        for w in re.findall("[a-z]+", "/".join(_split(u)).lower()):
-            counts[w] = counts.get(w, 0) + 1
-    seg = uf.Segmenter(counts | {w: uf.SEED_WEIGHT for w in uf.SEEDS})
+    assert sorted(uf.judge(d, unigrams=words).collect(), key=lambda r: r.row.page_id) == whole
+    seg = uf.Segmenter(counts)
+    nb = _bayes(urls, seg)
     for r in whole:
-        h, p = seg.tokens(r.host, r.path)
-        assert r.words == h + p
+        h, p = seg.tokens(*_split(urls[r.row.page_id]))
+        assert r.words == h + p and math.isclose(r.p_block, nb.p_block(h + p), rel_tol=1e-9)
+    assert whole[-1].words == ["alpha", "beta", "org", "/gamma", "/spam"]
