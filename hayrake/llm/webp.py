@@ -2,11 +2,13 @@
 
 The decoder reads every lossless feature: prefix codes (also in groups), back-references with the two-dimensional distance
 map, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms with pixel bundling.
-``decode`` works on one file; ``decode_many`` decodes files whose pixels are literals of one channel all
-in step, one lane per file, and hands the others to ``decode``.
+``decode`` works on one file; ``decode_many`` decodes files of one varying channel without cache and groups
+in step, one lane per file, back-references and transforms included, and hands the others to ``decode``.
 
-The encoder writes literals with optimal length-limited prefix codes, and on request any of the transforms, the colour
-cache and back-references; the media column needs no more than the first.
+The encoder of the media column chooses per file: payloads of at most 16 different bytes get the palette transform with
+bundled pixels; a line of LEAST_LINE bytes or more that stood before in the payload, and a run of LEAST_RUN bytes or more at its
+end, become back-references; all else is literals under optimal length-limited prefix codes.  The other transforms and the colour
+cache make text larger, so only ``encode`` writes them, on request.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ SIDE = 1 << 14
 #: Bytes in one image; longer payloads go on in further images.
 IMAGE_BYTES = SIDE // UNIT * UNIT * SIDE
 LANE_BITS = 11
+LEAST_LINE, LEAST_RUN, LONGEST_COPY = 64, 16, 4096
+#: Lanes fewer than this go one by one.
+FEW = 8
 #: Fixed values of the format: the order in which lengths of code-length codes are stored ...
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 #: ... and the offsets (x to the left, y up) of the 120 short distance codes.
@@ -341,69 +346,96 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """Pixels of all files; those that are literals of one channel go in step, a lane each."""
+    """Pixels of all files; those of one varying channel without cache and groups go in step, a lane each."""
     out: list = [None] * len(files)
     lanes = []
     for k, data in enumerate(files):
         bits, width, height, _ = _frame(data)
         transforms, own = _transforms(bits, width, height)
         cache, block, meta, groups = head = _header(bits, own, height, True)
-        green, *others, _ = groups[0]
-        plain = not cache and meta is None and all(not c.bits for c in others) and green.highest < 256
-        if plain and green.bits <= LANE_BITS:
+        green, *others, far = groups[0]
+        if not cache and meta is None and all(not c.bits for c in others) and green.bits <= LANE_BITS:
             rest = (others[2].lone << 24) | (others[0].lone << 16) | others[1].lone
-            lanes.append((own * height, k, bits, green, rest, height, width, transforms))
+            lanes.append((own * height, own, bits, green, far, k, rest, height, width, transforms))
         else:
             out[k] = _undo(_body(bits, own, height, *head), height, transforms).reshape(height, width)
     lanes.sort(key=lambda lane: -lane[0])
     for lo in range(0, len(lanes), 2048):
         for lane, values in zip(lanes[lo : lo + 2048], _in_step(lanes[lo : lo + 2048]), strict=True):
-            _, k, _, _, rest, height, width, transforms = lane
+            *_, k, rest, height, width, transforms = lane
             p = values.astype(np.uint32) << 8 | np.uint32(rest)
             out[k] = _undo(p, height, transforms).reshape(height, width)
     return out
 
 
+def _copied(out: np.ndarray, start: int, pos: int, stop: int, width: int, bits: Bits, symbol: int, far: Code) -> int:
+    """Follow a back-reference at ``pos`` of an image that stands in out[start:stop]; returns the position behind it."""
+    n, d = _prefixed(bits, symbol - 256), _prefixed(bits, far.read(bits))
+    if d > 120:
+        d -= 120
+    else:
+        x, y = NEAR[d - 1]
+        d = max(1, x + y * width)
+    if d > pos - start or pos + n > stop:
+        raise ValueError("a back-reference beyond the image")
+    out[pos : pos + n] = out[pos - d : pos - d + n] if d >= n else np.resize(out[pos - d : pos], n)
+    return pos + n
+
+
 def _in_step(lanes: list) -> list[np.ndarray]:
-    """Green symbols of lanes that are sorted by falling number of pixels."""
-    size = np.array([lane[0] for lane in lanes])
+    """Green values of lanes (size, width, bits, green code, distance code, ...) that are sorted by falling size."""
+    size = np.array([lane[0] for lane in lanes], np.int64)
     data = b"".join(lane[2].data + bytes(4) for lane in lanes)
-    base = np.cumsum([0, *(len(lane[2].data) + 4 for lane in lanes)])[:-1]
+    base = np.cumsum([0, *(len(lane[2].data) + 4 for lane in lanes)])[:-1] * 8
     raw = np.frombuffer(data, np.uint8).astype(np.uint32)
     window = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
     tables = np.concatenate([np.tile(lane[3].table, 1 << (LANE_BITS - lane[3].bits)) for lane in lanes]).astype(np.int32)
-    shift = np.arange(len(lanes), dtype=np.int64) << LANE_BITS
-    at = base * 8 + np.array([lane[2].at for lane in lanes])
     out = np.zeros(int(size.sum()), np.uint8)
     start = np.cumsum(size) - size
-    end = int(size[0]) if len(size) else 0
-    # few long lanes are faster one by one
-    last = int(size[8]) if len(size) > 8 else 0
-    live, mask = len(lanes), (1 << LANE_BITS) - 1
-    for step in range(min(end, last)):
-        while size[live - 1] <= step:
-            live -= 1
-        p = at[:live]
-        got = tables[((window[p >> 3] >> (p & 7).astype(np.uint32)) & mask) + shift[:live]]
-        out[start[:live] + step] = got >> 4
-        at[:live] = p + (got & 15)
-    for k in range(min(8, len(lanes))):
-        code, p = lanes[k][3], int(at[k])
-        if not code.bits:
-            out[start[k] + last : start[k] + size[k]] = code.lone
-            continue
-        lookup, low, near = code.table.tolist(), (1 << code.bits) - 1, window
-        symbols = []
-        for _ in range(int(size[k]) - last):
-            got = lookup[(int(near[p >> 3]) >> (p & 7)) & low]
-            symbols.append(got >> 4)
-            p += got & 15
-        out[start[k] + last : start[k] + size[k]] = symbols
-        at[k] = p
+    stop, mask = start + size, (1 << LANE_BITS) - 1
+    end_at = base.copy()
+
+    def copy(lane: int, at: int, pos: int, symbol: int) -> tuple[int, int]:
+        _, width, bits, _, far, *_ = lanes[lane]
+        bits.at = at - int(base[lane])
+        pos = _copied(out, int(start[lane]), pos, int(stop[lane]), width, bits, symbol, far)
+        return bits.at + int(base[lane]), pos
+
+    ids, at, pos = np.arange(len(lanes)), base + np.array([lane[2].at for lane in lanes]), start.copy()
+    last, shift = stop.copy(), ids << LANE_BITS
+    while len(ids) > FEW:
+        got = tables[((window[at >> 3] >> (at & 7).astype(np.uint32)) & mask) + shift]
+        symbol = got >> 4
+        out[pos] = symbol
+        at = at + (got & 15)
+        pos += 1
+        if symbol.max() > 255:
+            for j in np.flatnonzero(symbol > 255).tolist():
+                at[j], pos[j] = copy(int(ids[j]), int(at[j]), int(pos[j]) - 1, int(symbol[j]))
+        going = pos < last
+        if not going.all():
+            end_at[ids[~going]] = at[~going]
+            ids, at, pos, last, shift = ids[going], at[going], pos[going], last[going], shift[going]
+    for lane, p, k in zip(ids.tolist(), at.tolist(), pos.tolist(), strict=True):
+        code, past = lanes[lane][3], int(stop[lane])
+        lookup, low = code.table.tolist(), (1 << code.bits) - 1
+        while k < past:
+            symbols = []
+            for _ in range(past - k):
+                got = lookup[(int(window[p >> 3]) >> (p & 7)) & low]
+                p += got & 15
+                if got >= 256 << 4:
+                    break
+                symbols.append(got >> 4)
+            out[k : k + len(symbols)] = symbols
+            k += len(symbols)
+            if k < past:
+                p, k = copy(lane, p, k, got >> 4)
+        end_at[lane] = p
     for k, lane in enumerate(lanes):
-        if at[k] - base[k] * 8 > 8 * len(lane[2].data):
+        if end_at[k] - base[k] > 8 * len(lane[2].data):
             raise ValueError("the stream ends early")
-    return [out[a : a + n] for a, n in zip(start, size, strict=True)]
+    return [out[a:z] for a, z in zip(start, stop, strict=True)]
 
 
 # ---------------------------------------------------------------- encoding
@@ -593,29 +625,84 @@ def encode(pixels: np.ndarray, transforms: tuple[str, ...] = (), cache: int = 0,
     return _file(w.value.to_bytes((w.n + 7) // 8, "little"), width, height)
 
 
+@lru_cache(maxsize=64)
+def _distance_codes(width: int) -> dict[int, int]:
+    """Short codes of the distances that have one in an image of this width."""
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
+def copies_of(raw: bytes, lines: bool) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of what becomes back-references: repeated long lines and an equal run at the end."""
+    found, seen, at = [], {}, 0
+    tail = len(raw) - len(raw.rstrip(raw[-1:]))
+    end = len(raw) - tail + 1 if tail > LEAST_RUN else len(raw)
+    if lines:
+        for line in raw[:end].split(b"\n"):
+            n = len(line)
+            if n >= LEAST_LINE:
+                before = seen.get(line)
+                if before is not None:
+                    found.append((at, n, at - before))
+                seen[line] = at
+            at += n + 1
+    if end < len(raw):
+        found.append((end, len(raw) - end, 1))
+    return [(s + k, min(LONGEST_COPY, n - k), d) for s, n, d in found for k in range(0, n, LONGEST_COPY)]
+
+
 def encode_samples(samples: np.ndarray, width: int, height: int) -> bytes:
     """One byte a pixel, in green; the other channels are constant and take no bits."""
-    w = Writer()
-    w.put(0, 3)  # no transform, no colour cache, one group
-    counts = np.zeros(280, np.int64)
-    counts[:256] = np.bincount(samples, minlength=256)
+    w, own, used = Writer(), width, np.flatnonzero(np.bincount(samples, minlength=256))
+    lines = True
+    if len(used) <= 16:
+        bundle, lines = _bundle(len(used)), False
+        own = -(-width >> bundle)
+        w.put(1, 1)
+        w.put(3, 2)
+        w.put(len(used) - 1, 8)
+        steps = np.diff(used, prepend=0).astype(np.uint32)
+        _write_image(w, (steps << 8) | np.where(np.arange(len(used)) == 0, np.uint32(OPAQUE), np.uint32(0)), len(used), False)
+        index = np.zeros((height, own << bundle), np.int64)
+        index[:, :width] = np.searchsorted(used, samples).reshape(height, width)
+        samples = (index.reshape(height, own, 1 << bundle) << ((8 >> bundle) * np.arange(1 << bundle))).sum(-1).astype(np.uint8).reshape(-1)
+    w.put(0, 3)  # no more transforms, no colour cache, one group
+    copies, near = copies_of(samples.tobytes(), lines), _distance_codes(own)
+    literal = np.ones(len(samples), bool)
+    for s, n, _ in copies:
+        literal[s : s + n] = False
+    place = np.flatnonzero(literal)
+    pixels = samples[place]
+    lengths, distances = [_prefix_of(n) for _, n, _ in copies], [_prefix_of(near.get(d, d + 120)) for *_, d in copies]
+    counts, far = np.zeros(280, np.int64), np.zeros(40, np.int64)
+    counts[:256] = np.bincount(pixels, minlength=256)
+    np.add.at(counts, [256 + s for s, _, _ in lengths], 1)
+    np.add.at(far, [s for s, _, _ in distances], 1)
     size = _write_code(w, _lengths(counts, LANE_BITS))
-    for lone in (0, 0, 255, 0):
+    for lone in (0, 0, 255):
         w.put(0b101 | lone << 3, 11)
-    n = size[samples]
+    far_size = _write_code(w, _lengths(far, 15))
+    code, far_code = _code_of(size), _code_of(far_size)
+    n, value = size[pixels], code[pixels]
+    if copies:
+        more = [
+            part
+            for (s, extra, k), (t, rest, m) in zip(lengths, distances, strict=True)
+            for part in ((code[256 + s], size[256 + s]), (extra, k), (far_code[t], far_size[t]), (rest, m))
+        ]
+        at = np.repeat(np.searchsorted(place, [s for s, _, _ in copies]), 4)
+        value, n = np.insert(value, at, [int(v) for v, _ in more]), np.insert(n, at, [int(k) for _, k in more])
     end = np.cumsum(n) + w.n
     start = end - n
     word = start >> 5
-    placed = _code_of(size)[samples].astype(np.uint64) << (start & 31).astype(np.uint64)
+    placed = value.astype(np.uint64) << (start & 31).astype(np.uint64)
     heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     words = np.zeros(int(word[-1]) + 3, np.uint64)
     words[word[heads]] += np.add.reduceat(placed & np.uint64(0xFFFFFFFF), heads)
     words[word[heads] + 1] += np.add.reduceat(placed >> np.uint64(32), heads)
     body = bytearray(words.astype("<u4").tobytes())
-    head = w.value.to_bytes((w.n + 7) // 8, "little")
-    for k, b in enumerate(head):
+    for k, b in enumerate(w.value.to_bytes((w.n + 7) // 8, "little")):
         body[k] |= b
-    return _file(bytes(body[: max(len(head), (int(end[-1]) + 7) // 8)]), width, height)
+    return _file(bytes(body[: max((w.n + 7) // 8, (int(end[-1]) + 7) // 8)]), width, height)
 
 
 # ---------------------------------------------------------------- the media column
@@ -670,6 +757,24 @@ def media_column(docs: DataFrame, keep: list[str]) -> DataFrame:
     return annotate(docs, "text", keep, "n_bytes bigint, media binary", build)
 
 
+def pixel_arrays(stored: DataFrame) -> DataFrame:
+    """row, image, height, width and pixels of every image of a media column: pixels are 32-bit numbers in rows, alpha, red, green, blue
+    from the highest byte down.
+    """
+    added = stored.sparkSession.createDataFrame([], "image int, height int, width int, pixels array<bigint>").schema
+    schema = type(added)([stored.schema["row"], *added.fields])
+
+    def run(batches):
+        for b in batches:
+            for lo in range(b.num_rows):
+                one = b.slice(lo, 1)
+                for k, p in enumerate(decode_many(list(_files(one.column(1)[0].as_py())))):
+                    arrays = [one.column(0), pa.array([k], pa.int32()), pa.array([p.shape[0]], pa.int32()), pa.array([p.shape[1]], pa.int32()), pa.array([p.reshape(-1).astype(np.int64)], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return stored.select("row", "media").mapInArrow(run, schema)
+
+
 _FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
@@ -698,6 +803,11 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media of every document, stored, read back and decoded: sizes, digests and a feature.
+
+    Null and empty texts are one unit of bytes 255; equal texts give equal rows but for doc_id; repeated rows stay; texts longer
+    than an image continue in further images; an empty table gives an empty result.
+    """
     stored, _ = store(media_column(table(spark, sf_dir, "documents"), ["doc_id"]), "media", "none")
     found = features(stored)
     return found.select(F.col("row.doc_id").alias("doc_id"), *[c for c in found.columns if c != "row"])

@@ -94,3 +94,38 @@ def test_edge_rows(spark):
     assert sorted((r.row.doc_id or 0, r.n_bytes, r.payload_bytes) for r in got) == [(0, 70000, 70272), (1, 0, 576), (2, 0, 576), (2, 0, 576)]
     assert len({r.payload_sha256 for r in got}) == 2
     assert webp.features(webp.media_column(d.limit(0), ["doc_id"])).count() == 0
+
+
+def _used(data):
+    """Names of what a file uses, read from its bits."""
+    bits, width, height, _ = webp._frame(data)
+    transforms, own = webp._transforms(bits, width, height)
+    cache, _, meta, groups = webp._header(bits, own, height, True)
+    names = {["predictor", "cross", "green", "palette"][t[0]] for t in transforms}
+    return names | ({"copies"} if groups[0][0].highest >= 256 else set()) | ({"cache"} if cache else set())
+
+
+def test_media_use_palettes_and_copies():
+    line = b"a line of text that is longer than sixty-four bytes, so it becomes a copy\n"
+    texts = {b"": {"palette", "copies"}, b"abba" * 400: {"palette", "copies"}, bytes(range(200)): {"copies"}, line + b"something else: 0123456789 %&\n" + line * 3: {"copies"}, np.random.default_rng(9).integers(0, 250, 576).astype(np.uint8).tobytes(): set()}
+    files = [webp.to_media(t) for t in texts]
+    assert [_used(f) for f in files] == list(texts.values())
+    for t, f, got in zip(texts, files, webp.from_media(files * 3), strict=False):
+        payload = webp.payload_of(t)
+        assert ((webp.decode(f) >> 8) & 255).astype(np.uint8).tobytes()[: len(payload)] == payload == got.tobytes()[: len(payload)]
+
+
+def test_the_querys_own_files_use_the_method(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    used = [_used(webp.to_media(r.text.encode())) for r in rows]
+    assert sum("copies" in u for u in used) > len(rows) // 2
+    assert sum("palette" in u for u in used) == sum(len(set(webp.payload_of(r.text.encode()))) <= 16 for r in rows)
+
+
+def test_pixel_arrays(spark):
+    d = spark.createDataFrame([(1, "z" * 1000), (2, "a b" * 50), (3, None)], "doc_id bigint, text string")
+    got = {r.row.doc_id: r for r in webp.pixel_arrays(webp.media_column(d, ["doc_id"])).collect()}
+    for doc_id, text in ((1, "z" * 1000), (2, "a b" * 50), (3, "")):
+        payload = webp.payload_of(text.encode())
+        assert bytes((v >> 8) & 255 for v in got[doc_id].pixels)[: len(payload)] == payload and all(v >> 24 == 255 for v in got[doc_id].pixels)
+        assert got[doc_id].height * got[doc_id].width == len(got[doc_id].pixels)
