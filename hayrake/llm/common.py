@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
-from array import array
+from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of this machine where unset in a local session.
+
+    On a cluster a missing setting is an error: each executor would write to its own disk.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or FALLBACK_DIR).rstrip("/")
 
 
@@ -32,6 +40,13 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/hayrake-{label}-{uuid.uuid4().hex}"
 
 
+def passing(spark: SparkSession, path: str) -> str:
+    """Have a stage table removed when the driver's file system closes, whatever still reads it until then."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def store(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
@@ -40,6 +55,7 @@ def store(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, st
     spark = df.sparkSession
     path = stage_path(spark, label)
     df.write.option("compression", codec).parquet(path)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -68,106 +84,127 @@ def slices(texts, most: int = 8 << 20):
         lo = hi
 
 
-def coded_words(texts: list[str]):
-    """Words between single spaces: (distinct words, code of each word, first word of each text as a place in the codes)."""
+def coded_words(texts: list[str], cut: list[list[str]]):
+    """Words of texts that single spaces separate, then those of ``cut``: (distinct words, code of each word, ends of the texts)."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     rows = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-    coded = rows.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), rows.offsets.to_numpy().astype(np.int64)
+    more = pa.array([w for words in cut for w in words], pa.large_string())
+    coded = pa.concat_arrays([rows.flatten(), more]).dictionary_encode()
+    ends = np.concatenate([np.diff(rows.offsets.to_numpy()), [len(words) for words in cut]]).cumsum()
+    return coded.dictionary, coded.indices.to_numpy(), ends.astype(np.int64)
 
 
 class WordMemo:
-    """Ids of words, bounded in words and characters.
+    """Ids of words, bounded in words and characters, in Arrow and NumPy arrays.
 
     When it is full, at the start of a slice, the half of the words that occurred in the fewest slices goes; so frequent words
     stay known, and memory depends on the bounds and one slice only.
     """
 
     def __init__(self, words: int, chars: int):
-        self.words, self.most = words, chars
+        self.limit, self.most = words, chars
         self.reset()
 
     def reset(self) -> None:
         import numpy as np
+        import pyarrow as pa
 
-        self.place: dict[str, int] = {}
-        self.flat, self.starts, self.chars, self.hits = array("I"), array("q", [0]), 0, np.zeros(0, np.int32)
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.starts, self.hits = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def add(self, word: str | None, ids) -> int:
-        """Keep the ids of a word and return their place; those of no word go with the next half."""
-        at = len(self.starts) - 1
-        if word is not None:
-            self.place[word] = at
-            self.chars += len(word)
-        self.flat.extend(ids)
-        self.starts.append(len(self.flat))
-        return at
+    def places(self, words, learn):
+        """Where the ids of distinct words are; ``learn`` gives those of new ones, as a list for a list."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(words, value_set=self.words)
+        known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        out = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        if not known.all():
+            new = words.filter(pa.array(~known))
+            ids = learn(new.to_pylist())
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            out[~known] = len(self.words) + np.arange(len(ids))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes)])
+            self.flat, self.words = np.concatenate([self.flat, flat]), pa.concat_arrays([self.words, new])
+        return out
 
     def prune(self) -> None:
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        if len(self.starts) <= self.words and len(self.flat) <= 8 * self.words and self.chars <= self.most:
+        chars = pc.sum(pc.binary_length(self.words)).as_py() or 0
+        if len(self.words) <= self.limit and len(self.flat) <= 8 * self.limit and chars <= self.most:
             return
-        words, at = list(self.place), np.fromiter(self.place.values(), np.int64, len(self.place))
-        hits = np.zeros(len(self.starts) - 1, np.int32)
-        hits[: len(self.hits)] = self.hits
-        kept = np.sort(np.argsort(-hits[at], kind="stable")[: min(self.words, len(at)) // 2])
-        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.uint32)
-        ids, sizes = _gathered(flat, starts, at[kept])
-        words = [words[k] for k in kept.tolist()]
+        kept = np.sort(np.argsort(-self.hits, kind="stable")[: min(self.limit, len(self.hits)) // 2])
+        flat, sizes = _gathered(self.flat, self.starts, kept)
+        words, hits = self.words.take(pa.array(kept)), self.hits[kept] // 2
         self.reset()
-        self.chars = sum(map(len, words))
-        if self.chars > self.most // 2 or len(ids) > 4 * self.words:
-            self.chars = 0
-            return
-        self.place = dict(zip(words, range(len(words)), strict=True))
-        self.flat, self.starts = array("I", ids.tobytes()), array("q", np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes())
-        self.hits = hits[at[kept]] // 2
+        if len(flat) <= 4 * self.limit and (pc.sum(pc.binary_length(words)).as_py() or 0) <= self.most // 2:
+            self.words, self.flat, self.starts, self.hits = words, flat, np.concatenate([[0], np.cumsum(sizes)]), hits
 
-    def gather(self, places: list) -> list:
-        """Ids of each array of places."""
+    def gather(self, at, ends) -> list:
+        """Ids of the texts whose words are at ``at``, cut at ``ends``."""
         import numpy as np
 
-        starts = np.array(self.starts, np.int64)
-        at = np.concatenate([np.empty(0, np.int64), *places])
-        ids, sizes = _gathered(np.array(self.flat, np.uint32), starts, at)
-        seen = (np.bincount(at, minlength=len(starts) - 1) > 0).astype(np.int32)
+        seen = np.zeros(len(self.words), np.int32)
+        seen[at] = 1
         seen[: len(self.hits)] += self.hits
         self.hits = seen
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, places)])].tolist()
+        ids, sizes = _gathered(self.flat, self.starts, at)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])].tolist()
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _gathered(flat, starts, at):
     import numpy as np
 
-    sizes, first = (starts[1:] - starts[:-1])[at], starts[:-1][at]
-    before = np.cumsum(sizes) - sizes
-    return flat[np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))], sizes
+    sizes = np.diff(starts).astype(np.int32)[at]
+    shift = starts[:-1][at] - (np.cumsum(sizes, dtype=np.int64) - sizes)
+    index = np.arange(int(sizes.sum(dtype=np.int64)))
+    index += np.repeat(shift, sizes)
+    return flat[index], sizes
 
 
 _MEMOS: dict = {}
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    """The C library, told to give large blocks back as soon as they are freed; Arrow allocates from it too.
+
+    Workers that process slices of text would else keep what their largest slice needed, for each of Arrow and NumPy.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        lib = ctypes.CDLL(None)
+        lib.mallopt(-3, 1 << 22)
+        lib.mallopt(-1, 1 << 23)
+        return lib
+    return None
+
+
 def claim(name: str, clear=lambda: None) -> None:
     """Call at a task's start: empties the memos that other operators left in this Python worker, and gives the memory back."""
+    lib = _libc()
     others = [k for k in _MEMOS if k != name]
     for other in others:
         _MEMOS.pop(other)()
     _MEMOS[name] = clear
     if others:
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        with contextlib.suppress(AttributeError):
+            lib.malloc_trim(0)
 
 
 def quoted(name: str) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, quoted, store, table
+from .common import claim, prepare, quoted, store, table
 
 WINDOW = 10
 #: Words of items in one automaton, which every executor holds; more items are taken in several passes.
@@ -196,6 +196,7 @@ def _pass(found: DataFrame, shared, last: bool) -> DataFrame:
     schema = type(extra)([*carried, *extra.fields])
 
     def run(batches):
+        claim("items")
         machine = shared.value
         for b in batches:
             n, spans, items = [], [], []
@@ -254,6 +255,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that item windows cover, and the items that have such windows.
+
+    Null and empty texts and items have no words; repeated documents have equal results, repeated items count by their id; an empty
+    benchmark hits nothing; an empty table of documents gives an empty result.
+    """
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = scan(docs.select("doc_id", "text"), benchmark, ["doc_id"])
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["past"] - s["first"])

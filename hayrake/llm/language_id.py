@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import annotate, prepare, quoted, table
+from .common import annotate, claim, prepare, quoted, table
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -96,6 +96,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> list[tuple[str, int, int]]:
     spark = prepare(docs.sparkSession)
 
     def run(batches):
+        claim("languages")
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         held: dict[str, list[np.ndarray]] = {}
         size_of: dict[str, int] = {}
@@ -147,6 +148,7 @@ def identify(docs: DataFrame, ranks: list[tuple[str, int, int]], keep: list[str]
     shared = prepare(docs.sparkSession).sparkContext.broadcast(Profiles(ranks))
 
     def build():
+        claim("languages")
         judge = shared.value.judge
 
         def work(texts):
@@ -166,6 +168,11 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; learnt from those that are not held out.
+
+    Null and empty texts and those without a letter are ``und`` with score 0; repeated rows are judged alike; ties go to the language
+    that sorts first; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     ranks = learn(docs.where(~held_out()).select("text", "lang"))
     found = identify(docs.select("doc_id", "text"), ranks, ["doc_id"])

@@ -24,6 +24,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ MARK = "▁"
 _MARK = MARK.encode()
 MEMO_WORDS = 600_000
 #: Characters of words that a memo holds before it restarts.
-MEMO_CHARS = 16 << 20
-MEMO_PAIRS = 400_000
+MEMO_CHARS = 24 << 20
+MEMO_PAIRS = 300_000
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -206,39 +207,41 @@ class PieceModel:
             before = word
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Segment new words in sorted order, so that those with a common prefix are neighbours."""
-        marked = sorted((MARK + k.replace(" ", MARK), k) for k in words)
-        for (_, k), ids in zip(marked, self.segment([m for m, _ in marked]), strict=True):
-            self.memo.add(k, ids)
+    def _learn(self, words: list[str]) -> list[list[int]]:
+        """Segment new words in sorted order, so that those with a common prefix are neighbours.
+
+        A mark stands before a word, but not before one that starts a text without one: the memo has those behind a mark.
+        """
+        marked = [k[1:].replace(" ", MARK) if k.startswith(MARK) else MARK + k.replace(" ", MARK) for k in words]
+        order = sorted(range(len(words)), key=marked.__getitem__)
+        out: list = [()] * len(words)
+        for k, ids in zip(order, self.segment([marked[k] for k in order]), strict=True):
+            out[k] = ids
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text.  The distinct words of all texts are looked up once, and ids are gathered by index."""
         self.memo.prune()
-        odd, plain, places = {}, [], [np.empty(0, np.int64)] * len(texts)
+        odd, plain = [], []
         for k, t in enumerate(texts):
             if not t:
                 continue
             t = t.replace(MARK, " ")
             if "  " in t or t[0] == " " or t[-1] == " ":
-                odd[k] = self.keys(t)
+                if keys := self.keys(t):
+                    odd.append((k, keys))
             else:
                 plain.append((k, t))
-        words, codes, offsets = coded_words([t for _, t in plain])
-        self._learn(set(words).union(*odd.values()).difference(self.memo.place))
-        get = self.memo.place.__getitem__
-        at = np.fromiter(map(get, words), np.int64, len(words))[codes]
-        for (k, _), lo, hi in zip(plain, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            places[k] = at[lo:hi]
-        for k, keys in odd.items():
-            places[k] = np.fromiter(map(get, keys), np.int64, len(keys))
-        if not self.prefix:
-            firsts = {k: keys[0] for k, keys in odd.items() if keys} | {k: words[c] for (k, _), c in zip(plain, codes[offsets[:-1]].tolist(), strict=True)}
-            bare = sorted({w.replace(" ", MARK) for w in firsts.values()})
-            found = {w: self.memo.add(None, ids) for w, ids in zip(bare, self.segment(bare), strict=True)}
-            for k, w in firsts.items():
-                places[k] = np.concatenate([[found[w.replace(" ", MARK)]], places[k][1:]])
-        return [x.astype(np.int32) for x in self.memo.gather(places)]
+        words, codes, ends = coded_words([t for _, t in plain], [keys for _, keys in odd])
+        at = self.memo.places(words, self._learn)[codes]
+        if not self.prefix and len(ends):
+            first = np.concatenate([[0], ends[:-1]])
+            bare = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), words.take(pa.array(codes[first])), pa.scalar("", pa.large_string())).dictionary_encode()
+            at[first] = self.memo.places(bare.dictionary, self._learn)[bare.indices.to_numpy()]
+        out = [np.empty(0, np.int32)] * len(texts)
+        for (k, _), ids in zip([*plain, *odd], self.memo.gather(at, ends), strict=True):
+            out[k] = ids.astype(np.int32)
+        return out
 
     def both(self, texts: list[bytes | None]) -> tuple[list[np.ndarray], list[bytes]]:
         """Ids of UTF-8 texts, and what they decode to."""
@@ -272,7 +275,7 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def runs(texts: list[bytes | None], most: int = 16 << 20):
+def runs(texts: list[bytes | None], most: int = 4 << 20):
     """Runs of texts of about ``most`` bytes."""
     part, held = [], 0
     for t in texts:
@@ -313,7 +316,7 @@ def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces and ids: the documents as training input."""
+    """doc_id, n_pieces and ids: the documents as training input; null and empty texts have no ids, repeated rows stay."""
     found = encode(docs, path, ["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_pieces"), "ids")
 
@@ -340,6 +343,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document, and whether the text comes back.
+
+    Null and empty texts have no ids and come back empty; repeated rows have equal results; of pieces with equal scores the longest
+    last one wins; whole texts count, however long; an empty table gives an empty result.
+    """
     import public_tokenizers
 
     found = digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -17,31 +17,38 @@ step, so the number of vector steps is CHECKPOINT, whatever the block's size.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim, discard, prepare, stage_path, store
+from .common import WordMemo, claim, coded_words, discard, passing, prepare, slices, stage_path, store
 
 MAX_BITS = 20
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 18
 MEMO_WORDS = 1_500_000
+#: Characters of words that a memo holds before it restarts.
+MEMO_CHARS = 24 << 20
+#: Pre-tokens of words with punctuation that are kept apart.
+MEMO_PARTS = 200_000
+#: Bytes of text that are tokenised at a time.
+SLICE = 12 << 20
 #: A single space between two visible characters starts a pre-token of its own, whatever surrounds it.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space but the space and the line feed; a text without any of it needs no search for its cuts.
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: Words of ASCII and Latin letters, and their pre-tokens.
-_PLAIN = re.compile(" ?[!-~\xa1-\u024f]+")
-_PLAIN_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ {_L}{_N}]+")
+#: Words of ASCII and Latin letters, also several with one line feed between each two, and their pre-tokens.
+_PLAIN = re.compile(" ?[!-~\xa1-\u024f]+(?:\n[!-~\xa1-\u024f]+)*")
+_PLAIN_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n{_L}{_N}]+|\n")
 
 
 def _visible_bytes() -> dict[int, int]:
@@ -52,6 +59,8 @@ def _visible_bytes() -> dict[int, int]:
 
 
 _VISIBLE = _visible_bytes()
+_SPACE = chr(_VISIBLE[0x20])
+_NOTHING, _BLANK = (pa.scalar(x, pa.large_string()) for x in ("", " "))
 
 _RAW = (
     "file_no int, block_no int, first_token bigint, n_tokens bigint, "
@@ -66,31 +75,32 @@ _PACKED = (
 # ---------------------------------------------------------------- tokenising
 
 
-class _Places(dict):
-    """Word -> place of its ids; a word that is not known yet is encoded on the first look."""
-
-    def __init__(self, learn, lead: str):
-        self.learn, self.lead = learn, lead
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = self.learn(self.lead + word)
-        return at
-
-
 class MemoTokenizer:
     """Whole-text ids of a byte-level BPE file of ``tokenizers``, with one look-up per word.
 
     BPE never merges across a pre-token boundary, and a single space between two visible characters is always
-    such a boundary.  The text is cut there, each distinct word is encoded once by the library, and ids
-    are gathered by index.  Plain Latin words are cut further, so that "word," and "word" share the model's work;
-    any other piece goes through the library's own pre-tokenizer.  The memo is bounded and restarts
-    when full, so memory does not depend on the corpus.
+    such a boundary.  The text is cut there, the distinct words of a slice of texts are looked up, new ones are encoded once
+    by the library, and ids are gathered by index.  Plain Latin words are cut further, so that "word," and "word" share the
+    model's work; any other piece goes through the library's own pre-tokenizer.  The memo is bounded in words, ids and
+    characters, so memory does not depend on the corpus.  All this holds for byte-level BPE without
+    normaliser and without a space before the text; texts of any other file go to the library whole.
     """
 
     def __init__(self, path: str, limit: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
-        self.lib, self.limit = Tokenizer.from_file(path), limit
+        self.lib, self.memo = Tokenizer.from_file(path), WordMemo(limit, MEMO_CHARS)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut, merges = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        self.by_word = (
+            spec.get("normalizer") is None
+            and cut.get("type") == "ByteLevel"
+            and not cut.get("add_prefix_space", True)
+            and cut.get("use_regex", True)
+            and merges.get("type", "BPE") == "BPE"
+            and not any(merges.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        )
         self.model = self.lib.model
         names = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, names)) or r"(?!)")
@@ -98,55 +108,69 @@ class MemoTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.memo.reset()
         self.parts: dict[str, tuple[int, ...]] = {}
-        self.first, self.later = _Places(self._learn, ""), _Places(self._learn, " ")
 
     def _tokens(self, part: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_VISIBLE))]
+        """Ids of a pre-token of visible characters, with a space before it or none; ASCII stands for itself."""
+        if part.isascii() and part != "\n":
+            shown = _SPACE + part[1:] if part[0] == " " else part
+        else:
+            shown = part.encode().decode("latin-1").translate(_VISIBLE)
+        return [t.id for t in self.model.tokenize(shown)]
 
-    def _part(self, part: str):
-        """Ids of a pre-token: those of the same word where it is known, else kept apart."""
-        at = self.later.get(part[1:]) if part[0] == " " else self.first.get(part)
-        if at is not None:
-            return self.flat[self.starts[at] : self.starts[at] + self.sizes[at]]
+    def _part(self, part: str) -> tuple[int, ...]:
         ids = self.parts.get(part)
         if ids is None:
             ids = self.parts[part] = tuple(self._tokens(part))
         return ids
 
-    def _learn(self, piece: str) -> int:
+    def _ids(self, piece: str):
         if self.letters_only and piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():
-            ids = self._tokens(piece)
-        elif _PLAIN.fullmatch(piece) and not self.special.search(piece):
+            return self._tokens(piece)
+        if _PLAIN.fullmatch(piece) and not self.special.search(piece):
             ids = []
             for part in _PLAIN_PART.findall(piece):
                 ids += self._part(part)
-        else:
-            ids = self.lib.encode(piece, add_special_tokens=False).ids
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
-        return len(self.starts) - 1
-
-    def _places(self, text: str) -> np.ndarray:
-        odd = text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text)
-        words = _SAFE_CUT.split(text) if odd else text.split(" ")
-        at = np.empty(len(words), np.int64)
-        at[0] = self.first[words[0]]
-        at[1:] = np.fromiter(map(self.later.__getitem__, words[1:]), np.int64, len(words) - 1)
-        return at
+            return ids
+        return self.lib.encode(piece, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> list:
+        """Ids of words of the memo: those that start a text are marked by a space, all others have one before them."""
+        return [self._ids(w[1:]) if w[:1] == " " and len(w) > 1 else () if w == " " else self._ids(" " + w) for w in words]
+
+    @staticmethod
+    def _odd(text: str) -> bool:
+        """Whether some space is not a cut between two visible characters."""
+        return text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.starts) > self.limit or len(self.flat) > 8 * self.limit:
-            self.reset()
-        places = [self._places(t) if t else np.empty(0, np.int64) for t in texts]
-        at = np.concatenate([np.empty(0, np.int64), *places])
-        size, start = np.array(self.sizes, np.int64)[at], np.array(self.starts, np.int64)[at]
-        end = np.concatenate([[0], np.cumsum(size)])
-        ids = np.array(self.flat, np.uint32)[np.repeat(start - end[:-1], size) + np.arange(end[-1])]
-        past = end[np.cumsum([0, *map(len, places)])].tolist()
-        return [ids[a:b] for a, b in zip(past[:-1], past[1:], strict=True)]
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        self.memo.prune()
+        if len(self.parts) > MEMO_PARTS:
+            self.parts = {}
+        plain, odd = [], []
+        for k, t in enumerate(texts):
+            if t:
+                (odd if self._odd(t) else plain).append(k)
+        words, codes, ends = coded_words([texts[k] for k in plain], [_SAFE_CUT.split(texts[k]) for k in odd])
+        first = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.empty(0, np.int64)
+        later = np.ones(len(codes), bool)
+        later[first] = False
+        wanted = np.zeros(len(words), bool)
+        wanted[codes[later]] = True
+        heads = pc.binary_join_element_wise(_NOTHING, words.take(pa.array(codes[first])), _BLANK).dictionary_encode()
+        place = np.full(len(words), -1, np.int64)
+        found = self.memo.places(pa.concat_arrays([words.filter(pa.array(wanted)), heads.dictionary]), self._learn)
+        n = int(wanted.sum())
+        place[wanted] = found[:n]
+        at = place[codes]
+        at[first] = found[n:][heads.indices.to_numpy()]
+        out = [np.empty(0, np.uint32)] * len(texts)
+        for k, ids in zip([*plain, *odd], self.memo.gather(at, ends), strict=True):
+            out[k] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -178,9 +202,10 @@ def tokenised_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, bloc
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _RAW_ARROW, strict=True)], names=_RAW_NAMES)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                for doc_id, got in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist()), strict=True):
+            numbers = iter(b.column(0).to_pylist())
+            for part in slices(b.column(1), SLICE):
+                for got in tok.encode(part.to_pylist()):
+                    doc_id = next(numbers)
                     ids.append(doc_id)
                     sizes.append(len(got) + 1)
                     parts += [got.astype(kind).tobytes(), np.array([end_id], kind).tobytes()]
@@ -399,9 +424,14 @@ def with_global_start(spark: SparkSession, path: str, decoded: DataFrame) -> Dat
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, stored and read back: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts are the end id alone; repeated rows are documents of their own, in the order of their texts; null ids come
+    first; an empty table gives an empty result; doc_ids that are no whole numbers are an error.
+    """
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path = write_store(docs, stage_path(spark, "store"), public_tokenizers.path("byte_bpe_50k.json"))
+    path = passing(spark, write_store(docs, stage_path(spark, "store"), public_tokenizers.path("byte_bpe_50k.json")))
     found = with_global_start(spark, path, read_store(spark, path))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, prepare, store, table
+from .common import annotate, claim, prepare, store, table
 from .token_store import limited_lengths
 
 UNIT = 576
@@ -748,6 +748,8 @@ def media_column(docs: DataFrame, keep: list[str]) -> DataFrame:
     prepare(docs.sparkSession)
 
     def build():
+        claim("media")
+
         def work(texts):
             raw = [t or b"" for t in texts]
             return [pa.array([len(t) for t in raw], pa.int64()), pa.array([to_media(t) for t in raw], pa.binary())]
@@ -765,6 +767,7 @@ def pixel_arrays(stored: DataFrame) -> DataFrame:
     schema = type(added)([stored.schema["row"], *added.fields])
 
     def run(batches):
+        claim("media")
         for b in batches:
             for lo in range(b.num_rows):
                 one = b.slice(lo, 1)
@@ -786,6 +789,7 @@ def features(stored: DataFrame) -> DataFrame:
     schema = type(added)([stored.schema["row"], stored.schema["n_bytes"], *added.fields])
 
     def run(batches):
+        claim("media")
         for b in batches:
             n, medias = b.column(1).to_pylist(), b.column(2).to_pylist()
             rows = []

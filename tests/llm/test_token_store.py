@@ -75,3 +75,27 @@ def test_query_covers_the_table(spark):
     got = {tuple(r) for r in ts.op1_token_store(spark, sf).collect()}
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert got == set(_brute(rows))
+
+
+def test_words_are_pieces_of_the_whole_text():
+    tok, lib, rng = ts.MemoTokenizer(PATH, limit=300), Tokenizer.from_file(PATH), np.random.default_rng(3)
+    parts = ["a", "B", "the", "é", "ß", "1", "²", ".", ",", "'s", "'S", "'ll", "-", "\n", " ", "  ", "\n\n", "\t", "&&&", "\xa0", "ü", "日", "'", "_", "\r", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(6000)]
+    for lo in range(0, len(texts), 300):
+        for t, got in zip(texts[lo : lo + 300], tok.encode(texts[lo : lo + 300]), strict=True):
+            assert got.tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert len(tok.memo.words) < 2000
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "prefixed.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    tok, lib = ts.MemoTokenizer(str(path)), Tokenizer.from_file(str(path))
+    assert not tok.by_word
+    for t, got in zip(["x y", "", "a  b"], tok.encode(["x y", "", "a  b"]), strict=True):
+        assert got.tolist() == lib.encode(t, add_special_tokens=False).ids
