@@ -13,27 +13,30 @@ from hayrake.llm.common import store, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text a learnt language profile recognises."""
+    """Documents whose text a learnt language profile recognises; null and empty texts and those without a letter go, repeated rows stay."""
     return language_id.keep_identified(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more go, and documents of which nothing is left."""
+    """Later copies of line runs of 50 words or more go, and documents of which nothing is left; null and empty texts stay as they are."""
     return line_dedup.keep_first_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    """One document stays of each group linked by a Jaccard similarity of 0.8 of five-word shingles: that of the least doc_id.
+
+    Documents without words have no links and stay; of rows that repeat doc_id and text one stays.
+    """
     return near_join.keep_one(docs, width=5, percent=80)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of benchmark items are cut; documents that consist of them go."""
+    """Spans of benchmark items are cut; documents that consist of them go; an empty benchmark changes nothing, nulls stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every document that is left."""
+    """SentencePiece ids of every document that is left; null and empty texts have none."""
     import public_tokenizers
 
     return pieces.encoded_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))

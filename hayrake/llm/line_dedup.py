@@ -191,6 +191,11 @@ def keep_first_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of lines and of removed lines of every document, and size and digest of what is kept.
+
+    Null texts have no lines and keep nothing, empty ones one empty line; rows that repeat doc_id and text have equal results; the
+    first copy in the order of doc_id, text hash and line stays; an empty table gives an empty result.
+    """
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

@@ -125,6 +125,11 @@ def _joined(spans: Column) -> Column:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, with counts and a digest of the base ones.
+
+    Null and empty texts have no spans and the digest of nothing; repeated rows have equal results; spans of one start stand in the
+    order of kinds; whole texts count, however long; an empty table gives an empty result.
+    """
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind_no"] == k)).cast("bigint")
     base = F.filter("spans", lambda s: s["kind_no"] < STRONG)

@@ -65,3 +65,15 @@ def test_long_and_empty_inputs(spark):
 def test_no_python_on_the_main_path(spark):
     plan = ld.op7_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = _brute(docs, ld.MIN_WORDS)
+    got = {r.doc_id: r for r in ld.op7_line_dedup(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        kept, r = want[doc_id, text], got[doc_id]
+        assert (r.n_lines, r.n_removed) == (text.count("\n") + 1, text.count("\n") + 1 - (kept.count("\n") + 1 if kept or r.n_removed <= text.count("\n") else 0))
+        assert r.kept_chars == len(kept) and r.kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()

@@ -56,3 +56,13 @@ def test_run_covers_documents(spark):
     assert out.columns == ["doc_id", "n_pieces", "ids"]
     n = Counter(r.doc_id for r in out.select("doc_id").collect())
     assert n and max(n.values()) == 1
+
+
+def test_stages_take_empty_tables_and_rows_without_text(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    nothing = spark.createDataFrame([], schema)
+    blank = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0)], schema)
+    left = {"language": 0, "lines": 3, "near_duplicates": 3, "benchmark": 3, "pieces": 3}
+    for name, stage in cp.STAGES:
+        assert stage(spark, nothing, SF).count() == 0, name
+        assert stage(spark, blank, SF).count() == left[name], name
