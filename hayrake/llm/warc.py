@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, stage_path, store, table
+from .common import passing, prepare, stage_path, store, table
 
 #: Smaller payloads are always stored whole.
 LEAST_SHARED = 100
@@ -33,7 +33,9 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: The member that ends every record.
 END = gzip.compress(b"\r\n\r\n", mtime=0)
-MOST_RECORDS = 20_000
+#: Records go to the sink in bundles of about so many compressed bytes, and so many bundles make a file: archives of 64 MB at most,
+#: but for single records larger than a bundle.
+BUNDLE, FILE_BUNDLES = 1 << 20, 64
 _PIECE = 1 << 14
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
@@ -94,19 +96,28 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_SHARED, level
     joined = own.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", "holder")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def bundle() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], names=["member"])
+
         for b in batches:
             for lo in range(0, b.num_rows, 200):
-                out = []
                 for page_id, url, body, digest, holder in zip(*(c.to_pylist() for c in b.slice(lo, 200).columns), strict=True):
                     first = holder is None or page_id is None or page_id <= holder
-                    out.append(gzip.compress(record(page_id, url, body, digest, holder, first), level, mtime=0))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                    held.append(gzip.compress(record(page_id, url, body, digest, holder, first), level, mtime=0))
+                    size += len(held[-1])
+                    if size >= BUNDLE:
+                        yield bundle()
+                        held, size = [], 0
+        if held:
+            yield bundle()
 
     members = joined.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
     (
         members.write.option("lineSep", END.decode("latin-1"))
         .option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", MOST_RECORDS)
+        .option("maxRecordsPerFile", FILE_BUNDLES)
         .text(path)
     )
     return path
@@ -323,7 +334,12 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_archives(table(spark, sf_dir, "pages"), stage_path(spark, "warc"))
+    """Every page written to archives and read back: page_id, payload size and digest, record type, holder of the payload.
+
+    Null and empty html are empty payloads; repeated rows are records of their own; of equal payloads the smallest page_id holds
+    the response, rows that repeat it are responses too; null page_ids are responses; an empty table gives an empty result.
+    """
+    path = passing(spark, write_archives(table(spark, sf_dir, "pages"), stage_path(spark, "warc")))
     found = read_archives(spark, path).where("kind = 'record'")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
