@@ -38,6 +38,18 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems(terms: pd.Series) -> pd.Series:
+    from .stem import stem
+
+    return terms.map(lambda words: None if words is None else [stem(w) for w in words])
+
+
+def stemmed(terms: Column) -> Column:
+    """Words with their Russian endings taken off; rows without Cyrillic letters never leave the JVM's values."""
+    return F.when(F.exists(terms, lambda w: w.rlike("[а-я]")), _stems(terms)).otherwise(terms)
+
+
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     """n-grams within words padded by a space each side; a padded word shorter than n gives itself once for that n."""
     words = F.filter(F.split(text, " "), lambda w: w != "")
@@ -56,10 +68,27 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words, all_of))
 
 
+#: The short escapes of JSON.
+_ESCAPES = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def json_list(*values: Column) -> Column:
+    """A JSON list of the values as strings, nulls as empty ones, so that no two rows of different fields look alike."""
+
+    def quoted(c: Column) -> Column:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        whole = text
+        for code in range(32):
+            whole = F.replace(whole, F.lit(chr(code)), F.lit(_ESCAPES.get(chr(code), f"\\u{code:04x}")))
+        return F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f]"), whole).otherwise(text), F.lit('"'))
+
+    return F.concat(F.lit("["), F.concat_ws(", ", *[quoted(v) for v in values]), F.lit("]"))
+
+
 def context_key(*columns: str) -> Column:
-    """First 24 hex digits of the SHA-256 of a JSON list of the values as strings."""
-    quoted = [F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\"), '"', '\\\\"'), F.lit('"')) for c in columns]
-    return F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *quoted), F.lit("]")), 256), 1, 24)
+    """First 24 hex digits of the SHA-256 of a JSON list of the values as strings; a null counts as an empty one."""
+    return F.substring(F.sha2(json_list(*[F.col(c) for c in columns]), 256), 1, 24)
 
 
 def canonical_filter(text: Column) -> Column:

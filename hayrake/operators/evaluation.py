@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import CONFIG
 from ..functions.numeric import length_bin
 
 
@@ -23,8 +24,8 @@ def recall_curve(ranked: DataFrame, truth: DataFrame, q_key: str, key: str, cuts
     return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{k}`").alias("recall")) for k in cuts])).alias("r")).select("r.*")
 
 
-def stratum(text: Column, filters: Column, has_centre: Column) -> list[Column]:
-    return [length_bin(F.length(text)).alias("bin"), (F.length(F.coalesce(filters, F.lit(""))) > 0).alias("filtered"), has_centre.alias("centred")]
+def stratum(text: Column, filters: Column, has_centre: Column, edges=CONFIG.bins) -> list[Column]:
+    return [length_bin(F.length(text), edges).alias("bin"), (F.length(F.coalesce(filters, F.lit(""))) > 0).alias("filtered"), has_centre.alias("centred")]
 
 
 def matched_recall(per_query: DataFrame, target: DataFrame, strata: list[str]) -> DataFrame:
@@ -39,18 +40,30 @@ def matched_recall(per_query: DataFrame, target: DataFrame, strata: list[str]) -
 
 
 def blend_regimes(unseen: float | Column, held: float | Column, known: float) -> Column:
-    return (1 - known) * F.lit(unseen) + known * F.lit(held)
+    return (1 - known) * (F.lit(unseen) if isinstance(unseen, float) else unseen) + known * (F.lit(held) if isinstance(held, float) else held)
 
 
-def bootstrap(deltas: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
-    """Percentile interval of the mean delta; a row's Poisson(1) weight in a draw comes from a hash."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(key)), F.lit(1 << 52)) / float(1 << 52)).cast("double")
+def _poisson_steps(n: int = 8) -> list[float]:
+    """Where the distribution function of Poisson(1) stands at 0, 1, 2 and so on."""
     steps, p, cut = [], 0.36787944117144233, 0.0
-    for k in range(8):
+    for k in range(n):
         cut += p
         steps.append(cut)
         p /= k + 1
-    weight = sum([(F.col("u") >= s).cast("int") for s in steps], F.lit(0))
+    return steps
+
+
+POISSON = _poisson_steps()
+
+
+def bootstrap(deltas: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """Percentile interval of the mean delta; a query's Poisson(1) weight in a draw comes from a SHA-256 that any engine can repeat.
+
+    ``deltas`` has one row per query; every draw is a partial sum of its task before the shuffle.
+    """
+    text = F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), F.col(key).cast("string"))
+    u = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = sum([(F.col("u") >= s).cast("int") for s in POISSON], F.lit(0))
     rows = deltas.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u)
     means = rows.groupBy("draw").agg((F.sum(F.col("delta") * weight) / F.greatest(F.sum(weight), F.lit(1))).alias("mean"))
     return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.count("*").alias("draws"))
@@ -68,7 +81,7 @@ def attribution(truth: DataFrame, pool: DataFrame, answer: DataFrame, q_key: str
     return truth.join(p, [q_key, key], "left").join(a, [q_key, key], "left").groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
 
 
-def admissible_best(configs: DataFrame, base: float, slack: float = 0.005) -> DataFrame:
+def admissible_best(configs: DataFrame, base: float | Column, slack: float = 0.005) -> DataFrame:
     """The best matched score among those that lose at most ``slack`` on unseen texts."""
     return configs.where(F.col("unseen") >= base - slack).orderBy(F.desc("matched"), F.asc("name")).limit(1)
 
@@ -99,3 +112,16 @@ def overlap(a: DataFrame, b: DataFrame, q_key: str, key: str) -> DataFrame:
     """Mean number of common ids per query of a."""
     n = a.select(q_key).distinct().agg(F.count("*").alias("n"))
     return a.join(b, [q_key, key], "left_semi").agg(F.count("*").alias("common")).crossJoin(n).select((F.col("common") / F.col("n")).alias("mean_common"))
+
+
+def class_metrics(truth: DataFrame, predicted: DataFrame, q_key: str, label: str, cuts: list[int], floor: float = 1e-8) -> DataFrame:
+    """One row: recall of the true labels at each cut, mean negative log-likelihood and share of labels of probability 0.
+
+    ``truth`` (q_key, label, n) and ``predicted`` (q_key, label, p); means within a query, then over queries.
+    """
+    ranked = predicted.withColumn("place", F.rank().over(Window.partitionBy(q_key).orderBy(F.desc("p")))).select(q_key, label, "p", "place")
+    both = truth.join(ranked, [q_key, label])
+    n, all_ = F.col("n"), F.sum("n")
+    at = [(F.sum(n * (F.col("place") <= k).cast("int")) / all_).alias(f"recall_{k}") for k in cuts]
+    per = both.groupBy(q_key).agg(*at, (F.sum(n * -F.log(F.greatest("p", F.lit(floor)))) / all_).alias("nll"), (F.sum(n * (F.col("p") == 0).cast("int")) / all_).alias("unseen_share"))
+    return per.agg(*[F.avg(c).alias(c) for c in per.columns[1:]])

@@ -24,8 +24,8 @@ def fuse(scores: DataFrame, q_key: str, weights: dict[str, float], out: str = "f
 
 
 def nested(scores: DataFrame, q_key: str, steps: list[tuple[str, float]], first: str, out: str = "fused") -> DataFrame:
-    """Fuse ``first`` with each (column, weight) in turn; the running result has the rest of the weight."""
+    """Fuse ``first`` with each (column, weight) in turn; the running result has the rest of the weight and 12 digits."""
     df = scores.withColumn(out, F.col(first).cast("double"))
     for column, weight in steps:
-        df = fuse(df, q_key, {column: weight, out: 1 - weight}, "_next").drop(out).withColumnRenamed("_next", out)
+        df = fuse(df, q_key, {column: weight, out: 1 - weight}, "_next").withColumn(out, F.round("_next", 12)).drop("_next")
     return df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed
+from ..sources.tables import staged
 from .relational import first_by, purge, within, without
 
 
@@ -20,10 +21,9 @@ def folds(keys: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     The place in the order is the number of earlier keys: sorted ranges are counted apart and added up, so no
     task sees all keys.
     """
-    from pyspark import StorageLevel
-
     ordered = keys.select(key).distinct().withColumn("h", hashed(seed, key)).repartitionByRange("h", key).sortWithinPartitions("h", key)
-    ordered = ordered.withColumn("mid", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = ordered.withColumn("mid", F.monotonically_increasing_id())
+    ordered = staged(ordered, "folds")
     part, row = F.shiftright("mid", 33), F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -96,16 +96,6 @@ def coverage(queries: DataFrame, fit: DataFrame, gold_sets: DataFrame, text: str
     return known.crossJoin(share.agg(F.avg("s").alias("positives_seen"))).crossJoin(own)
 
 
-def hard_negatives(ranked: DataFrame, positives: DataFrame, q_key: str, key: str, hard: int, tail: int, seed: int) -> DataFrame:
-    """Positives that were retrieved, the best-ranked others and a seeded sample of the rest; ``place`` is the rank."""
-    marked = ranked.join(positives.select(q_key, key).distinct().withColumn("y", F.lit(1)), [q_key, key], "left").withColumn("y", F.coalesce("y", F.lit(0)))
-    wrong = F.row_number().over(Window.partitionBy(q_key, "y").orderBy("place", key))
-    marked = marked.withColumn("nth", F.when(F.col("y") == 0, wrong))
-    rest = Window.partitionBy(q_key, F.col("nth") > hard).orderBy(hashed(seed, F.concat_ws("/", F.col(q_key).cast("string"), F.col(key).cast("string"))), key)
-    kind = F.when(F.col("y") == 1, "positive").when(F.col("nth") <= hard, "hard").when(F.row_number().over(rest) <= tail, "tail")
-    return marked.withColumn("kind", kind).where("kind is not null").drop("nth")
-
-
 def query_weights(sample: DataFrame, q_key: str) -> DataFrame:
     """Equal total weight of each query's positives and of its negatives, mean 1 over all rows."""
     w = F.lit(100.0) / F.count("*").over(Window.partitionBy(q_key, "y"))
@@ -119,3 +109,50 @@ def regime_weights(groups: DataFrame, target: float) -> DataFrame:
     seen = groups.agg(F.avg(F.col("known").cast("double")).alias("o"))
     w = F.when(F.col("known"), target / F.col("o")).otherwise((1 - target) / (1 - F.col("o")))
     return groups.crossJoin(seen).withColumn("weight", w).drop("o")
+
+
+def group_sample(marked: DataFrame, q_key: str, key: str, hard: dict[str, int], tail: int, seed: int) -> DataFrame:
+    """Positives, the best wrong candidates by each score of ``hard``, and a seeded sample of the remaining ones.
+
+    A candidate that several scores choose stands once; ``kind`` is positive, hard or tail.
+    """
+    wrong = lambda c: F.row_number().over(Window.partitionBy(q_key, "y").orderBy(F.col(c).desc(), F.col(key)))
+    ranked = marked.select("*", *[wrong(c).alias(f"_n_{c}") for c in hard])
+    chosen = F.lit(False)
+    for c, n in hard.items():
+        chosen = chosen | (F.col(f"_n_{c}") <= n)
+    ranked = ranked.withColumn("_hard", (F.col("y") == 0) & chosen).withColumn("_rest", (F.col("y") == 0) & ~F.col("_hard"))
+    at = hashed(seed, F.concat_ws("/", F.col(q_key).cast("string"), F.col(key).cast("string")))
+    place = F.row_number().over(Window.partitionBy(q_key, "_rest").orderBy(at, F.col(key)))
+    kind = F.when(F.col("y") == 1, "positive").when(F.col("_hard"), "hard").when(place <= tail, "tail")
+    return ranked.withColumn("kind", kind).where("kind is not null").drop("_hard", "_rest", *[f"_n_{c}" for c in hard])
+
+
+def leaks(seen: DataFrame, **blocked: DataFrame) -> DataFrame:
+    """One row: for each named column, how many distinct blocked values the history still has."""
+    counts = [within(seen.select(c).distinct(), values, c).agg(F.count("*").alias(c)) for c, values in blocked.items()]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.crossJoin(one)
+    return out
+
+
+def assert_no_leak(seen: DataFrame, **blocked: DataFrame) -> DataFrame:
+    """The history itself; an error where it has a blocked value, raised when it is read."""
+    found = leaks(seen, **blocked)
+    bad = F.when(sum([F.col(c) for c in blocked], F.lit(0)) > 0, F.raise_error(F.lit("the history holds blocked values"))).otherwise(F.lit(True))
+    return seen.crossJoin(found.select(bad.alias("_clean"))).where("_clean").drop("_clean")
+
+
+def cold_sweep(pairs: DataFrame, queries: DataFrame, gold_pairs: DataFrame, text: str, context: str, item: str, fractions, seed: int) -> DataFrame:
+    """(mode, fraction, known_texts, positives_seen) for both regimes and each share of cold positives."""
+    out = None
+    for mode in ("unseen_text", "held_context"):
+        for f in fractions:
+            cold = cold_items(gold_pairs, item, f, seed)
+            seen = for_queries(pairs, queries, mode, text, context, item, cold)
+            known = known_texts(queries, seen, text).agg(F.avg(F.col("known").cast("double")).alias("known_texts"))
+            have = gold_pairs.join(seen.select(item).distinct().withColumn("seen", F.lit(1)), item, "left").groupBy(context).agg(F.avg(F.coalesce("seen", F.lit(0)).cast("double")).alias("v"))
+            row = known.crossJoin(have.agg(F.avg("v").alias("positives_seen"))).select(F.lit(mode).alias("mode"), F.lit(float(f)).alias("fraction"), "known_texts", "positives_seen")
+            out = row if out is None else out.unionByName(row)
+    return out

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.text import WORD, char_grams, folded
 
 #: Scores are rounded so that equal ones stay equal in whatever order partial sums are added.
 DIGITS = 9
+#: Sums of BM25 weights are larger; fewer decimals keep the same number of safe ones.
+SCORE_DIGITS = 7
 
 
 def term_counts(docs: DataFrame, key: str, terms: str, cap: int | None = None) -> DataFrame:
@@ -46,7 +49,7 @@ def bm25_scores(docs: DataFrame, key: str, terms: str, queries: DataFrame, q_key
     idf = idf_table(tf, stats.select("n"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean"))) * F.col("idf")
     postings = tf.join(sizes, key).join(idf, "term").crossJoin(stats.select("mean"))
-    return postings.select(key, "term", weight.alias("w")).join(wanted, "term").groupBy(q_key, key).agg(F.round(F.sum("w"), DIGITS).alias("score"))
+    return postings.select(key, "term", weight.alias("w")).join(wanted, "term").groupBy(q_key, key).agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
 
 
 def tfidf_vectors(docs: DataFrame, key: str, grams: str, min_df: int = 2, cap: int | None = CONFIG.gram_cap) -> tuple[DataFrame, DataFrame]:
@@ -72,10 +75,29 @@ def sparse_product(left: DataFrame, l_key: str, right: DataFrame, r_key: str) ->
     return left.join(other, "term").groupBy(l_key, r_key).agg(F.round(F.sum(F.col("w") * F.col("w2")), DIGITS).alias("score"))
 
 
+def hashed_vectors(docs: DataFrame, text: str, char_buckets: int = 1 << 16, word_buckets: int = 1 << 15) -> DataFrame:
+    """(text, kind, bucket, w): padded character n-grams of 3 to 5 and words with their pairs, hashed, of unit L1 length per kind.
+
+    The bucket is the first 32 bits of the MD5 of the term, so that any engine can repeat it.
+    """
+    norm = folded(F.col(text))
+    words = F.regexp_extract_all(norm, F.lit(WORD), F.lit(0))
+    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    rows = []
+    for kind, terms, buckets in (("char", char_grams(norm), char_buckets), ("word", F.concat(words, pairs), word_buckets)):
+        at = F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("bigint")
+        rows.append(docs.select(text, F.explode(terms).alias("term")).select(text, F.lit(kind).alias("kind"), F.pmod(at, F.lit(buckets)).alias("bucket")))
+    n = rows[0].unionByName(rows[1]).groupBy(text, "kind", "bucket").agg(F.count("*").alias("n"))
+    return n.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy(text, "kind"))).drop("n")
+
+
 def max_normalised(scores: DataFrame, q_key: str, column: str = "score") -> DataFrame:
-    """Scores by the query's greatest one over the whole corpus, where that is positive."""
-    top = F.max(column).over(Window.partitionBy(q_key))
-    return scores.withColumn(column, F.when(top > 0, F.col(column) / top).otherwise(F.col(column)))
+    """Scores by the query's greatest one over the whole corpus, where that is positive.
+
+    The greatest score is a partial aggregate, one row per query, so no task sees all scores of a query.
+    """
+    top = scores.groupBy(q_key).agg(F.max(column).alias("_top"))
+    return scores.join(top, q_key).withColumn(column, F.when(F.col("_top") > 0, F.col(column) / F.col("_top")).otherwise(F.col(column))).drop("_top")
 
 
 def coverage(pairs: DataFrame, queries: DataFrame, q_key: str, q_terms: str, docs: DataFrame, key: str, terms: str, idf: DataFrame) -> DataFrame:

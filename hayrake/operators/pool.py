@@ -34,6 +34,27 @@ def union_channels(channels: dict[str, DataFrame], q_key: str, key: str) -> Data
     return reduce(DataFrame.unionByName, rows).groupBy(q_key, key).agg(*flags)
 
 
+def wide_scores(scores: dict[str, DataFrame], q_key: str, key: str, blank: DataFrame | None = None) -> DataFrame:
+    """(q_key, key, <name>...): the scores of all channels side by side, 0 where a channel has none; one grouping.
+
+    ``blank`` pairs are added with zeros, as a scan over the whole corpus would have them.
+    """
+    rows = [df.select(q_key, key, F.lit(name).alias("channel"), "score") for name, df in scores.items()]
+    if blank is not None:
+        rows.append(blank.select(q_key, key, F.lit("").alias("channel"), F.lit(0.0).alias("score")))
+    columns = [F.coalesce(F.max(F.when(F.col("channel") == name, F.col("score"))), F.lit(0.0)).alias(name) for name in scores]
+    return reduce(DataFrame.unionByName, rows).groupBy(q_key, key).agg(*columns)
+
+
+def top_of_any(wide: DataFrame, q_key: str, key: str, columns: list[str], k: int, positive: bool = False) -> DataFrame:
+    """Rows that are among the k best of their query in at least one column, ties by key; with ``positive`` only scores above 0 count.
+
+    Every column's k are cut in the tasks before anything is shuffled, so ``wide`` had better be stored.
+    """
+    tops = [stable_topk(wide.where(F.col(c) > 0) if positive else wide, k, q_key, key, c).select(q_key, key) for c in columns]
+    return wide.join(reduce(DataFrame.unionByName, tops).distinct(), [q_key, key], "left_semi")
+
+
 def difference(left: DataFrame, right: DataFrame, q_key: str, key: str) -> DataFrame:
     return left.join(right, [q_key, key], "left_anti")
 
@@ -44,9 +65,10 @@ def log_rank(q_key: str, score: Column) -> Column:
 
 
 def relative_scores(scores: DataFrame, q_key: str, key: str, at: int = 50, reference: int = 512) -> DataFrame:
-    """Gaps to the first and the at-th score, and the score in deviations of the ``reference`` best ones."""
+    """Gaps to the first and the at-th score, the score in deviations of the ``reference`` best ones, and the place."""
     ranked = scores.withColumn("place", F.row_number().over(order(q_key, key)))
-    per = ranked.groupBy(q_key).agg(
+    best = ranked.where(F.col("place") <= max(at, reference))
+    per = best.groupBy(q_key).agg(
         F.max("score").alias("top"),
         F.max(F.when(F.col("place") == at, F.col("score"))).alias("nth"),
         F.avg(F.when(F.col("place") <= reference, F.col("score"))).alias("mean"),

@@ -46,3 +46,9 @@ def entropy_and_peak(shares_: DataFrame, key: str, classes: int | Column) -> Dat
     p = F.col("p")
     floor = F.log(F.greatest(F.lit(classes) if isinstance(classes, int) else classes, F.lit(2)).cast("double"))
     return shares_.groupBy(key).agg((F.sum(-p * F.log(F.greatest(p, F.lit(1e-12)))) / F.first(floor)).alias("entropy"), F.max("p").alias("peak"))
+
+
+def misaligned(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: rows that only one of two versions of a frame has; both 0 if they are the same, repeated rows included."""
+    only = lambda a, b, name: a.select(*left.columns).exceptAll(b.select(*left.columns)).agg(F.count("*").alias(name))
+    return only(left, right, "only_left").crossJoin(only(right, left, "only_right"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Most queries of one call; their vectors are broadcast.
+MOST = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -15,55 +17,80 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def exact_topk(items: DataFrame, key: str, queries: DataFrame, q_key: str, vector: str, k: int, skip_self: bool = False) -> DataFrame:
-    """(q_key, key, score, place): the k items of greatest dot product for every query, ties by key.
+    """(q_key, key, score, place): the k items of greatest dot product for every query, ties by key; keys are whole numbers."""
+    best = _block_topk(items, key, queries, q_key, vector, k, "bigint", skip_self)
+    place = F.row_number().over(Window.partitionBy(q_key).orderBy(F.desc("score"), key))
+    return best.withColumn("place", place).where(F.col("place") <= k)
+
+
+def text_key_topk(
+    items: DataFrame, key: str, queries: DataFrame, q_key: str, vector: str, k: int, bias: DataFrame | None = None, q_group: str | None = None, group: str | None = None, digits: int = 9
+) -> DataFrame:
+    """The same for text query keys, scores rounded to ``digits``.
 
-    The queries are taken in blocks of BLOCK rows, which bounds what is broadcast; every task multiplies its items
-    with the block in double precision and keeps k per query before anything is shuffled.
+    ``bias`` (q_group, group, bias) adds a term that depends on the groups of both sides, such as their places.
     """
-    spark = items.sparkSession
-    out = None
-    numbered = queries.select(F.col(q_key).cast("bigint").alias("q"), F.col(vector).alias("v")).orderBy("q").toLocalIterator(prefetchPartitions=True)
-    schema = f"{q_key} bigint, {key} bigint, score double"
-    for block in _blocks(numbered):
-        shared = spark.sparkContext.broadcast((np.array([r.q for r in block]), np.array([r.v for r in block], np.float64)))
-
-        def run(batches, shared=shared):
-            ids, matrix = shared.value
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_k = np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                keys = b.column(0).to_numpy()
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
-                s = matrix @ x.T
-                if skip_self:
-                    s[ids[:, None] == keys[None, :]] = -np.inf
-                s, c = np.concatenate([best_s, s], 1), np.concatenate([best_k, np.broadcast_to(keys, s.shape)], 1)
-                at = np.lexsort((c, -s), axis=1)[:, :k]
-                best_s, best_k = np.take_along_axis(s, at, 1), np.take_along_axis(c, at, 1)
-            q = np.repeat(ids, best_s.shape[1])
-            s, c = best_s.reshape(-1), best_k.reshape(-1)
-            good = s > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(c[good]), pa.array(s[good])], names=[q_key, key, "score"])
-
-        part = items.select(F.col(key).cast("bigint"), F.col(vector)).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
+    best = _block_topk(items, key, queries, q_key, vector, k, "string", False, bias, q_group, group, digits)
     place = F.row_number().over(Window.partitionBy(q_key).orderBy(F.desc("score"), key))
-    return out.withColumn("place", place).where(F.col("place") <= k)
+    return best.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _blocks(rows):
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == BLOCK:
-            yield held
-            held = []
-    if held:
-        yield held
+def _block_topk(items, key, queries, q_key, vector, k, kind, skip_self, bias=None, q_group=None, group=None, digits=None) -> DataFrame:
+    """The k best of every task and query block.
+
+    Queries are sorted into blocks of BLOCK rows, one Arrow matrix each.  Every task of the items gets one block at a time
+    from the broadcast list, multiplies in double precision and keeps k per query, so one scan of the items serves all
+    blocks; what is broadcast grows with the stated query set only, and that is bounded by MOST rows.
+    """
+    spark = items.sparkSession
+    columns = [F.col(q_key).cast(kind).alias("q"), F.col(vector).alias("v"), *([F.col(q_group).cast("string").alias("g")] if bias is not None else [])]
+    rows = queries.select(*columns).orderBy("q").limit(MOST + 1).toArrow()
+    if rows.num_rows > MOST:
+        raise ValueError(f"more than {MOST} queries; ask them in several calls")
+    if not rows.num_rows:
+        return spark.createDataFrame([], f"{q_key} {kind}, {key} bigint, score double")
+    dim = len(rows["v"][0])
+    matrix = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    names = np.array(rows["q"].to_pylist(), object if kind == "string" else np.int64)
+    added, groups = None, {}
+    if bias is not None:
+        found = {(r[0], r[1]): r[2] for r in bias.select(F.col(q_group).cast("string"), F.col(group).cast("string"), "bias").collect()}
+        groups = {g: n for n, g in enumerate(sorted({g for _, g in found}))}
+        added = np.array([[found.get((q, g), -np.inf) for g in groups] for q in rows["g"].to_pylist()], np.float64)
+    shared = spark.sparkContext.broadcast((names, matrix, added, groups))
+    schema = f"{q_key} {kind}, {key} bigint, score double"
+
+    def run(batches):
+        ids, whole, extra, numbers = shared.value
+        best_s, best_k = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+            at = np.array([numbers[g] for g in b.column(2).to_pylist()]) if extra is not None else None
+            new_s, new_k = [], []
+            for lo in range(0, len(ids), BLOCK):
+                s = whole[lo : lo + BLOCK] @ x.T
+                if digits is not None:
+                    s = np.round(s, digits)
+                if at is not None:
+                    s = np.round(s + extra[lo : lo + BLOCK][:, at], digits or 15)
+                if skip_self:
+                    s[ids[lo : lo + BLOCK, None] == keys[None, :]] = -np.inf
+                s = np.concatenate([best_s[lo : lo + BLOCK], s], 1)
+                c = np.concatenate([best_k[lo : lo + BLOCK], np.broadcast_to(keys, (len(s), len(keys)))], 1)
+                top = np.lexsort((c, -s), axis=1)[:, :k]
+                new_s.append(np.take_along_axis(s, top, 1))
+                new_k.append(np.take_along_axis(c, top, 1))
+            best_s, best_k = np.concatenate(new_s), np.concatenate(new_k)
+        q = np.repeat(ids, best_s.shape[1])
+        s, c = best_s.reshape(-1), best_k.reshape(-1)
+        good = s > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(q[good].tolist(), pa.string() if kind == "string" else pa.int64()), pa.array(c[good]), pa.array(s[good])], names=[q_key, key, "score"])
+
+    side = [F.col(key).cast("bigint"), F.col(vector), *([F.col(group).cast("string")] if bias is not None else [])]
+    return items.select(*side).mapInArrow(run, schema)
 
 
 def centroids(items: DataFrame, group: str, vector: str) -> DataFrame:
@@ -77,3 +104,10 @@ def softmax_shares(neighbours: DataFrame, q_key: str, label: str, temperature: f
     w = neighbours.withColumn("w", F.exp((F.col("score") - top) / temperature))
     by = w.groupBy(q_key, label).agg(F.sum("w").alias("w"))
     return by.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy(q_key))).drop("w")
+
+
+def with_missing(wanted: DataFrame, stored: DataFrame, key: str, encode) -> DataFrame:
+    """Rows of the store for the wanted keys, and of ``encode`` for those that it lacks; each distinct key once."""
+    keys = wanted.select(key).distinct()
+    have = stored.join(keys, key, "left_semi")
+    return have.unionByName(encode(keys.join(stored.select(key), key, "left_anti")).select(*have.columns))

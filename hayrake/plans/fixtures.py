@@ -12,16 +12,18 @@ KEY = ["query_norm", "search_location", "filters", "category", "delivery"]
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as items: the title is the first line, the body the whole text."""
     docs = read(spark, d, "documents", "doc_id", "text", "lang", "n_chars")
     return docs.select(
-        F.col("doc_id").alias("item_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), F.col("lang").alias("category"),
+        F.col("doc_id").alias("item_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"), F.col("lang").alias("category"),
         F.pmod("doc_id", F.lit(25)).alias("location"), "n_chars",
     )
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
+    """Whole benchmark passages as queries."""
     rows = read(spark, d, "benchmark", "item_id", "text")
-    return rows.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query_text"), F.pmod("item_id", F.lit(25)).alias("location"))
+    return rows.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), F.pmod("item_id", F.lit(25)).alias("location"))
 
 
 def body_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -36,16 +38,33 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return queries(spark, d).select("query_id", tokens(folded(F.col("query_text"))).alias("q_terms"))
 
 
+#: Words of the key by which passages and documents meet.
+ANCHOR = 3
+
+
+def holders(passages: DataFrame, q_key: str, passage: str, docs: DataFrame, key: str, body: str) -> DataFrame:
+    """(q_key, key): documents that hold a passage, whatever stands before and behind it.
+
+    A passage's words but the first and the last stand between white space of its own, so they are words of any document
+    that holds it.  Its first ANCHOR inner words, hashed, are joined with the word runs of the documents; only then
+    bodies are fetched and compared.  Passages of fewer inner words are compared with all bodies; empty ones have no holder.
+    """
+    cut = lambda c: F.split(F.col(c), "[ \n]")
+    p = passages.where(F.length(passage) > 0).select(q_key, F.col(passage).alias("_passage"), cut(passage).alias("_w"))
+    long = F.size("_w") >= ANCHOR + 2
+    keyed = p.where(long).select(q_key, "_passage", F.xxhash64(F.slice("_w", 2, ANCHOR)).alias("_h"))
+    last = F.size("_w") - ANCHOR
+    runs = F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, ANCHOR))))
+    found = docs.select(key, cut(body).alias("_w")).select(key, F.explode(F.array_distinct(runs)).alias("_h")).join(keyed, "_h").select(q_key, key, "_passage")
+    short = p.where(~long).select(q_key, "_passage")
+    holds = F.col(body).contains(F.col("_passage"))
+    out = found.join(docs.select(key, body), key).where(holds).select(q_key, key)
+    return out.unionByName(docs.select(key, body).join(short, holds).select(q_key, key)).distinct()
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a passage's first 80 characters: passages are found by a hashed 8-word key, then compared."""
-    q = queries(spark, d).select("query_id", "query_text")
-    first = F.get(F.split("query_text", " "), 0)
-    q = q.withColumn("word", first).where(F.length("word") > 0)
-    heads = q.select("word").distinct()
-    # a passage may start inside a word or after a line break, so the key is any suffix of a run that equals its first word
-    d_words = corpus(spark, d).select("item_id", "body", F.explode(F.array_distinct(F.split("body", "[ \\n]"))).alias("word"))
-    found = d_words.join(heads, "word").join(q, "word").where(F.col("body").contains(F.col("query_text")))
-    return found.select("query_id", "item_id").distinct()
+    """Documents that hold the whole passage of a query."""
+    return holders(queries(spark, d), "query_id", "query_text", corpus(spark, d), "item_id", "body")
 
 
 def interactions(spark: SparkSession, d: str) -> DataFrame:
@@ -89,8 +108,8 @@ def terms_sql(x: str) -> str:
 
 
 CORPUS_SQL = f"""
-corpus AS (SELECT doc_id AS item_id, substring(text, 1, 60) AS title, text AS body, lang AS category, doc_id % 25 AS location, n_chars FROM documents),
-queries AS (SELECT item_id AS query_id, substring(text, 1, 80) AS query_text, item_id % 25 AS location FROM benchmark),
+corpus AS (SELECT doc_id AS item_id, split_part(text, chr(10), 1) AS title, text AS body, lang AS category, doc_id % 25 AS location, n_chars FROM documents),
+queries AS (SELECT item_id AS query_id, text AS query_text, item_id % 25 AS location FROM benchmark),
 body_terms AS (SELECT item_id, {terms_sql("body")} AS terms FROM corpus),
 title_terms AS (SELECT item_id, {terms_sql("title")} AS terms FROM corpus),
 query_terms AS (SELECT query_id, {terms_sql("query_text")} AS q_terms FROM queries),
@@ -113,7 +132,7 @@ def bm25_sql(name: str, docs: str, queries_: str = "query_terms") -> str:
 {name}_tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(terms) AS term FROM {docs}) GROUP BY ALL),
 {name}_st AS (SELECT count(*) AS n, greatest(avg(len(terms)), 1) AS mean FROM {docs}),
 {name}_idf AS (SELECT term, count(*) AS df, ln(1 + (max(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM {name}_tf, {name}_st GROUP BY term),
-{name} AS (SELECT query_id, item_id, round(sum(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(terms) / mean)) * idf), 9) AS score
+{name} AS (SELECT query_id, item_id, round(sum(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(terms) / mean)) * idf), 7) AS score
   FROM (SELECT query_id, unnest(list_distinct(q_terms)) AS term FROM {queries_}) q
   JOIN {name}_tf USING (term) JOIN {name}_idf USING (term) JOIN {docs} USING (item_id), {name}_st GROUP BY ALL)
 """

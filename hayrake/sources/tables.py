@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,28 @@ def cached(spark: SparkSession, folder: str, name: str, make, **inputs) -> DataF
     return spark.read.parquet(path)
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder of ``spark.checkpoint.dir``, read back: later plans start from it.
+
+    Several plans share what they have in common without computing it again, and a lost executor costs nothing.  The table goes
+    when the driver's file system closes.  Where the setting is missing, a folder of the local machine serves local sessions; on
+    a cluster that is an error, as other machines would not see it.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file:/tmp/checkpoints"
+    path = f"{folder.rstrip('/')}/hayrake-{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """Row count and an order-free digest of all columns."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("digest"))
+    """Row count and an order-free digest: the sum of 60 bits of the SHA-256 of each row, columns in order of name, nulls as \\0."""
+    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
