@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import claim, discard, prepare, quoted, slices, store, table
 
 PARITIES = 1024
+#: Members of a hub that meet all others in one task.
+HUB_BLOCK = 4096
 _P = [f"p{k}" for k in range(PARITIES // 64)]
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that a worker signs at a time, entries that the other side of the shuffle sorts at a time.
@@ -329,7 +331,11 @@ def _entries(sigs: bytes, owners: bytes, base: int) -> tuple[np.ndarray, np.ndar
 
 
 class _Bucket:
-    """The hubs of one bucket.  Memory is that of its distinct signatures, whatever the number of sets under one of them."""
+    """The hubs of one bucket.  Memory is that of its distinct signatures, whatever the number of sets under one of them.
+
+    Entries come in order of the sets' numbers, so the hub is the set of the least number under a signature; similar sets then
+    have the same few hubs under all signatures that they share.
+    """
 
     def __init__(self):
         self.sigs, self.hubs, self.held, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
@@ -407,7 +413,7 @@ def hub_pairs(docs: DataFrame, width: int, percent: int, n_signatures: int) -> t
     dealt = signed_blocks(docs, width, percent, bits)
     needed, default = n_signatures // (1 << 25), int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(needed, "bucket") if needed > default else dealt.repartition("bucket")
-    met, path = store(met_sets(dealt.sortWithinPartitions("bucket")), "near-signatures")
+    met, path = store(met_sets(dealt.sortWithinPartitions("bucket", "base")), "near-signatures")
     named = met.where("not is_pair").select(F.col("a").alias("number"), F.col("b").alias("fp"))
     pairs = met.where("is_pair").select("a", "b").distinct()
     for side in "ab":
@@ -520,14 +526,16 @@ def _open_pairs(checked: DataFrame, label: DataFrame, sets: DataFrame, percent:
     union = F.col("n_a") + F.col("n_b") - F.col("inter")
     far = checked.select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.col("n_b").alias("n"), (1 - F.col("inter") / union).alias("far"))
     placed = far.join(label, "fp", "left").select("hub", "fp", F.coalesce("comp", "fp").alias("comp"), "n", "far")
-    several = placed.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("hub")
-    left = placed.join(several, "hub", "left_semi").join(sets.select("fp", *_P), "fp")
-    left = left.select("hub", "fp", "comp", "n", "far", *_P)
-    a, b = (left.select("hub", *[F.col(c).alias(f"{c}_{side}") for c in left.columns[1:]]) for side in "ab")
+    several = placed.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / HUB_BLOCK).cast("int").alias("blocks"))
+    left = placed.join(several.where("low < high").select("hub", "blocks"), "hub").join(sets.select("fp", *_P), "fp")
+    # a hub's members meet in blocks, so that no task has more than HUB_BLOCK of them on one side
+    own, every = F.pmod("fp", "blocks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["fp", "comp", "n", "far", *_P]
+    a, b = (left.select("hub", block.alias("block"), *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side, block in (("a", own.cast("int")), ("b", every)))
     limit = (100 - percent) / 100 + 1e-9
     apart = sum([F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _P], F.lit(0))
     return (
-        a.join(b, "hub")
+        a.join(b, ["hub", "block"])
         .where("fp_a < fp_b and comp_a <> comp_b")
         .where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
         .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= limit))

@@ -77,3 +77,37 @@ def test_against_brute_force(spark):
 def test_empty_table(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     assert nj.groups(d, 4, 85).count() == 0 and nj.keep_one(d).count() == 0
+
+
+def test_signatures_grow_with_the_set_and_no_faster():
+    for percent in (80, 85, 95):
+        seen = nj.windows(percent)
+        for n in (1, 2, 3, 5, 8, 10, 15, 30, 44, 100, 333, 1000, 5000, 20_000, 200_000):
+            assert seen.of(n) and seen.cost(n) <= nj.most_signatures(n)
+            for m in range(-(-n * percent // 100), n + 1, max(1, n // 50)):
+                # a pair of sizes that can be similar has a window that holds both and bounds their differences
+                k = (100 - percent) * (m + n) // (100 + percent)
+                assert any(seen.windows[t][2] >= k for t in set(seen.of(m)) & set(seen.of(n)))
+
+
+def test_hubs_of_a_bucket_do_not_depend_on_the_folds(monkeypatch):
+    rng = np.random.default_rng(3)
+    sigs, nums = rng.integers(0, 50, 400).astype("<u8"), np.sort(rng.integers(0, 90, 400))
+    for fold in (10_000, 60):
+        monkeypatch.setattr(nj, "FOLD", fold)
+        bucket, got = nj._Bucket(), set()
+        for lo in range(0, 400, 40):
+            wide = sigs[lo : lo + 40].view(np.uint8).reshape(-1, 8)[:, :6]
+            for pairs in (bucket.add(wide.tobytes(), nums[lo : lo + 40].astype("<u2").tobytes(), 0),):
+                got |= set(map(tuple, pairs.T.tolist())) if pairs is not None else set()
+        last = bucket.fold()
+        got |= set(map(tuple, last.T.tolist())) if last is not None else set()
+        least = {s: min(nums[sigs == s]) for s in set(sigs.tolist())}
+        assert got == {(least[s], n) for s, n in zip(sigs.tolist(), nums.tolist(), strict=True) if n != least[s]}
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.op5_near_join(spark, sf).collect())
+    assert got == sorted((d, n, d if least is None else least) for d, n, least in _brute(docs, 4, 85)[0])
