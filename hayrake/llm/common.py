@@ -177,33 +177,34 @@ _MEMOS: dict = {}
 
 @lru_cache(maxsize=1)
 def _libc():
-    """The C library, told to give large blocks back as soon as they are freed; Arrow allocates from it too.
-
-    Workers that process slices of text would else keep what their largest slice needed, for each of Arrow and NumPy.
-    """
+    """The C library; Arrow allocates from it too, so that one limit holds for all large blocks of a worker."""
     import ctypes
 
     import pyarrow as pa
 
     pa.set_memory_pool(pa.system_memory_pool())
-    with contextlib.suppress(OSError, AttributeError):
-        lib = ctypes.CDLL(None)
-        lib.mallopt(-3, 1 << 22)
-        lib.mallopt(-1, 1 << 23)
-        return lib
-    return None
+    try:
+        return ctypes.CDLL(None)
+    except OSError:
+        return None
 
 
-def claim(name: str, clear=lambda: None) -> None:
-    """Call at a task's start: empties the memos that other operators left in this Python worker, and gives the memory back."""
+def claim(name: str, clear=lambda: None, block: int = 1 << 18) -> None:
+    """Call at a task's start: empties the memos that other operators left in this Python worker, and gives the memory back.
+
+    Blocks of ``block`` bytes and more return to the system as soon as they are freed; workers that process slices of text
+    would else keep what their largest slice needed.  A larger one saves time and costs memory.
+    """
     lib = _libc()
     others = [k for k in _MEMOS if k != name]
     for other in others:
         _MEMOS.pop(other)()
     _MEMOS[name] = clear
-    if others:
-        gc.collect()
-        with contextlib.suppress(AttributeError):
+    with contextlib.suppress(AttributeError):
+        lib.mallopt(-3, block)
+        lib.mallopt(-1, 2 * block)
+        if others:
+            gc.collect()
             lib.malloc_trim(0)
 
 

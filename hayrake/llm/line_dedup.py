@@ -125,6 +125,9 @@ def repeated_windows(keyed: DataFrame, min_words: int) -> tuple[DataFrame, list[
     windows, path = store(windows, "line-named")
     paths.append(path)
     firsts = windows.groupBy("n", "a", "b").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where("first < last").drop("last")
+    # stored, so that Spark can split a name with many windows in the join
+    firsts, path = store(firsts, "line-firsts")
+    paths.append(path)
     later = windows.join(firsts, ["n", "a", "b"]).where("first + n <= pos")
     of_doc = later.groupBy("doc").agg(F.collect_set(F.struct(F.col("i").cast("int").alias("first"), "n")).alias("windows"))
     found, path = store(of_doc.join(docs, "doc").select("doc_id", "hash", "windows"), "line-copies")

@@ -35,7 +35,7 @@ _MARK = MARK.encode()
 MEMO_WORDS = 600_000
 #: Characters of words that a memo holds before it restarts.
 MEMO_CHARS = 24 << 20
-MEMO_PAIRS = 300_000
+MEMO_PAIRS = 200_000
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -275,7 +275,7 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def runs(texts: list[bytes | None], most: int = 4 << 20):
+def runs(texts: list[bytes | None], most: int = 3 << 20):
     """Runs of texts of about ``most`` bytes."""
     part, held = [], 0
     for t in texts:
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
     def build():
         m = model(path)
-        claim("pieces", m.reset)
+        claim("pieces", model.cache_clear)
 
         def work(texts):
             ids, decoded = [], []
@@ -327,7 +327,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def build():
         m = model(path)
-        claim("pieces", m.reset)
+        claim("pieces", model.cache_clear)
 
         def work(texts):
             out = []

@@ -192,7 +192,7 @@ def tokenised_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, bloc
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = _tokenizer(tokenizer_path)
-        claim("tokens", tok.reset)
+        claim("tokens", tok.reset, block=1 << 22)
         kind = _id_type(tok.lib.get_vocab_size())
         file_no, block_no, first = TaskContext.get().partitionId(), 0, 0
         ids, sizes, parts, held = [], [], [], 0
