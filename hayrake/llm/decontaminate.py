@@ -157,7 +157,7 @@ def spans_of(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, bound: int = AUTOMATON_WORDS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, bound: int = AUTOMATON_WORDS, clean: bool = False) -> DataFrame:
     """Find item windows in documents.
 
     Returns ``row`` (struct of the kept columns), n_words, spans (merged runs of hit words, numbered from 0) and
@@ -165,7 +165,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
     of a shorter one.  Null and empty texts have no words and no hits; items without words or without an id never
     occur; rows of an equal item id are searched one by one and count as one item; repeated documents are each
     scanned.  ``bound`` limits the words of an automaton: items beyond it form further automata, and the documents
-    are scanned once for each of them, carrying what was found so far.
+    are scanned once for each of them, carrying what was found so far.  With ``clean`` a column of that name has
+    the text without its spans, so that whole texts go to Python and back once.
     """
     spark = prepare(docs.sparkSession)
     sized = benchmark.select(
@@ -175,7 +176,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-total // (4 * bound)))
     found = docs.select(
-        F.struct(*[F.col(quoted(c)) for c in keep]).alias("row"),
+        (F.struct(*[F.col(quoted(c)) for c in keep]) if keep else F.struct(F.lit(0).alias("_"))).alias("row"),
         F.col("text").cast("string").cast("binary").alias("text"),
         F.expr("cast(array() as array<struct<first:bigint,past:bigint>>)").alias("spans"),
         F.expr("cast(array() as array<string>)").alias("items"),
@@ -183,15 +184,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
     for k in range(passes):
         mine = sized if passes == 1 else sized.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k)
         rows = [(r.id, words_of(bytes(r.text))) for r in mine.toLocalIterator()]
-        found = _pass(found, spark.sparkContext.broadcast(SuffixAutomaton(rows, window)), last=k == passes - 1)
+        found = _pass(found, spark.sparkContext.broadcast(SuffixAutomaton(rows, window)), k == passes - 1, clean)
         if k < passes - 1:
             found, _ = store(found, "decontaminate")
     return found
 
 
-def _pass(found: DataFrame, shared, last: bool) -> DataFrame:
+def _pass(found: DataFrame, shared, last: bool, clean: bool) -> DataFrame:
     spark = found.sparkSession
-    extra = spark.createDataFrame([], _HIT).schema
+    clean = clean and last
+    extra = spark.createDataFrame([], _HIT + ", clean string" * clean).schema
     carried = [found.schema["row"]] + ([] if last else [found.schema["text"]])
     schema = type(extra)([*carried, *extra.fields])
 
@@ -199,7 +201,7 @@ def _pass(found: DataFrame, shared, last: bool) -> DataFrame:
         claim("items")
         machine = shared.value
         for b in batches:
-            n, spans, items = [], [], []
+            n, spans, items, left = [], [], [], []
             for t, old, had in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 words = words_of(t)
                 hit, of = machine.matches(words)
@@ -208,21 +210,22 @@ def _pass(found: DataFrame, shared, last: bool) -> DataFrame:
                 n.append(len(words))
                 spans.append([{"first": x, "past": y} for x, y in spans_of(hit)] if of or old else [])
                 items.append(sorted({*of, *had}))
-            new = [pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+                if clean:
+                    left.append(cut(t, [(x["first"], x["past"]) for x in spans[-1]]) if spans[-1] else t)
+            new = [pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), *([pa.array(left, pa.binary()).cast(pa.string())] if clean else [])]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], *new], names=schema.names)
 
     return found.select("row", "text", "spans", "items").mapInArrow(run, schema)
 
 
-def cut(text: str, spans: list[tuple[int, int]]) -> str:
+def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """Text without the word spans; a span goes from its first word's first byte to its last word's last."""
-    raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw)]
     kept, done = [], 0
     for first, past in spans:
         kept.append(raw[done : at[first][0]])
         done = at[past - 1][1]
-    return b"".join([*kept, raw[done:]]).decode("utf-8", "surrogatepass")
+    return b"".join([*kept, raw[done:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.8) -> DataFrame:
@@ -232,26 +235,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     ``coverage`` of the words is removed whole.  ``n_chars``, where it is a column, follows the text.  All other
     documents, those with null or empty text included, stay as they are.
     """
-    found = scan(docs, benchmark, docs.columns, window)
+    found = scan(docs, benchmark, [c for c in docs.columns if c != "text"], window, clean=True)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["past"] - s["first"])
-
-    @F.arrow_udf("string")
-    def cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
-        return pa.array([cut(t, [(x["first"], x["past"]) for x in s]) if s else t for t, s in pairs], pa.string())
-
-    text = F.col("row.text")
     kept = found.where(n_hit <= F.lit(coverage) * F.col("n_words"))
-    clean = kept.withColumn("clean", F.when(F.size("spans") > 0, cut_text(text, F.col("spans"))).otherwise(text))
     columns = []
     for c in docs.columns:
-        col = F.col("row." + quoted(c))
         if c == "text":
-            col = F.col("clean")
+            col = F.col("clean").cast(docs.schema[c].dataType)
         elif c == "n_chars":
-            col = F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema[c].dataType)).otherwise(col)
+            col = F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema[c].dataType)).otherwise(F.col("row.n_chars"))
+        else:
+            col = F.col("row." + quoted(c))
         columns.append(col.alias(c))
-    return clean.select(*columns)
+    return kept.select(*columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
