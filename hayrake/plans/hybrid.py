@@ -17,7 +17,7 @@ from ..config import CONFIG
 from ..functions import numeric as num
 from ..functions import text as tx
 from ..operators import evaluation as ev
-from ..operators import features, fusion, geography, history, lexical, pool, relational, vectors
+from ..operators import features, fusion, geography, history, learn, lexical, pool, relational, vectors
 from ..sources.tables import read, staged
 from .catalog import _GEO, _GRAMS, _KM, SEED, _hash_sql, query, r6
 from .fixtures import KEY, bm25_sql, fold_sql, places, terms_sql
@@ -775,3 +775,43 @@ def pool_expanded_11(s, d):
     x = Search(s, d)
     more = reduce(DataFrame.unionByName, (t.select("query_id", "item_id") for t in x.semantic(1)))
     return x.hybrid_pool.select("query_id", "item_id").unionByName(more).distinct()
+
+
+#: Further encoders: the number that their vectors' numbers are shifted by.
+ENCODERS = {"service_fields_query": 3, "service_fields_query_filter": 4, "long_description_query": 5, "long_description_query_filter": 6, "bge_query": 7, "bge_query_filter": 8}
+
+
+def _encoder_sql(names) -> str:
+    tables_ = ", ".join(_cos_sql(f"v{ENCODERS[n]}", ENCODERS[n]) for n in names)
+    columns = ", ".join(f"v{ENCODERS[n]}.cosine AS {n}_cosine, round(v{ENCODERS[n]}.cosine - m.cosine, 9) AS {n}_delta" for n in names)
+    joins = " ".join(f"JOIN v{ENCODERS[n]} ON v{ENCODERS[n]}.query_id = m.query_id AND v{ENCODERS[n]}.item_id = m.item_id" for n in names)
+    return h_(_WIDE + _LEX_POOL + _SEM + _Y + f", {tables_} SELECT m.query_id, m.item_id, {columns} FROM h_marked m {joins}")
+
+
+def _encoder_features(x: Search, names) -> DataFrame:
+    out = marked_pool(x)
+    for n in names:
+        out = x.cosines(out, f"{n}_cosine", ENCODERS[n]).withColumn(f"{n}_delta", F.round(F.col(f"{n}_cosine") - F.col("cosine"), 9))
+    return out.select("query_id", "item_id", *[f"{n}_{kind}" for n in names for kind in ("cosine", "delta")])
+
+
+@query(_encoder_sql(list(ENCODERS)[:4]))
+def field_vector_features_8(s, d):
+    """Cosines with two other views of the items, for the query and for query and filters, and their gaps to the first encoder's."""
+    return _encoder_features(Search(s, d), list(ENCODERS)[:4])
+
+
+@query(_encoder_sql(list(ENCODERS)[4:]))
+def second_encoder_features_4(s, d):
+    """The same for an encoder of another kind."""
+    return _encoder_features(Search(s, d), list(ENCODERS)[4:])
+
+
+@query()
+def mlp_classes(s, d):
+    """The most probable class of every text by a perceptron with one hidden layer, from each text's most frequent class."""
+    rows = learn.soft_targets(past(s, d), "query_norm", "micro")
+    best = relational.first_by(rows, ["query_norm"], [F.desc("n"), F.col("micro")]).withColumn("terms", tx.char_grams(F.col("query_norm")))
+    model, names = learn.fit_perceptron(best, "terms", "micro")
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int") + 1)
+    return model.transform(best.select("query_norm", "terms")).select("query_norm", label.alias("micro"))

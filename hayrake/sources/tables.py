@@ -29,8 +29,21 @@ def write_parquet(df: DataFrame, path: str, codec: str = "zstd") -> str:
     return path
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """UTF-8, header, line feeds; as many files as partitions."""
+def rewrite_if_large(spark: SparkSession, path: str, most: int = 100 << 20, codec: str = "zstd") -> bool:
+    """Rewrite a Parquet table under a stronger codec where it has more than ``most`` bytes; whether it was."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getContentSummary(target).getLength() <= most:
+        return False
+    smaller = f"{path}-{uuid.uuid4().hex}"
+    spark.read.parquet(path).write.option("compression", codec).parquet(smaller)
+    system.delete(target, True)
+    return system.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(smaller), target)
+
+
+def write_csv(df: DataFrame, path: str, single: bool = False) -> str:
+    """UTF-8, header, line feeds; as many files as partitions, or one for answers that a platform takes as one file."""
+    df = df.coalesce(1) if single else df
     df.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
     return path
 
@@ -47,6 +60,11 @@ def write_json(df: DataFrame, path: str) -> str:
     return path
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of ``write_json`` under a stated schema; lines that do not fit are an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def footer_profile(df: DataFrame) -> DataFrame:
     """Rows, bytes and files of a file-based table, from the hidden metadata column."""
     m = F.col("_metadata")

@@ -132,6 +132,16 @@ def test_staged_tables_need_a_shared_folder(spark):
     assert tables.staged(d, "t").count() == 5
 
 
+def test_json_csv_and_large_tables(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a\n\"b"), (2, None)], "k int, v string").repartition(2)
+    path = tables.write_json(d, str(tmp_path / "j"))
+    assert sorted(map(tuple, tables.read_json(spark, path, "k int, v string").collect())) == [(1, 'a\n"b'), (2, None)]
+    one = tables.write_csv(d.select("k"), str(tmp_path / "c"), single=True)
+    assert len(list((tmp_path / "c").glob("*.csv"))) == 1 and spark.read.csv(one, header=True).count() == 2
+    p = tables.write_parquet(spark.range(20_000), str(tmp_path / "p"), codec="none")
+    assert not tables.rewrite_if_large(spark, p) and tables.rewrite_if_large(spark, p, most=10) and spark.read.parquet(p).count() == 20_000
+
+
 NAMES = [
     "baseline_score_full", "pool_hybrid_9", "class_transfer_full", "class_recall_nll", "leakage_assertions", "context_sample", "query_labels",
     "hashed_text_features", "composite_key", "encode_on_miss", "answer_validation", "bootstrap_ci", "table_digest", "compound_purge", "history_unseen_text",
