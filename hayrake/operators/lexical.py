@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions.text import WORD, char_grams, folded
+from ..sources.tables import staged
 
 #: Scores are rounded so that equal ones stay equal in whatever order partial sums are added.
 DIGITS = 9
@@ -52,6 +53,28 @@ def bm25_scores(docs: DataFrame, key: str, terms: str, queries: DataFrame, q_key
     return postings.select(key, "term", weight.alias("w")).join(wanted, "term").groupBy(q_key, key).agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
 
 
+def bm25_index(docs: DataFrame, key: str, terms: str) -> DataFrame:
+    """(key, term, w): postings with their whole BM25 weight, sorted by term, so that a query reads only its terms' row groups.
+
+    Texts are cut into terms once: lengths and the number of terms come from the stored counts.
+    """
+    k1, b = CONFIG.bm25_k1, CONFIG.bm25_b
+    tf = docs.select(key, F.size(terms).alias("len"), F.explode(terms).alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    tf = staged(tf, "term-counts")
+    n = docs.agg(F.count("*").alias("n"))
+    mean = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")).crossJoin(n).select("n", F.greatest(F.coalesce(F.col("all") / F.col("n"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
+    idf = idf_table(tf, n)
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean"))) * F.col("idf")
+    postings = tf.join(idf, "term").crossJoin(mean.select("mean")).select(key, "term", weight.alias("w"))
+    return postings.repartitionByRange("term").sortWithinPartitions("term")
+
+
+def bm25_query(index: DataFrame, key: str, queries: DataFrame, q_key: str, q_terms: str) -> DataFrame:
+    """(q_key, key, score) of all documents with a term of the query, from an index."""
+    wanted = queries.select(q_key, F.explode(F.array_distinct(q_terms)).alias("term"))
+    return index.join(wanted, "term").groupBy(q_key, key).agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
+
+
 def tfidf_vectors(docs: DataFrame, key: str, grams: str, min_df: int = 2, cap: int | None = CONFIG.gram_cap) -> tuple[DataFrame, DataFrame]:
     """(key, term, w) of unit length with 1+ln(tf) and smooth idf, and the (term, idf) table."""
     tf = docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))

@@ -130,8 +130,7 @@ def char_ngrams(s, d):
 
 
 def _char_scores(s, d):
-    c = fx.corpus(s, d).select("item_id", tx.char_grams(tx.folded(F.col("title"))).alias("grams"))
-    docs, idf = lexical.tfidf_vectors(c, "item_id", "grams", cap=None)
+    docs, idf = fx.char_index(s, d)
     q = fx.queries(s, d).select("query_id", F.explode(tx.char_grams(tx.folded(F.col("query_text")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     return lexical.sparse_product(lexical.unit_rows(q, idf, "query_id"), "query_id", docs, "item_id")
 
@@ -158,11 +157,11 @@ def char_tfidf_top20(s, d):
 
 
 def _body(s, d):
-    return lexical.bm25_scores(fx.body_terms(s, d), "item_id", "terms", fx.query_terms(s, d), "query_id", "q_terms")
+    return lexical.bm25_query(fx.bm25_index(s, d, "body"), "item_id", fx.query_terms(s, d), "query_id", "q_terms")
 
 
 def _title(s, d):
-    return lexical.bm25_scores(fx.title_terms(s, d), "item_id", "terms", fx.query_terms(s, d), "query_id", "q_terms")
+    return lexical.bm25_query(fx.bm25_index(s, d, "title"), "item_id", fx.query_terms(s, d), "query_id", "q_terms")
 
 
 _TOP = """SELECT query_id, item_id, score, place::INT AS place FROM (
@@ -187,7 +186,7 @@ def bm25_title_field(s, d):
 def bm25_filter_query(s, d):
     """A short text (two words of the query) asked of the body index; real filter texts are in ``baseline_score_full``."""
     q = fx.query_terms(s, d).where(F.size("q_terms") >= 2).select("query_id", F.slice("q_terms", 1, 2).alias("q_terms"))
-    return _top(lexical.bm25_scores(fx.body_terms(s, d), "item_id", "terms", q, "query_id", "q_terms"), 20)
+    return _top(lexical.bm25_query(fx.bm25_index(s, d, "body"), "item_id", q, "query_id", "q_terms"), 20)
 
 
 @query(c_("," + bm25_sql("body", "body_terms") + "SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM body_idf"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, context_key, folded, tokens
-from ..sources.tables import read
+from ..functions.text import STOP_WORDS, char_grams, context_key, folded, tokens
+from ..operators import lexical
+from ..sources.tables import indexed, read
 
 KEY = ["query_norm", "search_location", "filters", "category", "delivery"]
 
@@ -34,6 +35,20 @@ def title_terms(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).select("item_id", tokens(folded(F.col("title"))).alias("terms"))
 
 
+def bm25_index(spark: SparkSession, d: str, field: str) -> DataFrame:
+    """(item_id, term, w) of the titles or bodies of all documents, made once a session."""
+    docs = {"body": body_terms, "title": title_terms}[field]
+    return indexed(spark, f"{d}/documents.parquet", f"bm25-{field}", lambda: lexical.bm25_index(docs(spark, d), "item_id", "terms"))
+
+
+def char_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(item_id, term, w) and (term, idf) of the character n-grams of all titles, made once a session."""
+    source = f"{d}/documents.parquet"
+    grams = corpus(spark, d).select("item_id", char_grams(folded(F.col("title"))).alias("grams"))
+    docs = indexed(spark, source, "char-vectors", lambda: lexical.tfidf_vectors(grams, "item_id", "grams", cap=None)[0])
+    return docs, indexed(spark, source, "char-idf", lambda: lexical.tfidf_vectors(grams, "item_id", "grams", cap=None)[1])
+
+
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return queries(spark, d).select("query_id", tokens(folded(F.col("query_text"))).alias("q_terms"))
 

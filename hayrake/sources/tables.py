@@ -106,6 +106,28 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_INDEXES: dict[tuple, tuple[str, T.StructType]] = {}
+
+
+def indexed(spark: SparkSession, source: str, name: str, make) -> DataFrame:
+    """A stage table that is made once a session for a source path as it stands, and read again by every later query.
+
+    The key holds the source's bytes, files and time of change, so a source that was written anew gets a new index.
+    """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size, changed = system.getContentSummary(target), system.getFileStatus(target).getModificationTime()
+    key = (spark.sparkContext.applicationId, source, name, size.getLength(), size.getFileCount(), changed)
+    if key not in _INDEXES:
+        made = staged(make(), f"index-{name}")
+        _INDEXES[key] = made.inputFiles()[0].rpartition("/")[0] if made.inputFiles() else "", made.schema
+        if not _INDEXES[key][0]:
+            del _INDEXES[key]
+            return made
+    path, schema = _INDEXES[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def digest(df: DataFrame) -> DataFrame:
     """Row count and an order-free digest: the sum of 60 bits of the SHA-256 of each row, columns in order of name, nulls as \\0."""
     row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
