@@ -77,11 +77,14 @@ def bm25_query(index: DataFrame, key: str, queries: DataFrame, q_key: str, q_ter
 
 def tfidf_vectors(docs: DataFrame, key: str, grams: str, min_df: int = 2, cap: int | None = CONFIG.gram_cap) -> tuple[DataFrame, DataFrame]:
     """(key, term, w) of unit length with 1+ln(tf) and smooth idf, and the (term, idf) table."""
-    tf = docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return tfidf_of_counts(term_counts(docs, key, grams), docs.agg(F.count("*").alias("n")), key, min_df, cap)
+
+
+def tfidf_of_counts(tf: DataFrame, n: DataFrame, key: str, min_df: int = 2, cap: int | None = CONFIG.gram_cap) -> tuple[DataFrame, DataFrame]:
+    """The same from (key, term, tf); ``n`` has one row with the number of documents in column n."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where(F.col("df") >= min_df)
     if cap is not None:
         df = df.orderBy(F.desc("all"), "term").limit(cap)
-    n = docs.agg(F.count("*").alias("n"))
     idf = df.crossJoin(n).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     return unit_rows(tf, idf, key), idf
 

@@ -45,8 +45,9 @@ def char_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(item_id, term, w) and (term, idf) of the character n-grams of all titles, made once a session."""
     source = f"{d}/documents.parquet"
     grams = corpus(spark, d).select("item_id", char_grams(folded(F.col("title"))).alias("grams"))
-    docs = indexed(spark, source, "char-vectors", lambda: lexical.tfidf_vectors(grams, "item_id", "grams", cap=None)[0])
-    return docs, indexed(spark, source, "char-idf", lambda: lexical.tfidf_vectors(grams, "item_id", "grams", cap=None)[1])
+    tf, n = indexed(spark, source, "char-counts", lambda: lexical.term_counts(grams, "item_id", "grams")), grams.agg(F.count("*").alias("n"))
+    idf = indexed(spark, source, "char-idf", lambda: lexical.tfidf_of_counts(tf, n, "item_id", cap=None)[1])
+    return indexed(spark, source, "char-vectors", lambda: lexical.unit_rows(tf, idf, "item_id")), idf
 
 
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
