@@ -16,10 +16,11 @@ FALLBACK_DIR = "file:/tmp/checkpoints"
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that bound the memory and disk of the operators here.
 
-    Arrow batches hold at most 2,000 rows, so that a Python worker never holds many long texts;
+    Arrow batches hold at most 2,000 rows and about 16 MB, so that a Python worker never holds many long texts;
     shuffle files of a finished write are removed instead of waiting for the driver's collector.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
@@ -73,6 +74,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def slices(texts, most: int = 8 << 20):
     """Runs of rows of an Arrow string column of at most ``most`` bytes, or of one row."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -80,7 +82,8 @@ def slices(texts, most: int = 8 << 20):
     while lo < len(size):
         done = past[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(past, done + most, "right")))
-        yield texts.slice(lo, hi - lo)
+        # a copy of its own: Arrow's text kernels can fail on arrays that start inside another one's buffers
+        yield texts.take(pa.array(np.arange(lo, hi)))
         lo = hi
 
 

@@ -52,7 +52,7 @@ def _numbered(keyed: DataFrame) -> tuple[DataFrame, str]:
     sizes = ids.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    numbered = ids.withColumn("part", part).join(F.broadcast(starts), "part")
+    numbered = ids.withColumn("part", part).join(starts, "part")
     return numbered.select("doc_id", "hash", (F.col("start") + row).alias("doc")), path
 
 

@@ -39,7 +39,9 @@ HUB_BLOCK = 4096
 _P = [f"p{k}" for k in range(PARITIES // 64)]
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that a worker signs at a time, entries that the other side of the shuffle sorts at a time.
-SLICE, FOLD = 1 << 20, 1 << 21
+SLICE, FOLD = 1 << 19, 1 << 20
+#: Bytes of text that are cut into shingles at a time.
+TEXT = 4 << 20
 #: Fingerprints that a task remembers, so that it signs equal sets once.
 SEEN = 1 << 20
 
@@ -248,7 +250,7 @@ def members(docs: DataFrame, width: int) -> DataFrame:
         claim("shingles")
         for b in batches:
             sizes, fps = [], []
-            for part in slices(b.column(1)):
+            for part in slices(b.column(1), TEXT):
                 sets = shingle_sets(part, width)
                 sizes += map(len, sets)
                 fps += map(fingerprint, sets)
@@ -304,7 +306,7 @@ def signed_blocks(docs: DataFrame, width: int, percent: int, bits: int) -> DataF
 
         for b in batches:
             fps, sets, held = [], [], 0
-            for part in slices(b.column(1)):
+            for part in slices(b.column(1), TEXT):
                 for s in shingle_sets(part, width):
                     fp = fingerprint(s)
                     if fp is None or fp in seen:
@@ -487,7 +489,7 @@ def groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
         claim("shingles")
         for b in batches:
             wanted, at = b.column(0).to_pylist(), 0
-            for part in slices(b.column(1)):
+            for part in slices(b.column(1), TEXT):
                 sets = shingle_sets(part, width)
                 fps = np.array([fingerprint(s) or 0 for s in sets], np.int64)
                 keep = [k for k in range(len(sets)) if len(sets[k]) and fps[k] == wanted[at + k]]

@@ -111,3 +111,17 @@ def test_query_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.op5_near_join(spark, sf).collect())
     assert got == sorted((d, n, d if least is None else least) for d, n, least in _brute(docs, 4, 85)[0])
+
+
+def test_slices_have_the_sets_of_the_whole():
+    import pyarrow as pa
+
+    from hayrake.llm.common import slices
+
+    rng = random.Random(1)
+    texts = pa.array([None if k % 17 == 0 else " ".join(rng.choice(["Aé", "b\t", "\nC", "日本", "d d", ""]) for _ in range(rng.randrange(60))) for k in range(700)])
+    whole = [s.tolist() for s in nj.shingle_sets(texts, 3)]
+    for most in (1, 500, 9000, 1 << 30):
+        parts = [s.tolist() for part in slices(texts, most) for s in nj.shingle_sets(part, 3)]
+        assert parts == whole == [s.tolist() for part in slices(texts.slice(0), most) for s in nj.shingle_sets(part, 3)]
+    assert [s.tolist() for part in slices(texts.slice(100, 50), 700) for s in nj.shingle_sets(part, 3)] == whole[100:150]
