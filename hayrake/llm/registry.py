@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, near_join, pieces, secrets, token_store, url_filter, warc, webp
+from . import decontaminate, dialogue, language_id, line_dedup, near_join, pieces, secrets, token_store, url_filter, warc, webp
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_language_id": language_id.op9_language_id,
         "op10_webp": webp.op10_webp,
+        "op12_dialogue_repair": dialogue.op12_dialogue_repair,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_secrets": secrets.OP2_SQL,
         "op4_warc": warc.OP4_SQL,
         "op6_decontaminate": decontaminate.OP6_SQL,
+        "op12_dialogue_repair": dialogue.OP12_SQL,
     }
