@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dialogue, language_id, line_dedup, near_join, pieces, secrets, token_store, url_filter, warc, webp
+from . import decontaminate, dialogue, language_id, line_dedup, near_join, pieces, resample, secrets, token_store, url_filter, warc, webp
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_language_id": language_id.op9_language_id,
         "op10_webp": webp.op10_webp,
         "op12_dialogue_repair": dialogue.op12_dialogue_repair,
+        "op13_resample": resample.op13_resample,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.OP4_SQL,
         "op6_decontaminate": decontaminate.OP6_SQL,
         "op12_dialogue_repair": dialogue.OP12_SQL,
+        "op13_resample": resample.OP13_SQL,
     }
