@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dialogue, language_id, line_dedup, near_join, pieces, resample, secrets, token_store, url_filter, warc, webp
+from . import decontaminate, dialogue, language_id, licenses, line_dedup, near_join, pieces, resample, secrets, token_store, url_filter, warc, webp
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_language_id": language_id.op9_language_id,
         "op10_webp": webp.op10_webp,
+        "op11_license_scan": licenses.op11_license_scan,
         "op12_dialogue_repair": dialogue.op12_dialogue_repair,
         "op13_resample": resample.op13_resample,
     }
@@ -27,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_secrets": secrets.OP2_SQL,
         "op4_warc": warc.OP4_SQL,
         "op6_decontaminate": decontaminate.OP6_SQL,
+        "op11_license_scan": licenses.OP11_SQL,
         "op12_dialogue_repair": dialogue.OP12_SQL,
         "op13_resample": resample.OP13_SQL,
     }
