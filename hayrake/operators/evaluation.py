@@ -24,6 +24,15 @@ def recall_curve(ranked: DataFrame, truth: DataFrame, q_key: str, key: str, cuts
     return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{k}`").alias("recall")) for k in cuts])).alias("r")).select("r.*")
 
 
+def ndcg(ranked: DataFrame, truth: DataFrame, q_key: str, key: str, k: int) -> DataFrame:
+    """(q_key, ndcg) at cut k of every query with truth, for gains of 0 and 1; ``ranked`` has column place."""
+    hit = truth.join(ranked.where(F.col("place") <= k).select(q_key, key, "place"), [q_key, key], "left")
+    gained = F.sum(F.coalesce(1 / F.log2(F.col("place") + 1.0), F.lit(0.0)))
+    per = hit.groupBy(q_key).agg(gained.alias("dcg"), F.count("*").alias("n"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    return per.select(q_key, (F.col("dcg") / ideal).alias("ndcg"))
+
+
 def stratum(text: Column, filters: Column, has_centre: Column, edges=CONFIG.bins) -> list[Column]:
     return [length_bin(F.length(text), edges).alias("bin"), (F.length(F.coalesce(filters, F.lit(""))) > 0).alias("filtered"), has_centre.alias("centred")]
 
