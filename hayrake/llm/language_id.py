@@ -87,6 +87,12 @@ class Profiles:
         return self.langs[best], float(1 - far[best] / (self.size * len(own)))
 
 
+def profile_places(sums: DataFrame, size: int) -> DataFrame:
+    """The ``size`` most frequent n-grams of each language with ``place`` from 1; tasks drop the rest before they are dealt."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return sums.withColumn("place", place).where(F.col("place") <= size)
+
+
 def learn(docs: DataFrame, size: int = PROFILE) -> list[tuple[str, int, int]]:
     """(language, n-gram, rank) from text and lang of all rows where both are non-null.
 
@@ -129,9 +135,9 @@ def learn(docs: DataFrame, size: int = PROFILE) -> list[tuple[str, int, int]]:
         F.col("lang").cast("string"), F.col("text").cast("string").cast("binary").alias("text")
     )
     sums = rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = sums.withColumn("rank", place - 1).where(F.col("rank") < size)
-    return [(r.lang, r.gram, r["rank"]) for r in top.select("lang", "gram", "rank").collect()]
+    # compared as it is, so that the planner keeps the first ones of every task before the shuffle
+    top = profile_places(sums, size)
+    return [(r.lang, r.gram, r.place - 1) for r in top.select("lang", "gram", "place").collect()]
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -70,3 +70,12 @@ def test_edge_rows(spark):
     assert len(got) == 8 and [by[k] for k in (1, 2, 3, 4, 6, None)] == ["en", "und", "und", "und", "fr", "en"]
     assert li.learn(docs.limit(0)) == [] and li.identify(docs, [], ["doc_id"]).where("lang_pred <> 'und'").count() == 0
     assert li.keep_identified(docs).columns == docs.columns
+
+
+def test_profiles_are_cut_before_the_shuffle(spark):
+    sums = spark.createDataFrame([(lang, g, g % 7) for lang in ("a", "b") for g in range(50)], "lang string, gram bigint, n bigint")
+    top = li.profile_places(sums, 5)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    want = sorted(range(50), key=lambda g: (-(g % 7), g))[:5]
+    assert {(r.lang, r.gram, r.place) for r in top.collect()} == {(lang, g, k + 1) for lang in ("a", "b") for k, g in enumerate(want)}
