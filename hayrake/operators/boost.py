@@ -467,24 +467,43 @@ def out_of_fold(model: Model, table: DataFrame) -> DataFrame:
     return table.mapInArrow(run, f"grp string, item {kind}, y double, fold int, score double")
 
 
-def score(model: Model, rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``score``, the mean of the folds' models, of rows that no model has seen."""
-    p = model.settings
-    coded = _coded(rows, [F.struct(*keep).alias("row")], model.features, model.edges, p.bins)
-    out = coded.drop("codes").schema.add("score", "double")
+def score(model: Model, rows: DataFrame, keep: list[str], fold: str | None = None) -> DataFrame:
+    """``keep`` and ``score`` of rows: by the model that left the row's ``fold`` out, or, without one, the mean of all models."""
+    p, n_features = model.settings, len(model.features)
+    at = F.lit(-1) if fold is None else F.col(fold).cast("int")
+    coded = _coded(rows, [F.struct(*keep).alias("row"), at.alias("fold")], model.features, model.edges, p.bins)
+    out = coded.select("row").schema.add("score", "double")
 
     def run(batches):
         for b in batches:
-            codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, len(model.features))
-            total = np.zeros(b.num_rows)
-            for trees in model.folds:
-                for t in trees:
-                    total += t.predict(codes, p.bins)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total / len(model.folds))], names=["row", "score"])
+            codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, n_features)
+            held, total = b.column(1).to_numpy(), np.zeros(b.num_rows)
+            for m, trees in enumerate(model.folds):
+                mine = np.flatnonzero((held == m) | (held < 0))
+                share = np.where(held[mine] < 0, 1 / len(model.folds), 1.0)
+                for t in trees if len(mine) else ():
+                    total[mine] += share * t.predict(codes[mine], p.bins)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total)], names=["row", "score"])
 
     return coded.mapInArrow(run, out).select("row.*", "score")
 
 
+def list_gradients(rows: DataFrame, group: str, key: str, scored: str, label: str, settings: Settings) -> DataFrame:
+    """(grp, item, gradient, hessian) of all rows at the scores they have, list by list; equal scores stand in order of key."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(key).alias("item"), F.col(scored).cast("double").alias("s"), F.col(label).cast("double").alias("y"))))
+    lists = rows.groupBy(F.col(group).cast("string").alias("grp")).agg(each.alias("rows")).select("grp", *[F.col(f"rows.{c}").alias(c) for c in ("item", "s", "y")])
+    kind = lists.schema["item"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            found = [gradients(np.array(s, float), np.array(y, float), np.ones(len(s)), settings, grp, 0) for grp, s, y in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True)]
+            repeat = pa.array(np.repeat(np.arange(b.num_rows), [len(g) for g, _ in found]))
+            flat = [np.concatenate([x[k] for x in found]) if found else np.empty(0) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(repeat), b.column(1).flatten(), *map(pa.array, flat)], names=["grp", "item", "gradient", "hessian"])
+
+    return lists.mapInArrow(run, f"grp string, item {kind}, gradient double, hessian double")
+
+
 def model_table(spark: SparkSession, model: Model) -> DataFrame:
     """(model, tree, node, feature, upper, missing_left, left, right, value, gain): the trees as rows; leaves have no feature."""
     rows = []

@@ -10,8 +10,10 @@ from ..sources.tables import staged
 from .relational import first_by, purge, within, without
 
 
-def choose(keys: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n distinct keys in seeded order."""
+def choose(keys: DataFrame, key: str, n: int | None, seed: int) -> DataFrame:
+    """n distinct keys in seeded order; all of them, in none, where n is None."""
+    if n is None:
+        return keys.select(key).distinct()
     return keys.select(key).distinct().orderBy(hashed(seed, key), key).limit(n)
 
 
@@ -45,8 +47,8 @@ def labels(queries: DataFrame, gold_sets: DataFrame, context: str, kind: str = "
     return joined.withColumn("items", F.coalesce("items", F.array().cast(kind)))
 
 
-def select_contexts(pairs: DataFrame, text: str, context: str, n: int, seed: int) -> DataFrame:
-    """One context for each of n texts, both in seeded order."""
+def select_contexts(pairs: DataFrame, text: str, context: str, n: int | None, seed: int) -> DataFrame:
+    """One context for each of n texts, or of all where n is None, both in seeded order."""
     texts = choose(pairs, text, n, seed)
     return first_by(within(pairs, texts, text).select(text, context).distinct(), [text], [hashed(seed, context), F.col(context)])
 

@@ -939,4 +939,4 @@ def flagship(s, d):
     return pool.stable_topk(fused, CONFIG.answer_size, "query_id", "item_id").select("query_id", "item_id", "score", "place")
 
 
-from . import hybrid  # noqa: E402,F401  registers its queries here
+from . import hybrid, ranking  # noqa: E402,F401  register their queries here

@@ -18,7 +18,7 @@ from ..functions import numeric as num
 from ..functions import text as tx
 from ..operators import evaluation as ev
 from ..operators import features, fusion, geography, history, learn, lexical, pool, relational, vectors
-from ..sources.tables import read, staged
+from ..sources.tables import indexed, read
 from .catalog import _GEO, _GRAMS, _KM, SEED, _hash_sql, query, r6
 from .fixtures import KEY, bm25_sql, fold_sql, places, terms_sql
 
@@ -64,7 +64,7 @@ def past(s: SparkSession, d: str) -> DataFrame:
 
 def asked(rows: DataFrame) -> DataFrame:
     """One context of every text, in seeded order."""
-    chosen = history.select_contexts(rows, "query_norm", "context_key", 1 << 20, SEED).select("context_key")
+    chosen = history.select_contexts(rows, "query_norm", "context_key", None, SEED).select("context_key")
     q = rows.select("context_key", *KEY).distinct().join(chosen, "context_key", "left_semi")
     at = F.conv(F.substring("context_key", 1, 8), 16, 10).cast("bigint")
     terms = lambda c: tx.tokens(tx.folded(F.col(c)))
@@ -198,23 +198,31 @@ def places_compatibility(seen: DataFrame, s: SparkSession, d: str) -> DataFrame:
     return geo.join(km, ["search_location", "item_location"]).join(moves.select("search_location", "item_location", "p", "support"), ["search_location", "item_location"], "left")
 
 
+#: Tables that the search reads.
+TABLES = ["customer", "embeddings", "lineitem", "nation", "orders", "part"]
+
+
 class Search:
-    """The frames that the queries share, each built once."""
+    """The frames that the queries share, each built once a session for the tables as they stand."""
 
     def __init__(self, s: SparkSession, d: str):
         self.s, self.d = s, d
-        self.items, self.past = items(s, d), staged(past(s, d), "past")
-        self.q = staged(asked(self.past), "queries")
+        self.items, self.past = items(s, d), self.kept("past", lambda: past(s, d))
+        self.q = self.kept("queries", lambda: asked(self.past))
         self.fit = fit(self.past, self.q)
         self.gold = gold(self.past, self.q)
 
+    def kept(self, name: str, make) -> DataFrame:
+        """A frame as a stage table that later queries of the session read again."""
+        return indexed(self.s, [f"{self.d}/{t}.parquet" for t in TABLES], f"search-{name}", make)
+
     @cached_property
     def geo(self) -> DataFrame:
-        return staged(places_compatibility(self.fit, self.s, self.d), "places")
+        return self.kept("places", lambda: places_compatibility(self.fit, self.s, self.d))
 
     @cached_property
     def micro(self) -> DataFrame:
-        return staged(class_compatibility(self.fit, self.q, self.items), "classes")
+        return self.kept("classes", lambda: class_compatibility(self.fit, self.q, self.items))
 
     def scores(self) -> dict[str, DataFrame]:
         i, q = self.items, self.q
@@ -225,7 +233,7 @@ class Search:
 
     @cached_property
     def wide(self) -> DataFrame:
-        return staged(self._wide(), "scores")
+        return self.kept("scores", self._wide)
 
     def _wide(self) -> DataFrame:
         """One row per query and item with a positive score in some channel, or among the first keys, which fill up with 0."""
@@ -261,7 +269,7 @@ class Search:
 
     @cached_property
     def hybrid_pool(self) -> DataFrame:
-        return staged(self._hybrid_pool(), "pool")
+        return self.kept("pool", self._hybrid_pool)
 
     def _hybrid_pool(self) -> DataFrame:
         """(query_id, item_id, from_lexical, from_semantic)"""

@@ -117,15 +117,21 @@ def released(df: DataFrame) -> None:
 _INDEXES: dict[tuple, tuple[str, T.StructType]] = {}
 
 
-def indexed(spark: SparkSession, source: str, name: str, make) -> DataFrame:
-    """A stage table that is made once a session for a source path as it stands, and read again by every later query.
-
-    The key holds the source's bytes, files and time of change, so a source that was written anew gets a new index.
-    """
+def _state(spark: SparkSession, source: str) -> tuple:
+    """What changes when a table's files do: its path, bytes, files and time of change."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    size, changed = system.getContentSummary(target), system.getFileStatus(target).getModificationTime()
-    key = (spark.sparkContext.applicationId, source, name, size.getLength(), size.getFileCount(), changed)
+    size = system.getContentSummary(target)
+    return source, size.getLength(), size.getFileCount(), system.getFileStatus(target).getModificationTime()
+
+
+def indexed(spark: SparkSession, source: str | list[str], name: str, make) -> DataFrame:
+    """A stage table that is made once a session for source paths as they stand, and read again by every later query.
+
+    The key holds the sources' bytes, files and times of change, so that a source that was written anew gets a new index.
+    """
+    sources = [source] if isinstance(source, str) else source
+    key = (spark.sparkContext.applicationId, name, *(_state(spark, x) for x in sources))
     if key not in _INDEXES:
         made = staged(make(), f"index-{name}")
         _INDEXES[key] = made.inputFiles()[0].rpartition("/")[0] if made.inputFiles() else "", made.schema
