@@ -146,6 +146,13 @@ def assert_no_leak(seen: DataFrame, **blocked: DataFrame) -> DataFrame:
     return seen.crossJoin(found.select(bad.alias("_clean"))).where("_clean").drop("_clean")
 
 
+def assert_apart(rows: DataFrame, text: str, fold: str) -> DataFrame:
+    """The rows themselves; an error where a text stands in several folds, so that a model would be asked what it has seen."""
+    several = rows.groupBy(text).agg(F.count_distinct(fold).alias("n")).where("n > 1").agg(F.count("*").alias("several"))
+    bad = F.when(F.col("several") > 0, F.raise_error(F.lit("a text stands in several folds"))).otherwise(F.lit(True))
+    return rows.crossJoin(several.select(bad.alias("_clean"))).where("_clean").drop("_clean")
+
+
 def cold_sweep(pairs: DataFrame, queries: DataFrame, gold_pairs: DataFrame, text: str, context: str, item: str, fractions, seed: int) -> DataFrame:
     """(mode, fraction, known_texts, positives_seen) for both regimes and each share of cold positives."""
     out = None

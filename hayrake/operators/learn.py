@@ -1,14 +1,13 @@
-"""Learners of MLlib in the places of the pipeline's rankers and classifiers.
+"""MLlib's pointwise ranker, soft targets and class masks; listwise rankers are in ``boost``, class models in ``classes`` and ``neural``.
 
-MLlib has no listwise ranker: a pointwise gradient-boosted classifier with query-equal weights stands in for it.
 Encoders and cross-encoders are not built here: their vectors and scores come in as columns.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, NaiveBayes
-from pyspark.ml.feature import CountVectorizer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,23 +37,6 @@ def soft_targets(pairs: DataFrame, key: str, label: str) -> DataFrame:
     return n.select(key, label, "n", (F.col("n") / total).alias("share"), (F.col("n") / total * F.least(F.sqrt(total), F.lit(16.0))).alias("weight"))
 
 
-def fit_classes(targets: DataFrame, terms: str, label: str, smoothing: float = 0.005, vocabulary: int = 1 << 16) -> PipelineModel:
-    """Multinomial naive Bayes on soft labels: one weighted row per text and label."""
-    index = StringIndexer(inputCol=label, outputCol="class", handleInvalid="error").fit(targets)
-    count = CountVectorizer(inputCol=terms, outputCol="features", vocabSize=vocabulary).fit(targets)
-    rows = count.transform(index.transform(targets))
-    return PipelineModel([count, NaiveBayes(smoothing=smoothing, labelCol="class", featuresCol="features", weightCol="weight").fit(rows)]), index.labels
-
-
-def fit_perceptron(rows: DataFrame, terms: str, label: str, hidden: int = 32, steps: int = 60, vocabulary: int = 1 << 10, seed: int = 7) -> tuple[PipelineModel, list[str]]:
-    """A perceptron with one hidden layer on hard labels; MLlib has sigmoid units and no soft labels."""
-    index = StringIndexer(inputCol=label, outputCol="class", handleInvalid="error").fit(rows)
-    count = CountVectorizer(inputCol=terms, outputCol="features", vocabSize=vocabulary).fit(rows)
-    layers = [len(count.vocabulary), hidden, max(2, len(index.labels))]
-    net = MultilayerPerceptronClassifier(layers=layers, labelCol="class", featuresCol="features", maxIter=steps, seed=seed)
-    return PipelineModel([count, net.fit(count.transform(index.transform(rows)))]), index.labels
-
-
 def masked(probabilities: DataFrame, key: str, supported: DataFrame, label: str) -> DataFrame:
     """Unsupported classes at zero, the others scaled to a sum of one."""
     marked = probabilities.join(supported.select(label).distinct().withColumn("ok", F.lit(1)), label, "left")

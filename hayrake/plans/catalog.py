@@ -908,16 +908,6 @@ def footer_profile(s, d):
 # ---------------------------------------------------------------- learners
 
 
-@query()
-def naive_bayes_classes(s, d):
-    """The most probable class of every text, from soft labels."""
-    targets = learn.soft_targets(fx.interactions(s, d), "query_norm", "micro").withColumn("terms", tx.char_grams(F.col("query_norm")))
-    model, names = learn.fit_classes(targets, "terms", "micro")
-    texts = targets.select("query_norm", "terms").distinct()
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int") + 1)
-    return model.transform(texts).select("query_norm", label.alias("micro"))
-
-
 FEATURES = ["b", "t", "c", "geo", "baseline", "mixed", "log_baseline_rank", "log_mixed_rank"]
 
 
@@ -939,4 +929,4 @@ def flagship(s, d):
     return pool.stable_topk(fused, CONFIG.answer_size, "query_id", "item_id").select("query_id", "item_id", "score", "place")
 
 
-from . import hybrid, ranking  # noqa: E402,F401  register their queries here
+from . import hybrid, learning, ranking  # noqa: E402,F401  register their queries here

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..operators import boost, evaluation, fusion, history, pool
+from ..sources.tables import staged
 from .catalog import SEED, query, r6
 from .hybrid import _FRAME, _FRAME_COLUMNS, _LEX_POOL, _SEM, _V5, _WIDE, _Y, Search, h_, lexical_frame, marked_pool
 
@@ -44,6 +45,39 @@ def ranked(x: Search, **settings) -> tuple[boost.Model, DataFrame]:
     return model, boost.score(model, rows, [*KEYS, "y"], "fold")
 
 
+MINED, TAIL = {"score": 400}, 96
+
+
+def mined(rows: DataFrame, first: DataFrame, names: list[str], rounds: int = 2, **settings) -> tuple[DataFrame, list[DataFrame]]:
+    """A sample of hard negatives mined by rankers that did not see their texts, and the scores of every round.
+
+    ``rows`` are all candidates (query_id, item_id, query_norm, y, fold by text, features), ``first`` the sample of the first round.
+    Each round trains a ranker per fold, scores every fold by the one that left it out, and keeps the positives, the 400
+    candidates that it places highest wrongly and 96 random ones; the scores of a round are a stage table.
+    """
+    p, picked, history_of = boost.Settings(**BRIEF | settings), first, []
+    for _ in range(rounds):
+        weighted = history.query_weights(history.assert_apart(picked, "query_norm", "fold"), "query_id")
+        model, table = boost.train(staged(weighted, "mined"), "query_id", "item_id", names, "y", "fold", FOLDS, p, "weight")
+        boost.released(table)
+        scored = boost.score(model, rows, [*KEYS, "y"], "fold").withColumn("score", F.round("score", 9))
+        history_of.append(staged(scored, "mined-scores"))
+        chosen = history.group_sample(history_of[-1], "query_id", "item_id", MINED, TAIL, SEED)
+        picked = rows.join(chosen.select(*KEYS, "kind"), KEYS)
+    return picked, history_of
+
+
+@query()
+def mined_by_text(s, d):
+    """Negatives of two rounds of mining by rankers on the other folds' texts."""
+    x = Search(s, d)
+    rows = frame(x)
+    names = features(rows)
+    rows = rows.drop("fold").join(x.q.select("query_id", "query_norm"), "query_id").join(history.folds(x.q, "query_norm", FOLDS, SEED), "query_norm")
+    first = history.group_sample(rows, "query_id", "item_id", _V5, 64, SEED).drop("kind")
+    return mined(rows, first, names)[0].select(*KEYS, "kind")
+
+
 def _top(x: Search, **settings) -> DataFrame:
     scored = ranked(x, **settings)[1].withColumn("score", F.round("score", 9))
     return pool.stable_topk(scored, CONFIG.answer_size, "query_id", "item_id").select(*KEYS, "score", "place")
