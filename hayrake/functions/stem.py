@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,14 +66,24 @@ def stem(word: str) -> str:
     return head + rest
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    """Stems of an array of words; every distinct word of a batch is stemmed once."""
-    known: dict[str, str] = {}
+@F.pandas_udf(T.StringType())
+def _stem(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else stem(w))
 
-    def of(w: str) -> str:
-        if w not in known:
-            known[w] = stem(w)
-        return known[w]
 
-    return words.map(lambda ws: None if ws is None else [of(w) for w in ws])
+def stem_table(words: DataFrame, term: str = "term") -> DataFrame:
+    """(term, stem) of the distinct words: each is stemmed once, however often it stands; words without Cyrillic letters stay in the JVM."""
+    distinct = words.select(F.col(term).alias("term")).distinct()
+    russian = F.col("term").rlike("[а-яё]")
+    return distinct.where(russian).select("term", _stem("term").alias("stem")).unionByName(distinct.where(~russian).select("term", F.col("term").alias("stem")))
+
+
+def stemmed_terms(rows: DataFrame, key: str, terms: str) -> DataFrame:
+    """(key, terms) with every word by its stem, in order; rows without words keep their empty array.
+
+    Words are joined with their table by word, so no array goes through Python and Spark can split a frequent word.
+    """
+    each = rows.select(key, F.posexplode_outer(terms).alias("at", "term"))
+    table = stem_table(each.where(F.col("term").isNotNull()))
+    joined = each.join(table, "term", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "stem")))).alias("words"))
+    return joined.select(key, F.transform("words", lambda w: w["stem"]).alias(terms))

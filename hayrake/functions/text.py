@@ -38,18 +38,6 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(terms: pd.Series) -> pd.Series:
-    from .stem import stem
-
-    return terms.map(lambda words: None if words is None else [stem(w) for w in words])
-
-
-def stemmed(terms: Column) -> Column:
-    """Words with their Russian endings taken off; rows without Cyrillic letters never leave the JVM's values."""
-    return F.when(F.exists(terms, lambda w: w.rlike("[а-я]")), _stems(terms)).otherwise(terms)
-
-
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     """n-grams within words padded by a space each side; a padded word shorter than n gives itself once for that n."""
     words = F.filter(F.split(text, " "), lambda w: w != "")

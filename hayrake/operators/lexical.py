@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..functions.stem import stem_table
 from ..functions.text import WORD, char_grams, folded
 from ..sources.tables import staged
 
@@ -53,14 +54,17 @@ def bm25_scores(docs: DataFrame, key: str, terms: str, queries: DataFrame, q_key
     return postings.select(key, "term", weight.alias("w")).join(wanted, "term").groupBy(q_key, key).agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
 
 
-def bm25_index(docs: DataFrame, key: str, terms: str) -> DataFrame:
+def bm25_index(docs: DataFrame, key: str, terms: str, stems: bool = False) -> DataFrame:
     """(key, term, w): postings with their whole BM25 weight, sorted by term, so that a query reads only its terms' row groups.
 
-    Texts are cut into terms once: lengths and the number of terms come from the stored counts.
+    Texts are cut into terms once: lengths and the number of terms come from the stored counts.  With ``stems`` the counted
+    words, one row per text and word, are brought to their stems by the vocabulary's table, and added up.
     """
     k1, b = CONFIG.bm25_k1, CONFIG.bm25_b
     tf = docs.select(key, F.size(terms).alias("len"), F.explode(terms).alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
     tf = staged(tf, "term-counts")
+    if stems:
+        tf = staged(tf.join(stem_table(tf), "term").groupBy(key, "len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf")), "stem-counts")
     n = docs.agg(F.count("*").alias("n"))
     mean = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")).crossJoin(n).select("n", F.greatest(F.coalesce(F.col("all") / F.col("n"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
     idf = idf_table(tf, n)

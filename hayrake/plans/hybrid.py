@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIG
 from ..functions import numeric as num
 from ..functions import text as tx
+from ..functions.stem import stemmed_terms
 from ..operators import evaluation as ev
 from ..operators import features, fusion, geography, history, lexical, pool, relational, vectors
 from ..sources.tables import indexed, read
@@ -646,9 +647,9 @@ def alignment_check(s, d):
 
 @query(h_(f""" SELECT filters, len(terms)::INT AS n, array_to_string(terms, ' ') AS terms FROM (SELECT filters, {terms_sql('filters')} AS terms FROM (SELECT DISTINCT filters FROM h_past))"""))
 def stemmed_filters(s, d):
-    """Words of the filter texts by their stems; the words of this vocabulary are stems already."""
-    f = past(s, d).select("filters").distinct()
-    return f.select("filters", tx.stemmed(tx.tokens(tx.folded(F.col("filters")))).alias("t")).select("filters", F.size("t").alias("n"), F.array_join("t", " ").alias("terms"))
+    """Words of the filter texts by their stems; the words of this vocabulary are stems already, ``bm25_stems_top20`` has others."""
+    f = past(s, d).select("filters").distinct().select("filters", tx.tokens(tx.folded(F.col("filters"))).alias("t"))
+    return stemmed_terms(f, "filters", "t").select("filters", F.size("t").alias("n"), F.array_join("t", " ").alias("terms"))
 
 
 _RECALL50 = """, best AS (SELECT query_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY baseline DESC, item_id) AS n FROM h_full) WHERE n <= 50),

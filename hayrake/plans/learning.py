@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stem
 from ..functions import text as tx
-from ..operators import classes, evaluation, history, learn, neural, relational, vectors
-from ..sources.tables import staged
+from ..operators import classes, evaluation, history, learn, lexical, neural, pool, relational, vectors
+from ..sources.tables import indexed, staged
+from . import fixtures as fx
 from .catalog import SEED, query, r6
-from .fixtures import terms_sql
+from .fixtures import CORPUS_SQL, bm25_sql, terms_sql
 from .hybrid import Search, _gram_sql, h_
 
 ALPHA, BUCKETS, HIDDEN, STEPS = 0.005, 1 << 11, 48, 35
@@ -138,3 +140,67 @@ def query_projection(s, d):
         found = vectors.text_key_topk(i, "item_id", asked, "query_id", "embedding", 50)
         rows.append(evaluation.recall(found, truth, "query_id", "item_id").agg(F.lit(name).alias("map"), F.avg("recall").alias("recall_50"), F.count("*").alias("queries")))
     return rows[0].unionByName(rows[1])
+
+
+# ---------------------------------------------------------------- stems in the index
+
+#: Latin letters as Cyrillic ones, so that the tables' words have endings to be taken off.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувьюыз"
+
+
+def _russian(column: str):
+    return F.translate(F.lower(F.coalesce(F.col(column), F.lit(""))), _LATIN, _CYRILLIC)
+
+
+def _stem_sql(words: str) -> str:
+    """CTEs that end in st(term, stem): the published algorithm in regular expressions, apart from the engine's own."""
+    v, ends = "аеиоуыэюя", lambda words: "(?:" + "|".join(words) + ")$"
+    cut = lambda c, e: f"regexp_replace({c}, '{ends(e)}', '')"
+    has = lambda c, e: f"regexp_matches({c}, '{ends(e)}')"
+    cut_after = lambda c, e: f"regexp_replace({c}, '([ая]){ends(e)}', '\\1')"
+    has_after = lambda c, e: f"regexp_matches({c}, '[ая]{ends(e)}')"
+    return f"""
+st_words AS ({words}),
+st_0 AS (SELECT term, CASE WHEN regexp_matches(term, '[{v}]') THEN regexp_extract(term, '^[^{v}]*[{v}]') ELSE term END AS head,
+  CASE WHEN regexp_matches(term, '^[^{v}]*[{v}]+[^{v}][^{v}]*[{v}]+[^{v}]') THEN length(regexp_extract(term, '^[^{v}]*[{v}]+[^{v}][^{v}]*[{v}]+[^{v}]')) ELSE length(term) END AS r2 FROM st_words),
+st_1 AS (SELECT *, substr(term, length(head) + 1) AS a FROM st_0),
+st_2 AS (SELECT *, {cut('a', stem.REFLEXIVE)} AS b FROM st_1),
+st_3 AS (SELECT *, {cut('b', stem.ADJECTIVE)} AS c FROM st_2),
+st_4 AS (SELECT term, head, r2, CASE WHEN {has('a', stem.GERUND)} THEN {cut('a', stem.GERUND)} WHEN {has_after('a', stem.GERUND_AFTER)} THEN {cut_after('a', stem.GERUND_AFTER)}
+  WHEN b <> c THEN CASE WHEN {has('c', stem.PARTICIPLE)} THEN {cut('c', stem.PARTICIPLE)} WHEN {has_after('c', stem.PARTICIPLE_AFTER)} THEN {cut_after('c', stem.PARTICIPLE_AFTER)} ELSE c END
+  WHEN {has('b', stem.VERB)} THEN {cut('b', stem.VERB)} WHEN {has_after('b', stem.VERB_AFTER)} THEN {cut_after('b', stem.VERB_AFTER)} ELSE {cut('b', stem.NOUN)} END AS d FROM st_3),
+st_5 AS (SELECT term, head, r2, regexp_replace(d, 'и$', '') AS e FROM st_4),
+st_6 AS (SELECT term, head, CASE WHEN regexp_matches(e, 'ость?$') AND length(head) + length(regexp_replace(e, 'ость?$', '')) >= r2 THEN regexp_replace(e, 'ость?$', '') ELSE e END AS f FROM st_5),
+st_7 AS (SELECT *, regexp_replace(f, 'ейше?$', '') AS g FROM st_6),
+st AS (SELECT term, CASE WHEN NOT regexp_matches(term, '[а-я]') THEN term ELSE head || CASE WHEN ends_with(g, 'нн') THEN left(g, -1) WHEN g = f THEN regexp_replace(g, 'ь$', '') ELSE g END END AS stem FROM st_7)"""
+
+
+def _translated(c: str) -> str:
+    return f"translate(lower(coalesce({c}, '')), '{_LATIN}', '{_CYRILLIC}')"
+
+
+_STEMS = f"""WITH {CORPUS_SQL.strip()},
+ru_docs AS (SELECT item_id, {terms_sql(_translated('title'))} AS terms FROM corpus), ru_asked AS (SELECT query_id, {terms_sql(_translated('query_text'))} AS q_terms FROM queries),
+{_stem_sql("SELECT DISTINCT term FROM (SELECT unnest(terms) AS term FROM ru_docs UNION ALL SELECT unnest(q_terms) FROM ru_asked)").strip()},
+rs_docs AS (SELECT item_id, coalesce(list(stem), []) AS terms FROM (SELECT item_id, unnest(terms) AS term FROM ru_docs) JOIN st USING (term) GROUP BY 1 UNION ALL SELECT item_id, [] FROM ru_docs WHERE len(terms) = 0),
+rs_asked AS (SELECT query_id, list(stem) AS q_terms FROM (SELECT query_id, unnest(q_terms) AS term FROM ru_asked) JOIN st USING (term) GROUP BY 1),"""
+
+
+def _stem_rows(s, d) -> tuple[DataFrame, DataFrame]:
+    docs = fx.corpus(s, d).select("item_id", tx.tokens(tx.folded(_russian("title"))).alias("terms"))
+    return docs, fx.queries(s, d).select("query_id", tx.tokens(tx.folded(_russian("query_text"))).alias("q_terms"))
+
+
+@query(_STEMS + bm25_sql("rs", "rs_docs", "rs_asked") + " SELECT query_id, item_id, score, place FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM rs) WHERE place <= 20")
+def bm25_stems_top20(s, d):
+    """The twenty best titles of every passage by BM25 over stems, of Cyrillic words."""
+    docs, asked = _stem_rows(s, d)
+    index = indexed(s, f"{d}/documents.parquet", "bm25-stems", lambda: lexical.bm25_index(docs, "item_id", "terms", stems=True))
+    scores = lexical.bm25_query(index, "item_id", stem.stemmed_terms(asked, "query_id", "q_terms"), "query_id", "q_terms")
+    return pool.stable_topk(scores, 20, "query_id", "item_id").select("query_id", "item_id", "score", F.col("place").cast("bigint").alias("place"))
+
+
+@query(_STEMS.rstrip(",") + " SELECT term, stem FROM st WHERE term IN (SELECT unnest(terms) FROM ru_docs)")
+def stem_vocabulary(s, d):
+    """Every word of the titles with its stem."""
+    return stem.stem_table(_stem_rows(s, d)[0].select(F.explode("terms").alias("term")))

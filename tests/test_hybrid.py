@@ -121,12 +121,6 @@ def test_class_metrics(spark):
     assert math.isclose(r.nll, ((3 * -math.log(0.6) - math.log(0.4)) / 4 - math.log(1e-8)) / 2)
 
 
-def test_stems_only_where_there_is_cyrillic(spark):
-    d = spark.createDataFrame([(["книги", "and"],), (["books"],), ([],), (None,)], "t array<string>")
-    got = [r[0] for r in d.select(tx.stemmed(F.col("t"))).collect()]
-    assert got == [["книг", "and"], ["books"], [], None]
-
-
 def test_staged_tables_need_a_shared_folder(spark):
     d = spark.range(5)
     assert tables.staged(d, "t").count() == 5
