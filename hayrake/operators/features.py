@@ -69,3 +69,49 @@ def category_prior(pairs: DataFrame, score: str, wanted: str, own: str, boost: f
     """A small addition where the category fits; category 0 fits everything (a reconstruction)."""
     fits = (F.col(wanted) == 0) | (F.col(wanted) == F.col(own))
     return pairs.withColumn(score, F.col(score) + F.when(fits, boost).otherwise(0.0))
+
+
+def attributes(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, value): the ``name: value`` pairs of texts like "name: value; name: value", lower-cased, spaces made single.
+
+    Pieces without a colon, a name or a value say nothing; a name that stands twice has both values.
+    """
+    pieces = rows.select(key, F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), ";")).alias("piece"))
+    clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    split = pieces.where(F.col("piece").contains(":")).select(key, clean(F.regexp_extract("piece", r"^([^:]*):", 1)).alias("name"), clean(F.regexp_extract("piece", r"^[^:]*:(.*)$", 1)).alias("value"))
+    return split.where((F.col("name") != "") & (F.col("value") != "")).distinct()
+
+
+def attribute_match(pairs: DataFrame, q_key: str, key: str, wanted: DataFrame, had: DataFrame, name: str, column: str) -> DataFrame:
+    """``pairs`` with ``column``: 1 where query and item have a common value of the attribute, 0 where they have other ones, null where one lacks it.
+
+    Values of a pair meet by the pair's keys and the value, so no two value lists are multiplied.
+    """
+    q = wanted.where(F.col("name") == name).select(q_key, "value")
+    i = had.where(F.col("name") == name).select(key, "value")
+    asked = q.select(q_key).distinct().withColumn("_q", F.lit(1))
+    owned = i.select(key).distinct().withColumn("_i", F.lit(1))
+    hit = pairs.select(q_key, key).join(q, q_key).join(i, [key, "value"]).select(q_key, key).distinct().withColumn("_hit", F.lit(1.0))
+    out = pairs.join(asked, q_key, "left").join(owned, key, "left").join(hit, [q_key, key], "left")
+    value = F.when(F.col("_q").isNotNull() & F.col("_i").isNotNull(), F.coalesce("_hit", F.lit(0.0)))
+    return out.withColumn(column, value).drop("_q", "_i", "_hit")
+
+
+def structural_block(pairs: DataFrame, q_key: str, key: str, wanted: DataFrame, had: DataFrame, kinds: dict[str, str], words: dict[str, str], km: str) -> DataFrame:
+    """Ten columns from what texts state outright (a reconstruction): nothing here drops a candidate.
+
+    ``kinds`` maps short names to attribute names: whether query and item agree, and whether the query states it.  ``words`` maps
+    the flags to the word that either text must hold; ``pairs`` has both texts as q_text and i_text, the item's class and place,
+    and the distance ``km``.  Frequencies are those of all items of ``had``'s frame ``pairs`` refers to, given as place_n, class_place_n, class_n.
+    """
+    out = pairs
+    for short, name in kinds.items():
+        out = attribute_match(out, q_key, key, wanted, had, name, f"{short}_match")
+        stated = wanted.where(F.col("name") == name).select(q_key).distinct().withColumn(f"{short}_stated", F.lit(1.0))
+        out = out.join(stated, q_key, "left").na.fill(0.0, [f"{short}_stated"])
+    for flag, word in words.items():
+        out = out.withColumn(flag, (F.lower("q_text").contains(word) | F.lower("i_text").contains(word)).cast("double"))
+    log = lambda c: F.log1p(F.coalesce(F.col(c), F.lit(0)).cast("double"))
+    last = list(words)[-1]
+    extra = {"place_log_count": log("place_n"), "class_place_log_count": log("class_place_n"), "class_place_share": F.col("class_place_n") / F.col("class_n"), f"{last}_log_distance": F.col(last) * log1p_floor(F.col(km))}
+    return out.select(q_key, key, *[f"{s}_{x}" for s in kinds for x in ("match", "stated")], *words, *[c.alias(n) for n, c in extra.items()])

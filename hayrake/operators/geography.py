@@ -56,3 +56,45 @@ def context_centres(history: DataFrame, location: str, lat: str, lon: str) -> Da
     far = history.join(middle.withColumnsRenamed({"lat": "c_lat", "lon": "c_lon"}), location)
     km = haversine(F.col("c_lat"), F.col("c_lon"), F.col(lat), F.col(lon))
     return far.groupBy(location).agg(F.count("*").alias("support"), F.percentile(km, 0.5).alias("spread_p50"), F.percentile(km, 0.9).alias("spread_p90"))
+
+
+def weighted_quantiles(counts: DataFrame, key: str, value: str, weight: str, **at: float) -> DataFrame:
+    """(key, one column per name): the smallest value below which, with itself, at least that share of the key's weight lies.
+
+    Values are counted per distinct one before they are ordered, so a key's partition holds its distinct values, not its rows.
+    """
+    summed = counts.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.sum(weight).alias("_w"))
+    own = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = summed.withColumn("_upto", F.sum("_w").over(own)).withColumn("_all", F.sum("_w").over(Window.partitionBy(key)))
+    return upto.groupBy(key).agg(*[F.min(F.when(F.col("_upto") >= share * F.col("_all"), F.col(value))).alias(name) for name, share in at.items()])
+
+
+def context_block(places: DataFrame, located: DataFrame, moves: DataFrame, support: float = CONFIG.transition_support) -> DataFrame:
+    """Where searches of each place are centred and how they spread (a reconstruction from the columns' names).
+
+    ``places`` (location), ``located`` (location, lat, lon) of items with coordinates, one row per item, ``moves``
+    (search_location, item_location, n).  The centre is the median of the items at the place, code 0, else that of the items chosen
+    from it, code 1, else none, code 2.  Distances from the centre to chosen items' places, by how often they were chosen, give the spread.
+    """
+    corpus = centres(located, "location", "lat", "lon").withColumnsRenamed({"lat": "c_lat", "lon": "c_lon"})
+    at = located.groupBy("location").agg(F.median("lat").alias("p_lat"), F.median("lon").alias("p_lon")).withColumnRenamed("location", "item_location")
+    known = moves.join(at, "item_location")
+    middle = weighted_quantiles(known, "search_location", "p_lat", "n", h_lat=0.5).join(weighted_quantiles(known, "search_location", "p_lon", "n", h_lon=0.5), "search_location")
+    base = places.select(F.col("location").alias("search_location")).join(corpus.withColumnRenamed("location", "search_location"), "search_location", "left").join(middle, "search_location", "left")
+    source = F.when(F.col("c_lat").isNotNull(), 0).when(F.col("h_lat").isNotNull(), 1).otherwise(2)
+    base = base.select("search_location", source.alias("context_source"), F.coalesce("c_lat", "h_lat").alias("context_lat"), F.coalesce("c_lon", "h_lon").alias("context_lon"))
+    km = F.round(haversine(F.col("context_lat"), F.col("context_lon"), F.col("p_lat"), F.col("p_lon")), 6)
+    far = known.join(base, "search_location").withColumn("km", km)
+    spread = weighted_quantiles(far, "search_location", "km", "n", context_spread_p50=0.5, context_spread_p90=0.9)
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("search_location"))
+    dealt = moves.withColumn("p", share).groupBy("search_location").agg(
+        F.sum("n").alias("_n"),
+        F.sum(F.when(F.col("search_location") == F.col("item_location"), F.col("p")).otherwise(0.0)).alias("context_same_share"),
+        F.max("p").alias("context_peak_share"),
+        F.sum(-F.col("p") * F.log("p")).alias("context_entropy"),
+    )
+    n = F.coalesce("_n", F.lit(0))
+    return base.join(spread, "search_location", "left").join(dealt, "search_location", "left").select(
+        "search_location", "context_lat", "context_lon", "context_source", F.log1p(n.cast("double")).alias("context_support"), "context_spread_p50", "context_spread_p90",
+        (n / (n + support)).alias("context_confidence"), "context_same_share", "context_peak_share", "context_entropy", F.col("context_lat").isNotNull().cast("double").alias("context_available"),
+    )

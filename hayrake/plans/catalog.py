@@ -929,4 +929,4 @@ def flagship(s, d):
     return pool.stable_topk(fused, CONFIG.answer_size, "query_id", "item_id").select("query_id", "item_id", "score", "place")
 
 
-from . import hybrid, learning, ranking  # noqa: E402,F401  register their queries here
+from . import blocks, hybrid, learning, ranking  # noqa: E402,F401  register their queries here
