@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import haversine
-from ..operators import features, geography
-from .catalog import query, r6
+from ..operators import features, geography, pool, vectors
+from . import hybrid
+from .catalog import oracle_sql, query, r6
 from .fixtures import places
-from .hybrid import _LEX_POOL, _SEM, _WIDE, PLACES, Search, h_
+from .hybrid import _LEX_POOL, _NEAR, _SEM, _WIDE, PLACES, Search, _rank_sql, h_
 
 KEYS = ["query_id", "item_id"]
 CONTEXT = ["context_distance", "context_source", "context_support", "context_spread_p50", "context_spread_p90", "context_confidence", "context_same_share", "context_peak_share", "context_entropy", "context_available"]
@@ -116,3 +117,59 @@ FROM (SELECT p.query_id, p.item_id, (contains(lower(q_text), '{REMOTE}') OR cont
 def structural_features_10(s, d):
     """What texts state outright: kinds and types that agree, flags, and how frequent the item's place is."""
     return structural(Search(s, d))
+
+
+# ---------------------------------------------------------------- neighbours, whole
+
+
+def neighbour_block(x: Search) -> DataFrame:
+    """Nine columns of every candidate from the query's nearest known texts; what no neighbour says is null.
+
+    Beside the class columns: the cosine of the item and the neighbours' weighted centre, its rank, and the weight of the neighbours
+    that have the item's class (a reconstruction from the columns' names).
+    """
+    near, texts, held = hybrid.neighbours(x)
+    parts = near.join(held, "t_no").select("query_id", "w", F.posexplode("embedding").alias("pos", "v")).groupBy("query_id", "pos").agg(F.sum(F.col("w") * F.col("v").cast("double")).alias("v"))
+    centre = parts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda c: c["v"]).alias("centre"))
+    said = near.join(texts, "t_no").join(x.fit.select("query_norm", "micro").distinct(), "query_norm").groupBy("query_id", "micro").agg(F.sum("w").alias("coverage"))
+    pairs = x.hybrid_pool.select(*KEYS).join(x.items.select("item_id", "micro"), "item_id").join(centre, "query_id").join(x.vectors()[1], "item_id")
+    length = F.sqrt(vectors.dot(F.col("centre"), F.col("centre")))
+    pairs = pairs.withColumn("centre_cosine", F.round(vectors.dot(F.col("centre"), F.col("embedding")) / length, 9)).drop("centre", "embedding")
+    out = pairs.join(hybrid.neighbour_classes(x), ["query_id", "micro"], "left").join(said, ["query_id", "micro"], "left")
+    own = ["probability", "relative_probability", "entropy", "top_similarity", "margin", "effective_count"]
+    return out.select(*KEYS, *[F.col(c).alias(f"neighbour_{c}") for c in own], F.col("centre_cosine").alias("neighbour_centre_cosine"), r6(pool.log_rank("query_id", F.col("centre_cosine"))).alias("neighbour_log_centre_rank"), r6(F.coalesce("coverage", F.lit(0.0))).alias("neighbour_coverage"))
+
+
+_NEIGHBOUR9 = f""", n_parts AS (SELECT query_id, i, sum(w * v[i]) AS c FROM nw JOIN ntv USING (t_no), range(1, 4097) r(i) WHERE i <= len(v) GROUP BY ALL),
+n_centre AS (SELECT query_id, list(c ORDER BY i) AS centre FROM n_parts GROUP BY 1),
+n_said AS (SELECT query_id, micro, sum(w) AS coverage FROM nw JOIN nt USING (t_no) JOIN (SELECT DISTINCT query_norm, micro FROM h_fit) USING (query_norm) GROUP BY ALL),
+n_cos AS (SELECT p.query_id, p.item_id, i.micro, round(list_dot_product(centre, nv.v) / sqrt(list_dot_product(centre, centre)), 9) AS cosine
+  FROM h_pool p JOIN h_items i USING (item_id) JOIN n_centre USING (query_id) CROSS JOIN nn JOIN nv ON vec_id = p.item_id % n)
+SELECT query_id, item_id, probability AS neighbour_probability, relative_probability AS neighbour_relative_probability, entropy AS neighbour_entropy, top_similarity AS neighbour_top_similarity, margin AS neighbour_margin, effective_count AS neighbour_effective_count,
+  cosine AS neighbour_centre_cosine, {_rank_sql('cosine')} AS neighbour_log_centre_rank, round(coalesce(coverage, 0), 6) AS neighbour_coverage FROM n_cos LEFT JOIN nc USING (query_id, micro) LEFT JOIN n_said USING (query_id, micro)"""
+
+
+@query(h_(_WIDE + _LEX_POOL + _SEM + _NEAR + _NEIGHBOUR9))
+def neighbour_features_9(s, d):
+    return neighbour_block(Search(s, d))
+
+
+# ---------------------------------------------------------------- one frame
+
+#: The blocks of the whole frame, by the query that gives them.
+BLOCKS = ["feature_frame_45", "learned_vector_features", "context_geo_features_10", "neighbour_features_9", "quality_features_12", "field_vector_features_8", "second_encoder_features_4", "structural_features_10"]
+
+
+def whole_frame(x: Search) -> DataFrame:
+    """All 104 columns of every candidate.  Each block is made by itself and joined on the pair, so they share one partitioning."""
+    made = [hybrid.feature_frame_45, hybrid.learned_vector_features, context_geo_features_10, neighbour_features_9, hybrid.quality_features_12, hybrid.field_vector_features_8, hybrid.second_encoder_features_4, structural_features_10]
+    out = made[0](x.s, x.d)
+    for block in made[1:]:
+        out = out.join(block(x.s, x.d), KEYS)
+    return out
+
+
+@query("SELECT * FROM " + " JOIN ".join(f"({oracle_sql()[b]})" + (" USING (query_id, item_id)" if k else "") for k, b in enumerate(BLOCKS)))
+def feature_frame_104(s, d):
+    """Every feature block in one frame."""
+    return whole_frame(Search(s, d))

@@ -819,27 +819,40 @@ def second_encoder_features_4(s, d):
 _NEIGHBOURS, _TEMPERATURE = 24, 0.1
 
 
-@query(h_(f""", nv AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), nn AS (SELECT count(*) AS n FROM embeddings),
+_NEAR = f""", nv AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), nn AS (SELECT count(*) AS n FROM embeddings),
 nt AS (SELECT query_norm, ('0x' || substring(sha256(query_norm), 1, 8))::BIGINT AS t_no FROM (SELECT DISTINCT query_norm FROM h_fit)),
 ntv AS (SELECT t_no, v FROM nt CROSS JOIN nn JOIN nv ON vec_id = t_no % n), nqv AS (SELECT query_id, v AS qv FROM h_q CROSS JOIN nn JOIN nv ON vec_id = q_no % n),
 ns AS (SELECT query_id, t_no, round(list_dot_product(qv, v), 9) AS s FROM nqv, ntv), nr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, t_no) AS place FROM ns),
 nw AS (SELECT query_id, t_no, place, s, e / sum(e) OVER (PARTITION BY query_id) AS w FROM (SELECT *, exp((s - max(s) OVER (PARTITION BY query_id)) / {_TEMPERATURE}::DOUBLE) AS e FROM nr WHERE place <= {_NEIGHBOURS})),
 nd AS (SELECT query_norm, micro, n / sum(n) OVER (PARTITION BY query_norm)::DOUBLE AS p FROM (SELECT query_norm, micro, count(*) AS n FROM h_fit GROUP BY ALL)),
 nm AS (SELECT query_id, micro, sum(w * p) AS p FROM nw JOIN nt USING (t_no) JOIN nd USING (query_norm) GROUP BY ALL),
-nq AS (SELECT query_id, max(s) AS top_similarity, max(s) - max(CASE WHEN place = 2 THEN s END) AS margin, 1 / sum(w * w) AS effective_count FROM nw GROUP BY 1)
-SELECT query_id, micro, round(p, 6) AS probability, round(p / max(p) OVER q, 6) AS relative_probability, round(sum(-p * ln(greatest(p, 1e-12))) OVER q / ln(25), 6) AS entropy, top_similarity, round(margin, 9) AS margin, round(effective_count, 6) AS effective_count
-FROM nm JOIN nq USING (query_id) WINDOW q AS (PARTITION BY query_id)"""))
+nq AS (SELECT query_id, max(s) AS top_similarity, max(s) - max(CASE WHEN place = 2 THEN s END) AS margin, 1 / sum(w * w) AS effective_count FROM nw GROUP BY 1),
+nc AS (SELECT query_id, micro, round(p, 6) AS probability, round(p / max(p) OVER q, 6) AS relative_probability, round(sum(-p * ln(greatest(p, 1e-12))) OVER q / ln(25), 6) AS entropy, top_similarity, round(margin, 9) AS margin, round(effective_count, 6) AS effective_count
+FROM nm JOIN nq USING (query_id) WINDOW q AS (PARTITION BY query_id))"""
+
+
+@query(h_(_NEAR + " SELECT * FROM nc"))
 def neighbour_class_features(s, d):
     """Classes of the 24 nearest known texts by vector under softmax weights, their spread, and how near and how many the texts are."""
-    x = Search(s, d)
+    return neighbour_classes(Search(s, d))
+
+
+def neighbours(x: Search) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query_id, t_no, score, place, w) of the nearest known texts, the texts with their number, and their vectors."""
     t_no = F.conv(F.substring(F.sha2("query_norm", 256), 1, 8), 16, 10).cast("bigint")
     texts = x.fit.select("query_norm").distinct().withColumn("t_no", t_no)
-    e = read(s, d, "embeddings", "vec_id", "embedding")
+    e = read(x.s, x.d, "embeddings", "vec_id", "embedding")
     placed = texts.crossJoin(e.agg(F.count("*").alias("n_vec"))).withColumn("vec_id", F.pmod("t_no", F.col("n_vec"))).join(e, "vec_id")
     near = vectors.text_key_topk(placed.select("t_no", "embedding"), "t_no", x.vectors()[0], "query_id", "embedding", _NEIGHBOURS)
     q = Window.partitionBy("query_id")
     raw = F.exp((F.col("score") - F.max("score").over(q)) / _TEMPERATURE)
-    near = near.withColumn("raw", raw).withColumn("w", F.col("raw") / F.sum("raw").over(q))
+    near = near.withColumn("raw", raw).withColumn("w", F.col("raw") / F.sum("raw").over(q)).drop("raw")
+    return x.kept("neighbours", lambda: near), texts, placed.select("t_no", "embedding")
+
+
+def neighbour_classes(x: Search) -> DataFrame:
+    near, texts, _ = neighbours(x)
+    q = Window.partitionBy("query_id")
     dist = relational.shares(x.fit.groupBy("query_norm", "micro").agg(F.count("*").alias("n")), "query_norm").select("query_norm", "micro", "p")
     p = near.join(texts, "t_no").join(dist, "query_norm").groupBy("query_id", "micro").agg(F.sum(F.col("w") * F.col("p")).alias("p"))
     second = F.max(F.when(F.col("place") == 2, F.col("score")))
