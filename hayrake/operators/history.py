@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed
-from ..sources.tables import staged
-from .relational import first_by, purge, within, without
+from .relational import first_by, numbered, purge, within, without
 
 
 def choose(keys: DataFrame, key: str, n: int | None, seed: int) -> DataFrame:
@@ -23,14 +22,8 @@ def folds(keys: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     The place in the order is the number of earlier keys: sorted ranges are counted apart and added up, so no
     task sees all keys.
     """
-    ordered = keys.select(key).distinct().withColumn("h", hashed(seed, key)).repartitionByRange("h", key).sortWithinPartitions("h", key)
-    ordered = ordered.withColumn("mid", F.monotonically_increasing_id())
-    ordered = staged(ordered, "folds")
-    part, row = F.shiftright("mid", 33), F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    return ordered.withColumn("part", part).join(starts, "part").select(key, F.pmod(F.col("start") + row, F.lit(n)).cast("int").alias("fold"))
+    ordered = keys.select(key).distinct().withColumn("_h", hashed(seed, key))
+    return numbered(ordered, ["_h", key], "_no").select(key, F.pmod("_no", F.lit(n)).cast("int").alias("fold"))
 
 
 def halves(keys: DataFrame, key: str, seed: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 
 def within(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_semi")
@@ -35,6 +37,22 @@ def first_by(df: DataFrame, keys: list[str], by: list[Column], n: int = 1) -> Da
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
+def numbered(df: DataFrame, by: list[Column | str], name: str = "row_id", start: int = 0) -> DataFrame:
+    """The rows with ``name``, whole numbers without gaps from ``start`` on in the order of ``by``.
+
+    Rows are dealt into sorted ranges and counted there; a row's number is the count of the ranges before its own and its place in
+    it, so no task sees all rows.  The sorted table is stored, so that the places stay; equal rows get some order.
+    """
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_mid", F.monotonically_increasing_id())
+    ordered = staged(ordered, "numbered")
+    part, row = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    number = (F.col("_start") + row + start).cast("bigint")
+    return ordered.withColumn("_part", part).join(starts, "_part").select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns], number.alias(name))
+
+
 def shares(counts: DataFrame, key: str, count: str = "n") -> DataFrame:
     """Counts as shares of their key's total, which is at least one."""
     total = F.sum(count).over(Window.partitionBy(key))

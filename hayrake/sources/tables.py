@@ -6,7 +6,7 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,11 +65,88 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def footer_profile(df: DataFrame) -> DataFrame:
-    """Rows, bytes and files of a file-based table, from the hidden metadata column."""
-    m = F.col("_metadata")
-    per_file = df.select(m["file_path"].alias("file"), m["file_size"].alias("size")).groupBy("file").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    return per_file.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
+#: Schemes whose ends alone can be read by executors; files elsewhere are read whole for their footers.
+DIRECT = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+
+
+def _parquet_files(spark: SparkSession, path: str) -> list[str]:
+    """All Parquet files below a path; only their names reach the driver."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, each = [], system.listFiles(target, True)
+    while each.hasNext():
+        name = each.next().getPath().toString()
+        if name.endswith(".parquet") and not name.rpartition("/")[2].startswith(("_", ".")):
+            found.append(name)
+    return sorted(found)
+
+
+FOOTER = "file string, row_group int, n_rows bigint, column string, compressed bigint, uncompressed bigint, n_values bigint, n_nulls bigint, codec string"
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """One row per column chunk of every row group of a Parquet table, from the files' footers alone.
+
+    Executors read the footers, each task those of its share of the files; no row of the table is read.
+    """
+    files = _parquet_files(spark, path)
+
+    def rows_of(name: str, source) -> list[tuple]:
+        import pyarrow.parquet as pq
+
+        meta, out = pq.read_metadata(source), []
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            for c in range(group.num_columns):
+                chunk = group.column(c)
+                nulls = chunk.statistics.null_count if chunk.is_stats_set and chunk.statistics.has_null_count else None
+                out.append((name, g, group.num_rows, chunk.path_in_schema, chunk.total_compressed_size, chunk.total_uncompressed_size, chunk.num_values, nulls, chunk.compression))
+        return out
+
+    def by_name(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                scheme, _, rest = name.partition(":")
+                system, at = fs.FileSystem.from_uri(f"file://{'/' + rest.lstrip('/')}" if scheme == "file" else name)
+                with system.open_input_file(at) as source:
+                    yield _batch(pa, rows_of(name, source))
+
+    def by_content(batches):
+        import io
+
+        import pyarrow as pa
+
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield _batch(pa, rows_of(name, io.BytesIO(content)))
+
+    if all(name.partition(":")[0] in DIRECT for name in files):
+        names = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism * 4)))
+        return names.mapInArrow(by_name, FOOTER)
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(by_content, FOOTER)
+
+
+def _batch(pa, rows: list[tuple]):
+    names = [c.split()[0] for c in FOOTER.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def footer_profile(found: DataFrame) -> DataFrame:
+    """Rows, row groups, files and bytes of a table, from its ``footers``."""
+    groups = found.groupBy("file", "row_group").agg(F.max("n_rows").alias("n"), F.sum("compressed").alias("c"), F.sum("uncompressed").alias("u"))
+    return groups.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.count_distinct("file").alias("n_files"), F.sum("c").alias("compressed"), F.sum("u").alias("uncompressed"))
+
+
+def column_profile(found: DataFrame, most: int = 6) -> DataFrame:
+    """(column, values, nulls, compressed, uncompressed, place) of the largest columns of a table, from its ``footers``."""
+    per = found.groupBy("column").agg(F.sum("n_values").alias("n_values"), F.sum("n_nulls").alias("n_nulls"), F.sum("compressed").alias("compressed"), F.sum("uncompressed").alias("uncompressed"))
+    place = F.row_number().over(Window.orderBy(F.desc("uncompressed"), "column"))
+    return per.withColumn("place", place).where(F.col("place") <= most)
 
 
 def fingerprint(**inputs) -> str:
