@@ -13,6 +13,7 @@ parse where the member's CRC holds, else those with a SHA-256 block digest that
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -38,9 +39,13 @@ END = gzip.compress(b"\r\n\r\n", mtime=0)
 BUNDLE, FILE_BUNDLES = 1 << 20, 64
 _PIECE = 1 << 14
 
-_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
-_VERSION = re.compile(rb"WARC/1\.")
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)+)\r\n")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d")
+_VERSION = re.compile(rb"WARC/\d+\.\d")
+#: A version line, then fields; a line that starts with white space goes on with the field before it.
+_HEAD = re.compile(rb"WARC/\d+\.\d+\r\n((?:[!-9;-~]+:[^\r\n]*\r\n(?:[ \t][^\r\n]*\r\n)*)+)\r\n")
+_FOLD = re.compile(rb"\r\n[ \t]+")
+#: The mark of a record that no check of its bytes covers.
+UNVERIFIED = "unverified"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _RECORD = (
     "file string, kind string, first bigint, past bigint, reason string, page_id bigint, url string, "
@@ -130,13 +135,23 @@ class Bad(ValueError):
     """A check that failed."""
 
 
+def fits(want: str, data: bytes) -> bool | None:
+    """Whether data has the digest ``algorithm:value``, the value in hex or base 32; None where there is none or it is of another kind."""
+    name, _, value = want.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5") or not value.strip():
+        return None
+    digest, value = hashlib.new(name, data).digest(), value.strip()
+    return value.lower() == digest.hex() or value.rstrip("=").upper() == base64.b32encode(digest).decode().rstrip("=")
+
+
 def parse(data: bytes, at: int, closed: bool) -> tuple[dict, bytes, int]:
     """The record that starts at ``at``: fields, block, and where it ends.  closed: blank lines must follow."""
     m = _HEAD.match(data, at)
     if not m:
         raise Bad("header")
     fields: dict[str, str] = {}
-    for line in m[1].split(b"\r\n")[:-1]:
+    for line in _FOLD.sub(b" ", m[1]).split(b"\r\n")[:-1]:
         k, _, v = line.partition(b":")
         fields[k.decode("ascii").lower()] = v.strip().decode("utf-8", "replace")
     if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
@@ -145,13 +160,10 @@ def parse(data: bytes, at: int, closed: bool) -> tuple[dict, bytes, int]:
     block = data[m.end() : end]
     if end > len(data):
         raise Bad("length")
-    want = fields.get("warc-block-digest", "")
-    if want.startswith("sha256:") and hashlib.sha256(block).hexdigest() != want[7:].lower():
+    if fits(fields.get("warc-block-digest", ""), block) is False:
         raise Bad("digest")
-    want = fields.get("warc-payload-digest", "")
-    if fields["warc-type"] == "response" and want.startswith("sha256:"):
-        if hashlib.sha256(block.partition(b"\r\n\r\n")[2]).hexdigest() != want[7:].lower():
-            raise Bad("payload")
+    if fields["warc-type"] == "response" and fits(fields.get("warc-payload-digest", ""), block.partition(b"\r\n\r\n")[2]) is False:
+        raise Bad("payload")
     if data.startswith(b"\r\n\r\n", end):
         end += 4
     elif closed:
@@ -208,6 +220,26 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int | None]:
     return b"".join(parts), at - len(unzip.unused_data) if unzip.eof else None
 
 
+def _without_trailer(data: bytes, at: int) -> int | None:
+    """Where the data of the gzip member at ``at`` end, if they are whole and less than a trailer follows them."""
+    flags, k = data[at + 3] if at + 3 < len(data) else 0, at + 10
+    if flags & 4:
+        k += 2 + int.from_bytes(data[k : k + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            k = data.find(b"\0", k) + 1 or len(data)
+    k += 2 if flags & 2 else 0
+    unzip = zlib.decompressobj(-15)
+    try:
+        while not unzip.eof and k < len(data):
+            unzip.decompress(data[k : k + _PIECE])
+            k = min(k + _PIECE, len(data))
+    except zlib.error:
+        return None
+    end = k - len(unzip.unused_data)
+    return end if unzip.eof and (len(data) - end < 8 or _START.search(data, end, end + 11)) else None
+
+
 def _consumed(data: bytes, at: int, size: int) -> int:
     """Where the compressed bytes of the first ``size`` bytes of a member's content end, but for the last byte: no check behind it is run."""
     unzip, size = zlib.decompressobj(31), size - 1
@@ -220,8 +252,12 @@ def _consumed(data: bytes, at: int, size: int) -> int:
     return at
 
 
-def _kept(content: bytes, sure: bool) -> tuple[list[tuple[dict, bytes]], int, str]:
-    """Records of a member's content that hold, where the last one ends, and the reason of the first that does not (not sure: before that end)."""
+def _kept(content: bytes, sure: bool, torn: bool) -> tuple[list[tuple[dict, bytes, str]], int, str]:
+    """Records of a member's content that hold, where the last one ends, and the reason of the first that does not (not sure: before that end).
+
+    Without the member's CRC a record holds by its own digest; where only the trailer is missing (torn), also by its length and the
+    blank lines behind it, with the mark UNVERIFIED.
+    """
     found, past, reason, inside, k, lost = [], 0, "", "", 0, False
     while k < len(content):
         if content.startswith(b"\r\n", k):
@@ -229,21 +265,28 @@ def _kept(content: bytes, sure: bool) -> tuple[list[tuple[dict, bytes]], int, st
             continue
         try:
             fields, block, end = parse(content, k, closed=False)
-            if not sure and not fields.get("warc-block-digest", "").startswith("sha256:"):
+            closed = content[end - 4 : end] == b"\r\n\r\n"
+            mark = "" if sure or _checked(fields, block) else UNVERIFIED
+            if mark and not (torn and closed):
                 raise Bad("member")
-            if lost and end < len(content) and content[end - 4 : end] != b"\r\n\r\n":
+            if lost and end < len(content) and not closed:
                 raise Bad("end")
         except Bad as e:
             reason, lost = reason or str(e), True
             m = _VERSION.search(content, k + 1)
             k = m.start() if m else len(content)
             continue
-        found.append((fields, block))
+        found.append((fields, block, mark))
         past = k = end
         lost, inside = False, reason
     return found, past, reason if sure else inside
 
 
+def _checked(fields: dict, block: bytes) -> bool:
+    """Whether a digest covers the whole block."""
+    return bool(fits(fields.get("warc-block-digest", ""), block))
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict, bytes]]:
     """(kind, first, past, reason, fields, block) of all records and gaps of an archive, in order."""
     at, gap, reason = 0, None, ""
@@ -256,14 +299,16 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict, bytes]]:
                 raise Bad("start")
             found, end = _unit(data, at)
         except Bad as e:
-            inner, sure = _inflated(data, at) if data.startswith(b"\x1f\x8b\x08", at) else (b"", None)
-            found, past, why = _kept(inner, sure is not None)
+            packed = data.startswith(b"\x1f\x8b\x08", at)
+            inner, sure = _inflated(data, at) if packed else (b"", None)
+            whole = _without_trailer(data, at) if packed and sure is None else None
+            found, past, why = _kept(inner, sure is not None, whole is not None)
             if found:
                 if gap is not None:
                     yield "gap", gap, at, reason, {}, b""
-                end = sure or _consumed(data, at, past)
-                for fields, block in found:
-                    yield "record", at, end, "", fields, block
+                end = sure or whole or _consumed(data, at, past)
+                for fields, block, mark in found:
+                    yield "record", at, end, mark, fields, block
                 if why:
                     yield "gap", at, end, why, {}, b""
                 at, gap, reason = end, None if sure else end, str(e)
@@ -280,7 +325,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict, bytes]]:
         for fields, block in found:
             yield "record", at, end, "", fields, block
         at = end
-    if gap is not None:
+    if gap is not None and gap < len(data):
         yield "gap", gap, len(data), reason, {}, b""
 
 
@@ -293,7 +338,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     """Records and gaps of all archives under ``path``; kind tells them apart.
 
     ``payload_digest`` and ``payload_bytes`` of a response are computed from what was read; a response whose payload does
-    not fit its header is a gap with reason ``payload``.  A revisit carries both in its header.  Files are read
+    not fit its header is a gap with reason ``payload``.  SHA-1, SHA-256, SHA-512 and MD5 digests in hex or base 32 are checked; records
+    of a member that lost its trailer and that have no digest of their own come with reason ``unverified``.  A revisit carries both in its header.  Files are read
     one at a time, whatever their names, those of folders below too, but not hidden ones (``.`` or ``_`` first); a folder
     without files gives no rows.
     """
@@ -309,12 +355,12 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
             if kind == "gap":
                 yield [file, kind, first, past, reason, *[None] * (len(names) - 5)]
                 continue
-            digest, size, body = head.get("warc-payload-digest", "")[7:], head.get("warc-payload-length"), None
+            digest, size, body = head.get("warc-payload-digest", "").partition(":")[2], head.get("warc-payload-length"), None
             if head["warc-type"] == "response":
                 body = block.partition(b"\r\n\r\n")[2]
                 digest, size = hashlib.sha256(body).hexdigest(), len(body)
             page, other = _page(head.get("warc-record-id", "")), _page(head.get("warc-refers-to", ""))
-            row = [file, kind, first, past, None, page, head.get("warc-target-uri"), head["warc-type"], int(size or 0), digest, other]
+            row = [file, kind, first, past, reason or None, page, head.get("warc-target-uri"), head["warc-type"], int(size or 0), digest, other]
             yield row + [body] * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import random
@@ -102,3 +103,70 @@ def test_files_of_any_name_are_read(spark, tmp_path):
     for k, name in enumerate(["a.warc.gz", "b.warc", "c.txt", "below/d.warc.gz"]):
         (tmp_path / name).write_bytes(_rec(k) + b"\r\n\r\n" if name == "b.warc" else gzip.compress(_rec(k), mtime=0) + warc.END)
     assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
+
+
+def _plain(k, body, version="WARC/1.0", digest="", more=""):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    head = f"{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <{warc.ID}{k}>\r\n{more}{digest}Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def _sha1(k, body, bad=False):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    value = base64.b32encode(hashlib.sha1(block + b"!" * bad).digest()).decode()
+    return _plain(k, body, digest=f"WARC-Block-Digest: sha1:{value}\r\n")
+
+
+def test_other_versions_and_folded_fields():
+    folded = _plain(2, b"b", more="WARC-Target-URI: http://a/\r\n  long/\r\n\tpath\r\n")
+    data = _plain(0, b"a", "WARC/0.18") + _plain(1, b"a", "WARC/1.1") + folded + _plain(3, b"c", "WARC/2.0")
+    for archive in (data, gzip.compress(data), b"".join(gzip.compress(x) for x in (data[:0] + _plain(0, b"a", "WARC/0.18"), _plain(1, b"a"), folded, _plain(3, b"c")))):
+        assert _ids(archive) == [0, 1, 2, 3] and not _gaps(archive)
+    (found,) = [f for *_, f, _ in warc.salvage(folded)]
+    assert found["warc-target-uri"] == "http://a/ long/ path"
+
+
+def test_digests_of_other_kinds():
+    good, bad = _sha1(1, b"x" * 40), _sha1(2, b"y" * 40, bad=True)
+    assert _ids(good + bad + _sha1(3, b"z")) == [1, 3]
+    assert [r for *_, r, f, _ in warc.salvage(bad)] == ["digest"]
+    data = b"payload"
+    for name in ("sha1", "sha256", "md5", "sha512"):
+        d = hashlib.new(name, data).digest()
+        for value in (d.hex(), d.hex().upper(), base64.b32encode(d).decode(), base64.b32encode(d).decode().rstrip("=")):
+            assert warc.fits(f"{name}:{value}", data) is True and warc.fits(f"{name}:{value}", b"other") is False
+    assert warc.fits("", data) is None and warc.fits("crc32:ab", data) is None
+    # inside a torn member a record holds by its own digest
+    member = gzip.compress(b"".join(_sha1(k, bytes(random.Random(k).choices(range(256), k=300))) for k in range(50)))
+    cut = member[: len(member) * 4 // 5]
+    found = _ids(cut)
+    assert found == list(range(len(found))) and len(found) >= 35
+    flipped = bytearray(member)
+    flipped[-8] ^= 1
+    assert _ids(bytes(flipped)) == list(range(50))
+
+
+def test_members_without_a_trailer():
+    plain = b"".join(_plain(k, f"page {k} ".encode() * 20) for k in range(200))
+    member, after = gzip.compress(plain), gzip.compress(_rec(9), mtime=0) + warc.END
+    for lost in (1, 6, 8):
+        for rest, more in ((b"", []), (after, [9])):
+            data = member[:-lost] + rest
+            assert _ids(data) == [*range(200), *more]
+            marks = [r for kind, _, _, r, _, _ in warc.salvage(data) if kind == "record"]
+            assert marks == [warc.UNVERIFIED] * 200 + [""] * len(more)
+    # a wrong CRC says that the data are wrong: nothing without a digest is kept
+    bad = bytearray(member)
+    bad[-7] ^= 1
+    assert _ids(bytes(bad)) == [] and len(_gaps(bytes(bad) + after)) == 1
+    named = member[:3] + b"\x08" + member[4:10] + b"name\0" + member[10:-5]
+    assert _ids(named) == list(range(200))
+
+
+def test_pages_above_one_bundle(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    pages = [(k, "u", "".join(rng.choices("abcdefghij <>/", k=300_000))) for k in range(12)] + [(12, "u", "x" * 2_500_000)]
+    d = spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)
+    path = warc.write_archives(d, str(tmp_path / "w"))
+    got = warc.read_archives(spark, path).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == [(k, len(h), hashlib.sha256(h.encode()).hexdigest()) for k, _, h in pages]
