@@ -55,7 +55,3 @@ def ranking_key(score: Column) -> Column:
     """NaN and null below everything; Spark would put NaN first."""
     low = F.lit(float("-inf"))
     return F.coalesce(F.nanvl(score.cast("double"), low), low)
-
-
-def evidence_weight(count: Column, total: Column) -> Column:
-    return count / total * F.least(F.sqrt(total), F.lit(16.0))

@@ -93,8 +93,3 @@ def hashed(seed: int, key: Column | str) -> Column:
     """A seeded order of keys that any engine with SHA-256 can repeat."""
     key = F.col(key) if isinstance(key, str) else key
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
-
-
-def hashed_features(terms: Column, buckets: int) -> Column:
-    """Bucket of each term of an array; counts per bucket follow by grouping."""
-    return F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)))

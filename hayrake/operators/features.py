@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import affinity, log1p_floor
+from ..functions.numeric import log1p_floor
 from .pool import log_rank
 from .relational import entropy_and_peak, shares
 
@@ -28,11 +28,6 @@ def item_block(items: DataFrame, key: str, price: str, texts: dict[str, str]) ->
     return items.select(key, log1p_floor(F.col(price).try_cast("double")).alias("log_price"), *logs)
 
 
-def vector_block(pairs: DataFrame, q_key: str, cosine: str, geo: str, name: str = "e5") -> DataFrame:
-    out = pairs.withColumn(f"{name}_geo", affinity(F.col(cosine), F.col(geo)))
-    return rank_block(out, q_key, {name: cosine, f"{name}_geo": f"{name}_geo"})
-
-
 def delta_block(pairs: DataFrame, new: str, old: str, name: str) -> DataFrame:
     return pairs.withColumn(f"{name}_delta", F.col(new) - F.col(old))
 
@@ -97,6 +92,19 @@ def attribute_match(pairs: DataFrame, q_key: str, key: str, wanted: DataFrame, h
     return out.withColumn(column, value).drop("_q", "_i", "_hit")
 
 
+def class_candidate_block(p: DataFrame, q_key: str, label: str, supported: DataFrame, floor: float = 1e-8) -> DataFrame:
+    """Seven columns per text and class from probabilities (q_key, label, p): p, its log, the log of its rank, and the peak, margin
+    and entropy of the text's distribution, with a mark for classes that ``supported`` has; what is not supported is null.
+    """
+    marked = p.join(supported.select(label).distinct().withColumn("_ok", F.lit(1)), label, "left")
+    q = F.col("p")
+    per = p.groupBy(q_key).agg(F.max("p").alias("peak"), F.get(F.sort_array(F.collect_list("p"), False), 1).alias("second"), F.sum(-q * F.log(F.greatest(q, F.lit(1e-12)))).alias("entropy"))
+    out = marked.withColumn("log_rank", log_rank(q_key, F.round("p", 9))).join(per, q_key)
+    only = lambda c: F.when(F.col("_ok") == 1, c)
+    columns = {"probability": q, "log_probability": F.log(F.greatest(q, F.lit(floor))), "log_rank": F.col("log_rank"), "peak": F.col("peak"), "margin": F.col("peak") - F.coalesce("second", F.lit(0.0)), "entropy": F.col("entropy")}
+    return out.select(q_key, label, *[only(c).alias(n) for n, c in columns.items()], F.coalesce("_ok", F.lit(0)).cast("double").alias("supported"))
+
+
 def structural_block(pairs: DataFrame, q_key: str, key: str, wanted: DataFrame, had: DataFrame, kinds: dict[str, str], words: dict[str, str], km: str) -> DataFrame:
     """Ten columns from what texts state outright (a reconstruction): nothing here drops a candidate.
 

@@ -50,6 +50,27 @@ def smoothed(history: DataFrame, cls: str, same: str, prior: float) -> DataFrame
     return by.crossJoin(whole).select(cls, "n", ((F.col("k") + prior * F.col("g")) / (F.col("n") + prior)).alias("share"))
 
 
+def service_geography(history: DataFrame, cls: str, source: str, target: str, prior: float, least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Five measures per class, drawn to the rates of all classes by ``prior`` pseudo-counts (a reconstruction; the weight is a parameter).
+
+    (class, source, target, transition): how likely a choice from the source lies at the target.  (class, source, same, support,
+    local_support, supported): the share of choices at the place itself, logs of the class's choices in all and from the source, and
+    whether those from the source are at least ``least``.
+    """
+    moves = history.groupBy(cls, source, target).agg(F.count("*").alias("n"))
+    whole = moves.groupBy(source, target).agg(F.sum("n").alias("g_n")).withColumn("g", F.col("g_n") / F.sum("g_n").over(Window.partitionBy(source))).select(source, target, "g")
+    here = moves.groupBy(cls, source).agg(F.sum("n").alias("here"), F.sum(F.when(F.col(source) == F.col(target), F.col("n")).otherwise(0)).alias("same_n"))
+    share = moves.agg((F.sum(F.when(F.col(source) == F.col(target), F.col("n")).otherwise(0)) / F.sum("n")).alias("g_same"))
+    total = here.groupBy(cls).agg(F.sum("here").alias("all"))
+    # every target that the source has at all, so that a class without a choice there has the shrunk global rate
+    grid = here.join(whole, source).join(moves, [cls, source, target], "left")
+    transition = (F.coalesce("n", F.lit(0)) + prior * F.col("g")) / (F.col("here") + prior)
+    log = lambda c: F.log1p(F.col(c).cast("double"))
+    per = here.join(total, cls).crossJoin(share)
+    same = (F.col("same_n") + prior * F.col("g_same")) / (F.col("here") + prior)
+    return grid.select(cls, source, target, transition.alias("transition")), per.select(cls, source, same.alias("same"), log("all").alias("support"), log("here").alias("local_support"), (F.col("here") >= least).cast("double").alias("supported"))
+
+
 def context_centres(history: DataFrame, location: str, lat: str, lon: str) -> DataFrame:
     """Centre from interactions with support and the spread around it (a reconstruction)."""
     middle = centres(history, location, lat, lon)

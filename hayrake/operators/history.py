@@ -40,8 +40,12 @@ def labels(queries: DataFrame, gold_sets: DataFrame, context: str, kind: str = "
     return joined.withColumn("items", F.coalesce("items", F.array().cast(kind)))
 
 
-def select_contexts(pairs: DataFrame, text: str, context: str, n: int | None, seed: int) -> DataFrame:
-    """One context for each of n texts, or of all where n is None, both in seeded order."""
+def select_contexts(pairs: DataFrame, text: str, context: str, n: int | None, seed: int, corpus: DataFrame | None = None, item: str | None = None) -> DataFrame:
+    """One context for each of n texts, or of all where n is None, both in seeded order.
+
+    With ``corpus`` only rows whose ``item`` it has count, so that a text has a positive that can be found.
+    """
+    pairs = pairs if corpus is None else within(pairs, corpus, item)
     texts = choose(pairs, text, n, seed)
     return first_by(within(pairs, texts, text).select(text, context).distinct(), [text], [hashed(seed, context), F.col(context)])
 

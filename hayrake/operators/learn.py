@@ -25,11 +25,6 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
 
 
-def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
-    gains = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(features, map(float, gains), strict=True), key=lambda f: -f[1])
-
-
 def soft_targets(pairs: DataFrame, key: str, label: str) -> DataFrame:
     """(key, label, n, share, weight): labels of a text with their shares and evidence weights."""
     n = pairs.groupBy(key, label).agg(F.count("*").alias("n"))

@@ -76,5 +76,5 @@ def relative_scores(scores: DataFrame, q_key: str, key: str, at: int = 50, refer
     )
     s = F.col("score")
     return ranked.join(per, q_key).select(
-        q_key, key, (F.col("top") - s).alias("gap_first"), (s - F.col("nth")).alias("gap_nth"), F.when(F.col("dev") > 0, (s - F.col("mean")) / F.col("dev")).alias("standard"), "place"
+        q_key, key, (F.col("top") - s).alias("gap_first"), (s - F.col("nth")).alias("gap_nth"), F.when(F.col("dev") > 1e-9, (s - F.col("mean")) / F.col("dev")).alias("standard"), "place"
     )

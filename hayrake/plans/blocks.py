@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import haversine
-from ..operators import features, geography, pool, vectors
+from ..operators import features, geography, pool, relational, vectors
 from . import hybrid
 from .catalog import oracle_sql, query, r6
 from .fixtures import places
@@ -154,6 +154,46 @@ def neighbour_features_9(s, d):
     return neighbour_block(Search(s, d))
 
 
+# ---------------------------------------------------------------- classes and places
+
+#: A stand-in: the reference does not publish how strongly it shrinks.
+PRIOR, LEAST = 20.0, 20
+_SERVICE = f""", v_moves AS (SELECT micro, search_location, item_location, count(*) AS n FROM h_fit GROUP BY ALL),
+v_g AS (SELECT search_location, item_location, g_n / sum(g_n) OVER (PARTITION BY search_location)::DOUBLE AS g FROM (SELECT search_location, item_location, sum(n) AS g_n FROM v_moves GROUP BY ALL)),
+v_here AS (SELECT micro, search_location, sum(n) AS here, sum(n) FILTER (search_location = item_location) AS same_n FROM v_moves GROUP BY ALL),
+v_same AS (SELECT avg((search_location = item_location)::INT) AS g_same FROM h_fit)"""
+
+
+@query(h_(_SERVICE + f""" SELECT micro, search_location, item_location, round((coalesce(n, 0) + {PRIOR}::DOUBLE * g) / (here + {PRIOR}::DOUBLE), 6) AS transition
+FROM v_here JOIN v_g USING (search_location) LEFT JOIN v_moves USING (micro, search_location, item_location)"""))
+def service_transitions(s, d):
+    """Transition rates per class, drawn to those of all classes."""
+    out, _ = geography.service_geography(Search(s, d).fit, "micro", "search_location", "item_location", PRIOR, LEAST)
+    return out.withColumn("transition", r6("transition"))
+
+
+@query(h_(_SERVICE + f""" SELECT micro, search_location, round((coalesce(same_n, 0) + {PRIOR}::DOUBLE * g_same) / (here + {PRIOR}::DOUBLE), 6) AS same, round(ln(1 + sum(here) OVER (PARTITION BY micro)), 6) AS support, round(ln(1 + here), 6) AS local_support,
+(here >= {LEAST})::INT::DOUBLE AS supported FROM v_here, v_same"""))
+def service_geography_pilot(s, d):
+    """Share of choices at the place itself per class, drawn to that of all, and what supports it."""
+    _, out = geography.service_geography(Search(s, d).fit, "micro", "search_location", "item_location", PRIOR, LEAST)
+    return out.select("micro", "search_location", *[r6(c).alias(c) for c in ("same", "support", "local_support")], "supported")
+
+
+@query(h_(""", w_dist AS (SELECT query_norm, micro, n / sum(n) OVER (PARTITION BY query_norm)::DOUBLE AS p FROM (SELECT query_norm, micro, count(*) AS n FROM h_fit GROUP BY ALL)),
+w_per AS (SELECT query_norm, max(p) AS peak, list_sort(list(p), 'DESC')[2] AS second, sum(-p * ln(greatest(p, 1e-12))) AS entropy FROM w_dist GROUP BY 1),
+w_r AS (SELECT *, rank() OVER (PARTITION BY query_norm ORDER BY round(p, 9) DESC) AS place FROM w_dist), w_ok AS (SELECT DISTINCT micro FROM h_items WHERE price > 1500)
+SELECT query_norm, micro, round(CASE WHEN ok THEN p END, 6) AS probability, round(CASE WHEN ok THEN ln(greatest(p, 1e-8)) END, 6) AS log_probability, round(CASE WHEN ok THEN ln(1 + place) END, 6) AS log_rank,
+round(CASE WHEN ok THEN peak END, 6) AS peak, round(CASE WHEN ok THEN peak - coalesce(second, 0) END, 6) AS margin, round(CASE WHEN ok THEN entropy END, 6) AS entropy, ok::INT::DOUBLE AS supported
+FROM (SELECT *, micro IN (FROM w_ok) AS ok FROM w_r) JOIN w_per USING (query_norm)"""))
+def class_candidate_features_7(s, d):
+    """Seven columns of every known text and class; classes without a dear item are not supported."""
+    x = Search(s, d)
+    p = relational.shares(x.fit.groupBy("query_norm", "micro").agg(F.count("*").alias("n")), "query_norm").select("query_norm", "micro", "p")
+    out = features.class_candidate_block(p, "query_norm", "micro", x.items.where("price > 1500"))
+    return out.select("query_norm", "micro", *[r6(c).alias(c) for c in out.columns[2:-1]], "supported")
+
+
 # ---------------------------------------------------------------- one frame
 
 #: The blocks of the whole frame, by the query that gives them.

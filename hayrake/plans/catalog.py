@@ -581,11 +581,11 @@ def text_and_item_features(s, d):
 
 
 @query(c_("," + bm25_sql("body", "body_terms") + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM body),
-p AS (SELECT query_id, max(score) AS top, max(CASE WHEN place = 50 THEN score END) AS nth FROM r GROUP BY 1)
-SELECT query_id, item_id, round(top - score, 9) AS gap_first, round(score - nth, 9) AS gap_nth, place::INT AS place FROM r JOIN p USING (query_id)"""))
+p AS (SELECT query_id, max(score) AS top, max(CASE WHEN place = 50 THEN score END) AS nth, avg(score) FILTER (place <= 512) AS mean, stddev_pop(score) FILTER (place <= 512) AS dev FROM r GROUP BY 1)
+SELECT query_id, item_id, round(top - score, 9) AS gap_first, round(score - nth, 9) AS gap_nth, CASE WHEN dev > 1e-9 THEN round((score - mean) / dev, 5) END AS standard, place::INT AS place FROM r JOIN p USING (query_id)"""))
 def score_relative_features(s, d):
     out = pool.relative_scores(_body(s, d), "query_id", "item_id")
-    return out.select("query_id", "item_id", F.round("gap_first", 9).alias("gap_first"), F.round("gap_nth", 9).alias("gap_nth"), "place")
+    return out.select("query_id", "item_id", F.round("gap_first", 9).alias("gap_first"), F.round("gap_nth", 9).alias("gap_nth"), F.round("standard", 5).alias("standard"), "place")
 
 
 @query(i_(f""", {_DIST} SELECT query_norm, round(ln(1 + sum(n)), 6) AS log_pairs, round(sum(-p * ln(greatest(p, 1e-12))) / ln(25), 6) AS entropy, round(max(p), 6) AS peak FROM dist GROUP BY 1"""))

@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..operators import boost, evaluation, fusion, history, pool
-from ..sources.tables import staged
+from ..sources.tables import fingerprint, staged
+from . import blocks
 from .catalog import SEED, query, r6
 from .hybrid import _FRAME, _FRAME_COLUMNS, _LEX_POOL, _SEM, _V5, _WIDE, _Y, Search, h_, lexical_frame, marked_pool
 
 FOLDS = 3
 #: Trees of a query's ranker: enough to order by, few enough to be read in minutes; the settings of a full model are the defaults.
-BRIEF = {"trees": 20, "leaves": 15, "rate": 0.15, "seed": SEED}
+BRIEF = {"trees": 12, "leaves": 15, "rate": 0.2, "seed": SEED}
 KEYS = ["query_id", "item_id"]
 
 
 def frame(x: Search) -> DataFrame:
-    """The 45 columns of every candidate, with its label, the fold of its query and the scores that choose negatives."""
+    """The 104 columns of every candidate, with its label, the fold of its query and the scores that choose negatives."""
 
     def make() -> DataFrame:
         marks = marked_pool(x).select(*KEYS, "y", "baseline", "cosine", "near")
-        return lexical_frame(x).join(marks, KEYS).join(history.folds(x.q, "query_id", FOLDS, SEED), "query_id")
+        return blocks.whole_frame(x).join(marks, KEYS).join(history.folds(x.q, "query_id", FOLDS, SEED), "query_id")
 
     return x.kept("rank-frame", make)
 
@@ -37,12 +38,23 @@ def sample(x: Search) -> DataFrame:
     return history.query_weights(chosen, "query_id")
 
 
-def ranked(x: Search, **settings) -> tuple[boost.Model, DataFrame]:
-    """A ranker trained on the sample, and (query_id, item_id, y, score) of the whole pool, every query by the model that never saw it."""
-    rows, p = frame(x), boost.Settings(**BRIEF | settings)
-    model, table = boost.train(x.kept("rank-sample", lambda: sample(x)), "query_id", "item_id", features(rows), "y", "fold", FOLDS, p, "weight")
-    boost.released(table)
-    return model, boost.score(model, rows, [*KEYS, "y"], "fold")
+def ranked(x: Search, **settings) -> tuple[DataFrame, DataFrame]:
+    """(query_id, item_id, y, score) of the whole pool, every query by the model that never saw it, and the trees as a table.
+
+    A ranker with the same settings is trained once a session for the tables as they stand.
+    """
+    rows, p, made = frame(x), boost.Settings(**BRIEF | settings), []
+
+    def model() -> boost.Model:
+        if not made:
+            trained, table = boost.train(x.kept("rank-sample", lambda: sample(x)), "query_id", "item_id", features(rows), "y", "fold", FOLDS, p, "weight")
+            boost.released(table)
+            made.append(trained)
+        return made[0]
+
+    name = fingerprint(**vars(p))
+    scores = x.kept(f"ranked-{name}", lambda: boost.score(model(), rows, [*KEYS, "y"], "fold"))
+    return scores, x.kept(f"ranker-{name}", lambda: boost.model_table(x.s, model()))
 
 
 MINED, TAIL = {"score": 400}, 96
@@ -79,7 +91,7 @@ def mined_by_text(s, d):
 
 
 def _top(x: Search, **settings) -> DataFrame:
-    scored = ranked(x, **settings)[1].withColumn("score", F.round("score", 9))
+    scored = ranked(x, **settings)[0].withColumn("score", F.round("score", 9))
     return pool.stable_topk(scored, CONFIG.answer_size, "query_id", "item_id").select(*KEYS, "score", "place")
 
 
@@ -110,8 +122,7 @@ def xendcg_scores(s, d):
 @query()
 def ranker_gains(s, d):
     """Features by what their splits gained, over all folds' trees."""
-    model, _ = ranked(Search(s, d))
-    return boost.gain_shares(boost.model_table(s, model)).select("feature", "splits", r6("gain").alias("gain"))
+    return boost.gain_shares(ranked(Search(s, d))[1]).select("feature", "splits", r6("gain").alias("gain"))
 
 
 @query()
@@ -121,7 +132,7 @@ def ranked_answers(s, d):
 
 
 def answer_rows(x: Search) -> DataFrame:
-    scored = ranked(x)[1].join(frame(x).select(*KEYS, "baseline"), KEYS)
+    scored = ranked(x)[0].join(frame(x).select(*KEYS, "baseline"), KEYS)
     fused = fusion.fuse(scored, "query_id", {"score": 0.7, "baseline": 0.3}, "fused").withColumn("fused", F.round("fused", 12))
     return pool.stable_topk(fused.select(*KEYS, F.col("fused").alias("score")), CONFIG.answer_size, "query_id", "item_id")
 

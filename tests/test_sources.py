@@ -80,3 +80,16 @@ def test_attributes(spark):
     assert {k for k, v in match.items() if v == 1} == {(1, 1), (1, 4), (4, 1), (4, 4)} and match[1, 2] is None and len(match) == 16
     kinds = {(r.k, r.i): r.m for r in features.attribute_match(pairs, "k", "i", features.attributes(texts, "k", "t").where("value <> 'b'"), had.where("value <> 'a'"), "тип", "m").collect()}
     assert kinds[1, 1] == 0.0
+
+
+def test_class_candidates_and_service_geography(spark):
+    p = spark.createDataFrame([("t", "a", 0.6), ("t", "b", 0.3), ("t", "c", 0.1), ("u", "a", 1.0)], "q string, c string, p double")
+    got = {(r.q, r.c): r for r in features.class_candidate_block(p, "q", "c", spark.createDataFrame([("a",), ("b",)], "c string")).collect()}
+    assert got["t", "c"].probability is None and got["t", "c"].supported == 0.0
+    assert (got["t", "b"].peak, round(got["t", "b"].margin, 9), got["u", "a"].margin) == (0.6, 0.3, 1.0)
+    moves = spark.createDataFrame([("a", 1, 1)] * 3 + [("a", 1, 2)] + [("b", 1, 2)] * 4, "cls string, src int, dst int")
+    rates, per = geography.service_geography(moves, "cls", "src", "dst", 2.0, 4)
+    got = {(r.cls, r.dst): r.transition for r in rates.collect()}
+    assert got["b", 1] == pytest.approx((0 + 2 * 3 / 8) / 6) and got["a", 1] == pytest.approx((3 + 2 * 3 / 8) / 6)
+    assert sum(v for (c, _), v in got.items() if c == "a") == pytest.approx(1)
+    assert {r.cls: (r.same, r.supported) for r in per.collect()} == {"a": (pytest.approx((3 + 2 * 3 / 8) / 6), 1.0), "b": (pytest.approx(2 * 3 / 8 / 6), 1.0)}
