@@ -93,9 +93,10 @@ def regex_capture_threshold(s, d):
     return tables.read(s, d, "pages", "page_id", "html").select("page_id", got.alias("captured"), F.coalesce(got >= 100, F.lit(False)).alias("at_least"))
 
 
-@query(c_("SELECT (length(query_text) >= 15)::INT + (length(query_text) >= 25)::INT AS bin, count(*)::BIGINT AS n FROM queries GROUP BY 1"))
+@query("SELECT (length(p_type || ' ' || p_name) >= 15)::INT + (length(p_type || ' ' || p_name) >= 25)::INT AS bin, length(p_type || ' ' || p_name) AS size, count(*)::BIGINT AS n FROM part GROUP BY ALL")
 def length_bins(s, d):
-    return fx.queries(s, d).groupBy(num.length_bin(F.length("query_text")).alias("bin")).agg(F.count("*").alias("n"))
+    size = F.length(F.concat_ws(" ", "p_type", "p_name")).cast("bigint")
+    return tables.read(s, d, "part", "p_type", "p_name").groupBy(num.length_bin(size).alias("bin"), size.alias("size")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, coalesce(try_cast(props AS DOUBLE), -1) AS parsed, coalesce(nullif(event_type, 'click'), '') AS filled,
@@ -105,10 +106,12 @@ def null_fill_and_safe_cast(s, d):
     return e.select("event_id", F.coalesce(num.safe_double(F.col("props")), F.lit(-1.0)).alias("parsed"), F.coalesce(F.nullif(F.col("event_type"), F.lit("click")), F.lit("")).alias("filled"), r6(num.log1p_floor(F.col("value"))).alias("logged"))
 
 
-@query("""SELECT (SELECT count(*) FROM documents) - (SELECT count(DISTINCT doc_id) FROM documents) AS repeated, (SELECT count(*) FROM documents WHERE doc_id IS NULL) AS missing,
-(SELECT count(*) FROM documents WHERE NOT regexp_full_match(doc_id::VARCHAR, '[0-9]+')) AS malformed""")
+@query("""SELECT count(*) - count(DISTINCT host) - count(*) FILTER (host IS NULL) AS repeated, count(*) FILTER (host IS NULL) AS missing, count(*) FILTER (NOT regexp_full_match(host, 'www[.][a-z]+[.](com|org)')) AS malformed
+FROM (SELECT nullif(regexp_extract(url, '//([a-z.0-9-]+)', 1), '') AS host FROM pages)""")
 def format_predicates(s, d):
-    return tables.require(tables.read(s, d, "documents", "doc_id"), "doc_id", ("doc_id", "^[0-9]+$"))
+    """Repeated, missing and malformed keys: hosts of pages under a stated form."""
+    hosts = tables.read(s, d, "pages", "url").select(F.nullif(F.regexp_extract("url", "//([a-z.0-9-]+)", 1), F.lit("")).alias("host"))
+    return tables.require(hosts, "host", ("host", r"^www\.[a-z]+\.(com|org)$"))
 
 
 @query()

@@ -629,20 +629,23 @@ def hashed_text_features(s, d):
     return lexical.hashed_vectors(t.select("text"), "text").join(t, "text").select("text", "kind", "bucket", F.round(F.col("w") * F.col("weight"), 9).alias("w"))
 
 
-@query(h_(""", known AS (SELECT DISTINCT query_norm FROM h_fit) SELECT query_norm, (query_norm IN (FROM known))::INT AS stored FROM (SELECT DISTINCT query_norm FROM h_q)"""))
+@query(h_(""", known AS (SELECT DISTINCT query_norm FROM h_fit) SELECT query_norm, CASE WHEN query_norm IN (FROM known) THEN 1 ELSE -1 END * ('0x' || substring(sha256(query_norm), 1, 8))::BIGINT AS code FROM (SELECT DISTINCT query_norm FROM h_q)"""))
 def encode_on_miss(s, d):
-    """Only texts that have no stored vector go to the encoder; the others come from the store."""
+    """Only texts that have no stored code go to the encoder, which here gives the negative of what the store holds."""
     x = Search(s, d)
-    stored = x.fit.select("query_norm").distinct().withColumn("stored", F.lit(1))
-    return vectors.with_missing(x.q.select("query_norm"), stored, "query_norm", lambda missing: missing.withColumn("stored", F.lit(0)))
+    code = F.conv(F.substring(F.sha2("query_norm", 256), 1, 8), 16, 10).cast("bigint")
+    stored = x.fit.select("query_norm").distinct().withColumn("code", code)
+    return vectors.with_missing(x.q.select("query_norm"), stored, "query_norm", lambda missing: missing.withColumn("code", -code))
 
 
-@query("SELECT 0::BIGINT AS only_left, (SELECT count(*) FROM region)::BIGINT AS only_right")
+@query("""WITH a AS (SELECT o_custkey, o_orderstatus FROM orders), b AS (SELECT o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 7 = 0)
+SELECT (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b))::BIGINT AS only_left, (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a))::BIGINT AS only_right""")
 def alignment_check(s, d):
-    """Rows that two versions of a frame do not share, in both directions."""
-    n = read(s, d, "nation", "n_nationkey", "n_regionkey")
-    more = n.unionByName(read(s, d, "region", "r_regionkey").select(F.lit(-1).alias("n_nationkey"), F.col("r_regionkey").alias("n_regionkey")))
-    return relational.misaligned(n, more)
+    """Rows that two versions of a frame do not share, in both directions, repeats counted: one version has other statuses and repeats."""
+    o = read(s, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    other = F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")
+    columns = ["o_custkey", "o_orderstatus"]
+    return relational.misaligned(o.select(*columns), o.select("o_custkey", other).unionByName(o.where("o_orderkey % 7 = 0").select(*columns)))
 
 
 @query(h_(f""" SELECT filters, len(terms)::INT AS n, array_to_string(terms, ' ') AS terms FROM (SELECT filters, {terms_sql('filters')} AS terms FROM (SELECT DISTINCT filters FROM h_past))"""))
