@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
-#: Most queries of one call; their vectors are broadcast.
-MOST = 200_000
+#: Most queries of one pass over the items, whose vectors are broadcast; and most cells (queries x k) that a task keeps in it.
+MOST, CELLS = 200_000, 1 << 23
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,17 +38,32 @@ def text_key_topk(
 
 
 def _block_topk(items, key, queries, q_key, vector, k, kind, skip_self, bias=None, q_group=None, group=None, digits=None) -> DataFrame:
-    """The k best of every task and query block.
+    """The k best of every task and query, in as many passes over the items as the number of queries asks for.
+
+    A pass takes MOST queries, or fewer where k is large: what is broadcast and what a task keeps are bounded by MOST and CELLS.
+    """
+    most = max(1, min(MOST, CELLS // k))
+    ask = lambda part: _one_pass(items, key, part, q_key, vector, k, kind, skip_self, bias, q_group, group, digits)
+    passes = -(-queries.count() // most)
+    if passes <= 1:
+        return ask(queries)
+    # ranges of the key's hash hold about equal numbers; some room keeps each below the bound
+    passes += 1 + passes // 4
+    at = F.pmod(F.xxhash64(F.col(q_key).cast(kind)), F.lit(passes))
+    parts = [ask(queries.where(at == n)) for n in range(passes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _one_pass(items, key, queries, q_key, vector, k, kind, skip_self, bias, q_group, group, digits) -> DataFrame:
+    """The k best of every task for one stated set of queries.
 
     Queries are sorted into blocks of BLOCK rows, one Arrow matrix each.  Every task of the items gets one block at a time
     from the broadcast list, multiplies in double precision and keeps k per query, so one scan of the items serves all
-    blocks; what is broadcast grows with the stated query set only, and that is bounded by MOST rows.
+    blocks.
     """
     spark = items.sparkSession
     columns = [F.col(q_key).cast(kind).alias("q"), F.col(vector).alias("v"), *([F.col(q_group).cast("string").alias("g")] if bias is not None else [])]
-    rows = queries.select(*columns).orderBy("q").limit(MOST + 1).toArrow()
-    if rows.num_rows > MOST:
-        raise ValueError(f"more than {MOST} queries; ask them in several calls")
+    rows = queries.select(*columns).orderBy("q").toArrow()
     if not rows.num_rows:
         return spark.createDataFrame([], f"{q_key} {kind}, {key} bigint, score double")
     dim = len(rows["v"][0])

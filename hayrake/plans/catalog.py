@@ -236,14 +236,14 @@ def duplicate_pair_count(s, d):
     return n.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
 
 
-@query(i_("SELECT context_key, item_id, l_quantity FROM inter WHERE item_id IN (SELECT item_id FROM items)"))
+@query(i_("SELECT context_key, item_id, l_quantity FROM inter WHERE item_id IN (SELECT item_id FROM items WHERE p_size <= 30)"))
 def semi_join_corpus(s, d):
-    return relational.within(fx.interactions(s, d), fx.items(s, d), "item_id").select("context_key", "item_id", "l_quantity")
+    return relational.within(fx.interactions(s, d), fx.items(s, d).where("p_size <= 30"), "item_id").select("context_key", "item_id", "l_quantity")
 
 
-@query(i_("SELECT context_key, item_id, l_quantity FROM inter WHERE item_id NOT IN (SELECT item_id FROM items)"))
+@query(i_("SELECT context_key, item_id, l_quantity FROM inter WHERE item_id NOT IN (SELECT item_id FROM items WHERE p_size <= 30)"))
 def anti_join_history(s, d):
-    return relational.without(fx.interactions(s, d), fx.items(s, d), "item_id").select("context_key", "item_id", "l_quantity")
+    return relational.without(fx.interactions(s, d), fx.items(s, d).where("p_size <= 30"), "item_id").select("context_key", "item_id", "l_quantity")
 
 
 @query(i_("""SELECT context_key, query_norm, item_id FROM inter WHERE query_norm NOT IN (SELECT query_norm FROM inter WHERE search_location = 0 AND l_quantity < 2)
@@ -254,9 +254,9 @@ def compound_purge(s, d):
     return out.select("context_key", "query_norm", "item_id")
 
 
-@query(i_("SELECT item_id, micro, coalesce(p, 0)::DOUBLE AS price FROM inter LEFT JOIN (SELECT item_id, p_retailprice AS p FROM items) USING (item_id)"))
+@query(i_("SELECT item_id, micro, coalesce(p, 0)::DOUBLE AS price FROM inter LEFT JOIN (SELECT item_id, p_retailprice AS p FROM items WHERE p_size <= 30) USING (item_id)"))
 def left_lookup_default(s, d):
-    prices = fx.items(s, d).select("item_id", F.col("p_retailprice").alias("price"))
+    prices = fx.items(s, d).where("p_size <= 30").select("item_id", F.col("p_retailprice").alias("price"))
     return relational.look_up(fx.interactions(s, d).select("item_id", "micro"), prices, "item_id", "price", 0.0)
 
 

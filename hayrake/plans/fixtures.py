@@ -102,7 +102,7 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part", "p_partkey", "p_brand", "p_size", "p_retailprice")
-    return p.where("p_size <= 30").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("micro"), "p_retailprice")
+    return p.select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("micro"), "p_retailprice", "p_size")
 
 
 def places(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +137,7 @@ raw AS (SELECT lower(p_name) AS query_norm, c_nationkey AS search_location, l_re
   l_partkey AS item_id, p_brand AS micro, s_nationkey AS item_location, l_quantity, l_extendedprice
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 inter AS (SELECT *, substring(sha256('[' || {_KEY_SQL} || ']'), 1, 24) AS context_key FROM raw),
-items AS (SELECT p_partkey AS item_id, p_brand AS micro, p_retailprice FROM part WHERE p_size <= 30),
+items AS (SELECT p_partkey AS item_id, p_brand AS micro, p_retailprice, p_size FROM part),
 places AS (SELECT n_nationkey AS location, -60.0::DOUBLE + 5 * n_nationkey AS lat, -170.0::DOUBLE + 13 * n_nationkey AS lon FROM nation)
 """
 
