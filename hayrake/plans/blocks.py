@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import haversine
 from ..operators import features, geography, pool, relational, vectors
 from . import hybrid
-from .catalog import oracle_sql, query, r6
+from .catalog import _SQL, query, r6
 from .fixtures import places
 from .hybrid import _LEX_POOL, _NEAR, _SEM, _WIDE, PLACES, Search, _rank_sql, h_
 
@@ -209,7 +209,7 @@ def whole_frame(x: Search) -> DataFrame:
     return out
 
 
-@query("SELECT * FROM " + " JOIN ".join(f"({oracle_sql()[b]})" + (" USING (query_id, item_id)" if k else "") for k, b in enumerate(BLOCKS)))
+@query("SELECT * FROM " + " JOIN ".join(f"({_SQL[b]})" + (" USING (query_id, item_id)" if k else "") for k, b in enumerate(BLOCKS)))
 def feature_frame_104(s, d):
     """Every feature block in one frame."""
     return whole_frame(Search(s, d))

@@ -34,11 +34,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """The other modules register their queries as they are imported; they build on this one."""
+    from . import blocks, hybrid, learning, ranking  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
@@ -954,6 +961,3 @@ def flagship(s, d):
     """Hybrid retrieval: BM25 on two fields, character TF-IDF, place damping, pool, fusion, top 50."""
     fused = fusion.fuse(scored_pool(s, d), "query_id", {"baseline": 0.5, "mixed": 0.5}, "score").withColumn("score", F.round("score", 12))
     return pool.stable_topk(fused, CONFIG.answer_size, "query_id", "item_id").select("query_id", "item_id", "score", "place")
-
-
-from . import blocks, hybrid, learning, ranking  # noqa: E402,F401  register their queries here

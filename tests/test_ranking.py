@@ -66,3 +66,13 @@ def test_a_text_in_two_folds_is_an_error(spark):
     assert history.assert_apart(rows.where("fold <> 1"), "query_norm", "fold").count() == 2
     with pytest.raises(Exception, match="several folds"):
         history.assert_apart(rows, "query_norm", "fold").collect()
+
+
+def test_whole_frame_has_104_columns(spark):
+    from hayrake.plans import blocks
+    from hayrake.plans.hybrid import Search
+
+    x = Search(spark, "/root/testdata/sf0.001")
+    frame = blocks.whole_frame(x)
+    assert len(frame.columns) == 106 and len(set(frame.columns)) == 106
+    assert frame.count() == x.hybrid_pool.count() == frame.select("query_id", "item_id").distinct().count()
