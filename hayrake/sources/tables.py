@@ -219,6 +219,16 @@ def indexed(spark: SparkSession, source: str | list[str], name: str, make) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Remove this session's indexes from the shared folder; how many there were.  Later queries make new ones."""
+    mine = [key for key in _INDEXES if key[0] == spark.sparkContext.applicationId]
+    for key in mine:
+        path, _ = _INDEXES.pop(key)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(mine)
+
+
 def digest(df: DataFrame) -> DataFrame:
     """Row count and an order-free digest: the sum of 60 bits of the SHA-256 of each row, columns in order of name, nulls as \\0."""
     row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])

@@ -93,3 +93,18 @@ def test_class_candidates_and_service_geography(spark):
     assert got["b", 1] == pytest.approx((0 + 2 * 3 / 8) / 6) and got["a", 1] == pytest.approx((3 + 2 * 3 / 8) / 6)
     assert sum(v for (c, _), v in got.items() if c == "a") == pytest.approx(1)
     assert {r.cls: (r.same, r.supported) for r in per.collect()} == {"a": (pytest.approx((3 + 2 * 3 / 8) / 6), 1.0), "b": (pytest.approx(2 * 3 / 8 / 6), 1.0)}
+
+
+def test_indexes_follow_their_sources_and_can_be_forgotten(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    for path in (a, b):
+        spark.range(3).write.parquet(path)
+    made = []
+    ask = lambda: tables.indexed(spark, [a, b], "n", lambda: made.append(1) or spark.range(len(made)))
+    assert [ask().count() for _ in range(3)] == [1, 1, 1]
+    spark.range(9).write.mode("append").parquet(b)
+    assert ask().count() == 2 and len(made) == 2
+    folders = {f.rpartition("/")[0].removeprefix("file:") for f in ask().inputFiles()}
+    assert tables.forget(spark) >= 2 and tables.forget(spark) == 0
+    assert not any((tmp_path / f).exists() for f in folders)
+    assert ask().count() == 3
