@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import haversine
 from ..operators import features, geography, pool, relational, vectors
+from ..sources.tables import sorted_side
 from . import hybrid
 from .catalog import _SQL, query, r6
 from .fixtures import places
@@ -26,7 +27,7 @@ def context_geo(x: Search) -> DataFrame:
     every = x.s.range(PLACES).withColumnRenamed("id", "location")
     block = geography.context_block(every, located(x), moves)
     at = located(x).groupBy("location").agg(F.median("lat").alias("i_lat"), F.median("lon").alias("i_lon"))
-    pairs = x.hybrid_pool.select(*KEYS).join(x.q.select("query_id", "search_location"), "query_id").join(x.items.select("item_id", "location"), "item_id")
+    pairs = x.hybrid_pool.select(*KEYS).join(x.q.select("query_id", "search_location"), "query_id").join(x.listed("item_id", "location"), "item_id")
     out = pairs.join(block, "search_location", "left").join(at, "location", "left")
     km = haversine(F.col("context_lat"), F.col("context_lon"), F.col("i_lat"), F.col("i_lon"))
     return out.withColumn("context_distance", F.log1p(km)).select(*KEYS, *[r6(F.col(c).cast("double")).alias(c) for c in CONTEXT])
@@ -77,8 +78,8 @@ def structural(x: Search) -> DataFrame:
     q = x.q.select("query_id", "search_location", _stated("q_no", "delivery").alias("q_text"))
     form = F.element_at(F.array(*[F.lit(c) for c in SEGMENTS]), (F.col("item_id") % len(SEGMENTS) + 1).cast("int"))
     i = x.items.withColumn("form", form).select("item_id", "micro", "location", _stated("item_id", "form").alias("i_text"))
-    wanted, had = features.attributes(q, "query_id", "q_text"), features.attributes(i, "item_id", "i_text")
-    pairs = x.hybrid_pool.select(*KEYS).join(q, "query_id").join(i, "item_id")
+    wanted, had = features.attributes(q, "query_id", "q_text"), sorted_side(features.attributes(i, "item_id", "i_text"))
+    pairs = x.hybrid_pool.select(*KEYS).join(q, "query_id").join(sorted_side(i), "item_id")
     pairs = pairs.join(x.geo.select("search_location", F.col("item_location").alias("location"), "km"), ["search_location", "location"], "left")
     counts = lambda keys, name: x.items.groupBy(*keys).agg(F.count("*").alias(name))
     pairs = pairs.join(counts(["location"], "place_n"), "location", "left").join(counts(["micro", "location"], "class_place_n"), ["micro", "location"], "left").join(counts(["micro"], "class_n"), "micro", "left")
@@ -132,7 +133,7 @@ def neighbour_block(x: Search) -> DataFrame:
     parts = near.join(held, "t_no").select("query_id", "w", F.posexplode("embedding").alias("pos", "v")).groupBy("query_id", "pos").agg(F.sum(F.col("w") * F.col("v").cast("double")).alias("v"))
     centre = parts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda c: c["v"]).alias("centre"))
     said = near.join(texts, "t_no").join(x.fit.select("query_norm", "micro").distinct(), "query_norm").groupBy("query_id", "micro").agg(F.sum("w").alias("coverage"))
-    pairs = x.hybrid_pool.select(*KEYS).join(x.items.select("item_id", "micro"), "item_id").join(centre, "query_id").join(x.vectors()[1], "item_id")
+    pairs = x.hybrid_pool.select(*KEYS).join(x.listed("item_id", "micro"), "item_id").join(centre, "query_id").join(sorted_side(x.vectors()[1]), "item_id")
     length = F.sqrt(vectors.dot(F.col("centre"), F.col("centre")))
     pairs = pairs.withColumn("centre_cosine", F.round(vectors.dot(F.col("centre"), F.col("embedding")) / length, 9)).drop("centre", "embedding")
     out = pairs.join(hybrid.neighbour_classes(x), ["query_id", "micro"], "left").join(said, ["query_id", "micro"], "left")

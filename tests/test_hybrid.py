@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hayrake.functions import text as tx
 from hayrake.operators import evaluation as ev
 from hayrake.operators import history, lexical, pool, relational, vectors
+from hayrake.plans import catalog, hybrid
 from hayrake.plans import fixtures as fx
 from hayrake.sources import tables
 
@@ -174,3 +175,30 @@ def test_more_queries_than_one_pass_takes(spark, monkeypatch):
     want = ask()
     monkeypatch.setattr(vectors, "CELLS", 50)
     assert ask() == want and len(want) == 200
+
+
+def test_growing_tables_are_not_collected_for_joins(spark):
+    catalog.queries()
+    d = "/root/testdata/sf0.001"
+    pairs = spark.range(100).select(F.col("id").alias("item_id"))
+    for df in (hybrid.past(spark, d), pairs.join(hybrid.Search(spark, d).listed("item_id", "micro"), "item_id")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # of the interactions' joins only that with the suppliers is left to the planner
+    assert fx.interactions(spark, d)._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 3
+
+
+def test_scores_of_distinct_texts_are_those_of_all_items(spark):
+    texts = [("red bolt", 3), ("red ring", 1), ("old bolt bolt", 2), ("blue", 1)]
+    each = [(10 * k + i, t) for k, (t, n) in enumerate(texts) for i in range(n)]
+    docs = spark.createDataFrame(each, "item_id long, text string").withColumn("terms", F.split("text", " "))
+    once = spark.createDataFrame(texts, "text string, copies long").withColumn("terms", F.split("text", " "))
+    q = spark.createDataFrame([("a", ["red", "bolt"]), ("b", ["old", "blue", "none"])], "query_id string, q_terms array<string>")
+    per_item = lexical.bm25_scores(docs, "item_id", "terms", q, "query_id", "q_terms").join(docs.select("item_id", "text"), "item_id")
+    per_text = lexical.bm25_scores(once, "text", "terms", q, "query_id", "q_terms", copies="copies")
+    assert {(r.query_id, r.text): r.score for r in per_item.collect()} == {(r.query_id, r.text): r.score for r in per_text.collect()}
+    w_item, idf_item = lexical.tfidf_vectors(docs, "item_id", "terms", cap=None)
+    w_text, idf_text = lexical.tfidf_vectors(once, "text", "terms", cap=None, copies="copies")
+    assert sorted(idf_item.collect()) == sorted(idf_text.collect())
+    want = {(r.text, r.term): round(r.w, 12) for r in w_item.join(docs.select("item_id", "text"), "item_id").collect()}
+    assert want == {(r.text, r.term): round(r.w, 12) for r in w_text.collect()}
