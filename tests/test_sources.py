@@ -108,3 +108,10 @@ def test_indexes_follow_their_sources_and_can_be_forgotten(spark, tmp_path):
     assert tables.forget(spark) >= 2 and tables.forget(spark) == 0
     assert not any((tmp_path / f).exists() for f in folders)
     assert ask().count() == 3
+
+
+def test_footer_profile_counts_files(spark):
+    from hayrake.plans import catalog
+
+    row = catalog.queries()["footer_profile"](spark, "/root/testdata/sf0.001").first()
+    assert row.n_files == 1 and row.n_rows == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
