@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed
+from ..sources.tables import staged
 from .relational import first_by, numbered, purge, within, without
 
 
@@ -127,6 +130,29 @@ def group_sample(marked: DataFrame, q_key: str, key: str, hard: dict[str, int],
     return ranked.withColumn("kind", kind).where("kind is not null").drop("_hard", "_rest", *[f"_n_{c}" for c in hard])
 
 
+def sample_candidates(scores, q_key: str, key: str, positives: DataFrame, hard: int, tail: int, seed: int) -> DataFrame:
+    """(q_key, key, score, y): rows among which ``group_sample`` by the score chooses as among all pairs, which are not sorted.
+
+    ``scores(k, pairs, queries)`` gives the scores of all pairs, of the k best by task, of given pairs, or of given queries.  A query
+    needs its positives, its best ones by the number of positives more than ``hard``, and as many more of the seeded order than
+    hard and tail together.  Those are cut by the hash at four times their share; where that leaves too few, all pairs are taken.
+    """
+    known = positives.groupBy(q_key).agg(F.count("*").alias("p"))
+    size = scores().groupBy(q_key).agg(F.count("*").alias("n")).join(known, q_key, "left")
+    size = staged(size.select(q_key, F.least("n", F.coalesce("p", F.lit(0)) + hard + tail).alias("need"), "n"), "sample-sizes")
+    at = hashed(seed, F.concat_ws("/", F.col(q_key).cast("string"), F.col(key).cast("string")))
+    share = F.conv(F.substring(at, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = staged(scores().join(size, q_key).where(share < 4.0 * F.col("need") / F.col("n")).select(q_key, key, "score"), "sample-drawn")
+    few = size.join(drawn.groupBy(q_key).agg(F.count("*").alias("have")), q_key, "left").where(F.coalesce("have", F.lit(0)) < F.col("need")).select(q_key)
+    parts = [drawn, scores(pairs=positives)]
+    if few.limit(1).count():
+        parts.append(scores(queries=few))
+    most = hard + (positives.groupBy(q_key).count().agg(F.max("count")).first()[0] or 0)
+    parts.append(scores(k=most))
+    rows = reduce(DataFrame.unionByName, (x.select(q_key, key, "score") for x in parts)).groupBy(q_key, key).agg(F.max("score").alias("score"))
+    return rows.join(positives.select(q_key, key).withColumn("y", F.lit(1)), [q_key, key], "left").na.fill(0, ["y"])
+
+
 def leaks(seen: DataFrame, **blocked: DataFrame) -> DataFrame:
     """One row: for each named column, how many distinct blocked values the history still has."""
     counts = [within(seen.select(c).distinct(), values, c).agg(F.count("*").alias(c)) for c, values in blocked.items()]

@@ -64,10 +64,13 @@ def log_rank(q_key: str, score: Column) -> Column:
     return F.log1p(F.rank().over(Window.partitionBy(q_key).orderBy(ranking_key(score).desc())))
 
 
-def relative_scores(scores: DataFrame, q_key: str, key: str, at: int = 50, reference: int = 512) -> DataFrame:
-    """Gaps to the first and the at-th score, the score in deviations of the ``reference`` best ones, and the place."""
+def relative_scores(scores: DataFrame, q_key: str, key: str, at: int = 50, reference: int = 512, best: DataFrame | None = None) -> DataFrame:
+    """Gaps to the first and the at-th score, the score in deviations of the ``reference`` best ones, and the place.
+
+    ``best`` may give scores that have the ``max(at, reference)`` best of every query, so that all need not be sorted for them.
+    """
     ranked = scores.withColumn("place", F.row_number().over(order(q_key, key)))
-    best = ranked.where(F.col("place") <= max(at, reference))
+    best = stable_topk(scores if best is None else best, max(at, reference), q_key, key)
     per = best.groupBy(q_key).agg(
         F.max("score").alias("top"),
         F.max(F.when(F.col("place") == at, F.col("score"))).alias("nth"),
