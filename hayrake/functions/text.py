@@ -56,6 +56,12 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words, all_of))
 
 
+def word_grams(word: str, low: int = 3, high: int = 5) -> list[str]:
+    """The n-grams of one word as ``char_grams`` has them."""
+    padded = f" {word} "
+    return [padded[i : i + n] for n in range(low, high + 1) if n == low or len(padded) >= n for i in range(max(len(padded) - n + 1, 1))]
+
+
 #: The short escapes of JSON.
 _ESCAPES = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
 

@@ -79,3 +79,30 @@ def test_vector_search_multiplies_pieces_of_a_batch(spark, monkeypatch):
     seen = [(r.q, r.id) for r in sorted(got, key=lambda r: (r.q, r.place))]
     assert seen[4:8] == [(1, 3), (1, 7), (1, 11), (1, 15)] and len(seen) == 24
 
+
+
+def test_grams_and_passages_in_tasks_equal_joins(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from hayrake.functions.text import char_grams, word_grams
+    from hayrake.plans import fixtures as fx
+
+    rows = [(0, "a bc def a"), (1, ""), (2, "bc def ghijk bc"), (3, "ghijk a"), (4, "ñé bc")]
+    docs = spark.createDataFrame(rows, "id long, t string").select("id", F.filter(F.split("t", " "), lambda w: w != "").alias("words"))
+    for r in docs.select(F.array_join("words", " ").alias("t"), char_grams(F.array_join("words", " ")).alias("g")).collect():
+        assert r.g == [g for w in r.t.split() for g in word_grams(w)]
+    idf = lexical.gram_idf(docs, "words")
+    terms = asked.vocabulary(idf.where("term like '%b%' or term like '%a%'").select("term"))
+    get = lambda: sorted((r.id, c, round(w, 12)) for r in lexical.gram_postings(docs, "id", "words", idf, terms).collect() for c, w in zip(r.codes, r.ws, strict=True))
+    here = get()
+    monkeypatch.setattr(lexical, "WORDS", 0)
+    assert get() == here and here
+
+    texts = spark.createDataFrame([(0, "x one two three four y"), (1, "one two three"), (2, "zone two three fours"), (3, None), (4, "two one two\nthree one two three four")], "id long, body string")
+    asks = spark.createDataFrame([(0, "one two three four"), (1, "one two three four five"), (2, "two three"), (3, ""), (4, "ne two three fou"), (5, "a b c d e")], "q long, p string")
+    find = lambda: sorted(map(tuple, fx.holders(asks, "q", "p", texts, "id", "body").collect()))
+    near = find()
+    monkeypatch.setattr(fx, "ANCHORS", 0)
+    assert find() == near
+    brute = sorted((a.q, t.id) for a in asks.collect() for t in texts.collect() if a.p and t.body and a.p in t.body)
+    assert near == brute
