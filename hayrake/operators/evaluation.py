@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions.numeric import length_bin
+from ..sources.tables import sorted_side
 
 
 def recall(predictions: DataFrame, truth: DataFrame, q_key: str, key: str) -> DataFrame:
@@ -105,7 +106,7 @@ def validate(answers_: DataFrame, queries: DataFrame, corpus: DataFrame, q_key:
     """Counts of violations: missing, foreign and repeated queries, too many, repeated or unknown ids."""
     ids = F.split("answer", " ")
     each = answers_.select(q_key, F.explode(ids).alias("id"))
-    unknown = each.join(corpus.select(F.col(key).cast("string").alias("id")).distinct(), "id", "left_anti").agg(F.count("*").alias("unknown"))
+    unknown = each.join(sorted_side(corpus.select(F.col(key).cast("string").alias("id")).distinct()), "id", "left_anti").agg(F.count("*").alias("unknown"))
     own = answers_.agg(
         (F.count("*") - F.count_distinct(q_key)).alias("repeated_queries"),
         F.count_if(F.col("answer").isNull()).alias("nulls"),

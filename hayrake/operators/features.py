@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import log1p_floor
+from ..sources.tables import sorted_side
 from .pool import log_rank
 from .relational import entropy_and_peak, shares
 
@@ -87,7 +88,7 @@ def attribute_match(pairs: DataFrame, q_key: str, key: str, wanted: DataFrame, h
     asked = q.select(q_key).distinct().withColumn("_q", F.lit(1))
     owned = i.select(key).distinct().withColumn("_i", F.lit(1))
     hit = pairs.select(q_key, key).join(q, q_key).join(i, [key, "value"]).select(q_key, key).distinct().withColumn("_hit", F.lit(1.0))
-    out = pairs.join(asked, q_key, "left").join(owned, key, "left").join(hit, [q_key, key], "left")
+    out = pairs.join(asked, q_key, "left").join(owned, key, "left").join(sorted_side(hit), [q_key, key], "left")
     value = F.when(F.col("_q").isNotNull() & F.col("_i").isNotNull(), F.coalesce("_hit", F.lit(0.0)))
     return out.withColumn(column, value).drop("_q", "_i", "_hit")
 

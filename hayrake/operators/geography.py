@@ -15,7 +15,11 @@ def centres(items: DataFrame, location: str, lat: str, lon: str) -> DataFrame:
 
 def transitions(history: DataFrame, source: str, target: str) -> DataFrame:
     """(source, target, n, strength, p, support): how often searches at one place choose items at another."""
-    counts = history.groupBy(source, target).agg(F.count("*").alias("n"))
+    return transition_rates(history.groupBy(source, target).agg(F.count("*").alias("n")), source, target)
+
+
+def transition_rates(counts: DataFrame, source: str, target: str) -> DataFrame:
+    """The same from counts (source, target, n)."""
     own = Window.partitionBy(source)
     total, top = F.sum("n").over(own), F.max("n").over(own)
     shrink = F.least(F.lit(1.0), total / CONFIG.transition_support)

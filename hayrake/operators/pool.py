@@ -51,8 +51,13 @@ def top_of_any(wide: DataFrame, q_key: str, key: str, columns: list[str], k: int
 
     Every column's k are cut in the tasks before anything is shuffled, so ``wide`` had better be stored.
     """
+    return wide.join(keys_of_any(wide, q_key, key, columns, k, positive), [q_key, key], "left_semi")
+
+
+def keys_of_any(wide: DataFrame, q_key: str, key: str, columns: list[str], k: int, positive: bool = False) -> DataFrame:
+    """(q_key, key) of the rows of ``top_of_any``, which need not be joined with all scores for it."""
     tops = [stable_topk(wide.where(F.col(c) > 0) if positive else wide, k, q_key, key, c).select(q_key, key) for c in columns]
-    return wide.join(reduce(DataFrame.unionByName, tops).distinct(), [q_key, key], "left_semi")
+    return reduce(DataFrame.unionByName, tops).distinct()
 
 
 def difference(left: DataFrame, right: DataFrame, q_key: str, key: str) -> DataFrame:

@@ -23,11 +23,11 @@ def located(x: Search) -> DataFrame:
 
 
 def context_geo(x: Search) -> DataFrame:
-    moves = x.fit.groupBy("search_location", "item_location").agg(F.count("*").alias("n"))
+    moves = x.counted("search_location", "item_location")
     every = x.s.range(PLACES).withColumnRenamed("id", "location")
     block = geography.context_block(every, located(x), moves)
     at = located(x).groupBy("location").agg(F.median("lat").alias("i_lat"), F.median("lon").alias("i_lon"))
-    pairs = x.hybrid_pool.select(*KEYS).join(x.q.select("query_id", "search_location"), "query_id").join(x.listed("item_id", "location"), "item_id")
+    pairs = x.hybrid_pool.select(*KEYS).join(sorted_side(x.q.select("query_id", "search_location")), "query_id").join(x.listed("item_id", "location"), "item_id")
     out = pairs.join(block, "search_location", "left").join(at, "location", "left")
     km = haversine(F.col("context_lat"), F.col("context_lon"), F.col("i_lat"), F.col("i_lon"))
     return out.withColumn("context_distance", F.log1p(km)).select(*KEYS, *[r6(F.col(c).cast("double")).alias(c) for c in CONTEXT])
@@ -78,8 +78,8 @@ def structural(x: Search) -> DataFrame:
     q = x.q.select("query_id", "search_location", _stated("q_no", "delivery").alias("q_text"))
     form = F.element_at(F.array(*[F.lit(c) for c in SEGMENTS]), (F.col("item_id") % len(SEGMENTS) + 1).cast("int"))
     i = x.items.withColumn("form", form).select("item_id", "micro", "location", _stated("item_id", "form").alias("i_text"))
-    wanted, had = features.attributes(q, "query_id", "q_text"), sorted_side(features.attributes(i, "item_id", "i_text"))
-    pairs = x.hybrid_pool.select(*KEYS).join(q, "query_id").join(sorted_side(i), "item_id")
+    wanted, had = (sorted_side(features.attributes(*of)) for of in ((q, "query_id", "q_text"), (i, "item_id", "i_text")))
+    pairs = x.hybrid_pool.select(*KEYS).join(sorted_side(q), "query_id").join(sorted_side(i), "item_id")
     pairs = pairs.join(x.geo.select("search_location", F.col("item_location").alias("location"), "km"), ["search_location", "location"], "left")
     counts = lambda keys, name: x.items.groupBy(*keys).agg(F.count("*").alias(name))
     pairs = pairs.join(counts(["location"], "place_n"), "location", "left").join(counts(["micro", "location"], "class_place_n"), ["micro", "location"], "left").join(counts(["micro"], "class_n"), "micro", "left")
@@ -132,11 +132,12 @@ def neighbour_block(x: Search) -> DataFrame:
     near, texts, held = hybrid.neighbours(x)
     parts = near.join(held, "t_no").select("query_id", "w", F.posexplode("embedding").alias("pos", "v")).groupBy("query_id", "pos").agg(F.sum(F.col("w") * F.col("v").cast("double")).alias("v"))
     centre = parts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda c: c["v"]).alias("centre"))
-    said = near.join(texts, "t_no").join(x.fit.select("query_norm", "micro").distinct(), "query_norm").groupBy("query_id", "micro").agg(F.sum("w").alias("coverage"))
-    pairs = x.hybrid_pool.select(*KEYS).join(x.listed("item_id", "micro"), "item_id").join(centre, "query_id").join(sorted_side(x.vectors()[1]), "item_id")
+    said = near.join(texts, "t_no").join(x.seen.select("query_norm", "micro").distinct(), "query_norm").groupBy("query_id", "micro").agg(F.sum("w").alias("coverage"))
+    pairs = x.hybrid_pool.select(*KEYS).join(x.listed("item_id", "micro"), "item_id").join(sorted_side(centre), "query_id")
+    pairs = x.with_vectors(pairs, "embedding")
     length = F.sqrt(vectors.dot(F.col("centre"), F.col("centre")))
     pairs = pairs.withColumn("centre_cosine", F.round(vectors.dot(F.col("centre"), F.col("embedding")) / length, 9)).drop("centre", "embedding")
-    out = pairs.join(hybrid.neighbour_classes(x), ["query_id", "micro"], "left").join(said, ["query_id", "micro"], "left")
+    out = pairs.join(sorted_side(hybrid.neighbour_classes(x)), ["query_id", "micro"], "left").join(sorted_side(said), ["query_id", "micro"], "left")
     own = ["probability", "relative_probability", "entropy", "top_similarity", "margin", "effective_count"]
     return out.select(*KEYS, *[F.col(c).alias(f"neighbour_{c}") for c in own], F.col("centre_cosine").alias("neighbour_centre_cosine"), r6(pool.log_rank("query_id", F.col("centre_cosine"))).alias("neighbour_log_centre_rank"), r6(F.coalesce("coverage", F.lit(0.0))).alias("neighbour_coverage"))
 
@@ -202,11 +203,16 @@ BLOCKS = ["feature_frame_45", "learned_vector_features", "context_geo_features_1
 
 
 def whole_frame(x: Search) -> DataFrame:
-    """All 104 columns of every candidate.  Each block is made by itself and joined on the pair, so they share one partitioning."""
+    """All 104 columns of every candidate.
+
+    Each block is a stage table, made by itself, so that the driver holds the plan and the broadcasts of one block at a time.  They
+    are joined on the pair and share one partitioning.
+    """
     made = [hybrid.feature_frame_45, hybrid.learned_vector_features, context_geo_features_10, neighbour_features_9, hybrid.quality_features_12, hybrid.field_vector_features_8, hybrid.second_encoder_features_4, structural_features_10]
-    out = made[0](x.s, x.d)
-    for block in made[1:]:
-        out = out.join(block(x.s, x.d), KEYS)
+    parts = [x.kept(f"block-{name}", lambda block=block: block(x.s, x.d)) for name, block in zip(BLOCKS, made, strict=True)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(sorted_side(part), KEYS)
     return out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hayrake.functions import text as tx
 from hayrake.operators import evaluation as ev
 from hayrake.operators import history, lexical, pool, relational, vectors
-from hayrake.plans import catalog, hybrid
+from hayrake.plans import blocks, catalog, hybrid
 from hayrake.plans import fixtures as fx
 from hayrake.sources import tables
 
@@ -216,3 +216,52 @@ def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
     assert sorted(again.collect()) == sorted(all_scores.where("item_id % 7 = 0").collect())
     body = all_scores.where("channel = 'b'").select("query_id", "item_id", "score")
     assert sorted(body.collect()) == sorted(catalog._body(spark, d).select("query_id", "item_id", "score").collect())
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_of_candidates_are_not_collected_for_a_broadcast(spark):
+    x = hybrid.Search(spark, "/root/testdata/sf0.001")
+    frames = {"marked": x._marked(), "covers": x._covers(), "frame": hybrid.lexical_frame(x), "structural": blocks.structural(x), "places": blocks.context_geo(x)}
+    for name, df in frames.items():
+        for line in _plan(df).splitlines():
+            assert not ("BroadcastHashJoin" in line and "item_id" in line), (name, line[:200])
+
+
+def test_history_is_read_once_and_counted(spark):
+    x = hybrid.Search(spark, "/root/testdata/sf0.001")
+    assert {tuple(r) for r in x.counted("query_norm", "micro").collect()} == {tuple(r) for r in x.fit.groupBy("query_norm", "micro").count().collect()}
+    for df in (blocks.context_geo(x), hybrid.neighbour_classes(x), hybrid.lexical_frame(x)):
+        assert "search-past" not in " ".join(df.inputFiles())
+
+
+def test_vectors_of_pairs_equal_those_of_items(spark):
+    x = hybrid.Search(spark, "/root/testdata/sf0.001")
+    pairs = x.hybrid_pool.select("query_id", "item_id")
+    want = pairs.join(x.vectors(3)[1], "item_id").select("query_id", "item_id", "embedding")
+    got = x.with_vectors(pairs, "embedding", 3).select("query_id", "item_id", "embedding")
+    assert got.count() == pairs.count() and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_blocks_of_the_whole_frame_are_stage_tables(spark):
+    x = hybrid.Search(spark, "/root/testdata/sf0.001")
+    frame = blocks.whole_frame(x)
+    assert len(frame.columns) == 106 and "Broadcast" not in _plan(frame)
+    folders = {f.rpartition("/")[0] for f in frame.inputFiles()}
+    assert len(folders) == len(blocks.BLOCKS) and all("search-block" in f for f in folders)
+
+
+def test_keys_of_any_are_the_rows_of_top_of_any(spark):
+    wide = spark.createDataFrame([(1, i, float(i % 4), float(i % 7)) for i in range(30)], "q long, i long, a double, b double")
+    got = {tuple(r) for r in pool.keys_of_any(wide, "q", "i", ["a", "b"], 3).collect()}
+    assert got == {(r.q, r.i) for r in pool.top_of_any(wide, "q", "i", ["a", "b"], 3).collect()} == {(1, 3), (1, 7), (1, 11), (1, 6), (1, 13), (1, 20)}
+
+
+def test_items_of_a_corpus_are_not_collected_to_check_answers(spark):
+    answers = spark.createDataFrame([("a", "1 2 9"), ("b", "1 1")], "q string, answer string")
+    found = ev.validate(answers, spark.createDataFrame([("a",), ("c",)], "q string"), spark.range(5).withColumnRenamed("id", "i"), "q", "i", 2)
+    r = found.first()
+    assert (r.unknown, r.too_many, r.repeated_ids, r.missing_queries, r.foreign_queries) == (1, 1, 1, 1, 1)
+    assert "SortMergeJoin [id#" in _plan(found)
