@@ -19,10 +19,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hashed
 from ..sources.tables import released, staged
 
 #: Fixed point of gradients and hessians; a row's are below 1 in size or so, so 2^38 rows fit.
@@ -59,18 +58,30 @@ def _values(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.select(F.explode(each).alias("x")).select("x.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def bin_edges(rows: DataFrame, features: list[str], group: str, key: str, bins: int = 127, most: int = 200_000, seed: int = 7) -> DataFrame:
-    """(feature, place, edge): the distinct inner quantiles of each feature; a value's bin is the number of edges below it.
+def bin_edges(rows: DataFrame, features: list[str], bins: int = 127) -> DataFrame:
+    """(feature, place, edge): the distinct inner quantiles of each feature over all rows; a value's bin is the number of edges below it.
 
-    ``most`` bounds the rows that are looked at: of more, a share is chosen by a hash of (group, key).
+    Distinct values are counted, dealt into sorted ranges and summed up there, so no task holds a whole feature; a quantile lies
+    between the values at the whole ranks beside its position, and only the values at such ranks go on.
     """
-    whole = rows.agg(F.count("*").alias("n"))
-    at = F.conv(F.substring(hashed(seed, F.concat_ws("/", F.col(group).cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    chosen = rows.crossJoin(whole).where(F.col("n") * at <= most)
-    cuts = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    edges = _values(chosen, features).groupBy("feature").agg(F.percentile("value", cuts).alias("edges"))
-    each = F.array_sort(F.array_distinct(F.transform("edges", lambda e: F.round(e, 9))))
-    return edges.select("feature", F.posexplode(each).alias("place", "edge"))
+    counts = _values(rows, features).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    dealt = staged(counts.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()), "bin-values")
+    ranges = Window.partitionBy("feature")
+    before = F.sum("n").over(ranges.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy("feature", "part").agg(F.sum("n").alias("n"))
+    sizes = sizes.select("feature", "part", F.coalesce(before, F.lit(0)).alias("before"), (F.sum("n").over(ranges) - 1).alias("last"))
+    upto = F.sum("n").over(Window.partitionBy("feature", "part").orderBy("value"))
+    ranked = dealt.withColumn("upto", upto).join(sizes, ["feature", "part"]).withColumn("end", F.col("before") + F.col("upto")).withColumn("start", F.col("end") - F.col("n"))
+    step = bins / F.greatest("last", F.lit(1))
+    least, most = F.greatest(F.ceil((F.col("start") - 1) * step - 1e-6), F.lit(1)), F.least(F.floor(F.col("end") * step + 1e-6), F.lit(bins - 1))
+    near = ranked.withColumns({"least": least, "most": most}).where("least <= most").withColumn("k", F.explode(F.sequence("least", "most")))
+    near = near.withColumn("at", F.col("last") * (F.col("k") / F.lit(float(bins))))
+    has = lambda rank: F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), F.col("value")))
+    cuts = near.groupBy("feature", "k").agg(has(F.floor("at")).alias("low"), has(F.ceil("at")).alias("high"), F.max("at").alias("at"))
+    between = (F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high")
+    edge = F.round(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between), 9)
+    each = cuts.groupBy("feature").agg(F.array_sort(F.collect_set(edge)).alias("edges"))
+    return each.select("feature", F.posexplode("edges").alias("place", "edge"))
 
 
 def _edge_lists(edges: DataFrame, features: list[str]) -> list[np.ndarray]:
@@ -427,7 +438,7 @@ def train(rows: DataFrame, group: str, key: str, features: list[str], label: str
     """
     if settings.objective not in OBJECTIVES:
         raise ValueError(settings.objective)
-    edges = bin_edges(rows, features, group, key, settings.bins) if edges is None else edges
+    edges = bin_edges(rows, features, settings.bins) if edges is None else edges
     model = Model(features, _edge_lists(edges, features), settings, [[] for _ in range(folds)])
     table = staged(packed(rows.na.fill(0, [label]), group, key, features, model.edges, settings.bins, label, weight, fold), "boost")
     since = 0

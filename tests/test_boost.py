@@ -212,3 +212,20 @@ def test_edges(spark):
     assert bt.out_of_fold(model, table).count() == 0
     with pytest.raises(ValueError):
         bt.train(one, "q", "i", FEATURES, "y", "fold", 2, bt.Settings(objective="x"))
+
+
+def test_bin_edges_take_all_rows(spark):
+    n = 260_000
+    value = "id * 7919 % 260003"
+    df = spark.range(n).selectExpr("'q' AS q", "id AS i", f"sqrt({value}) AS a", f"CASE WHEN id % 3 = 0 THEN ({value}) % 40 END AS b", "CASE WHEN id = 5 THEN 2.5 WHEN id % 2 = 0 THEN double('NaN') END AS c", "CAST(NULL AS DOUBLE) AS d")
+    at = np.arange(n)
+    values = at * 7919 % 260003
+    want = {"a": np.sqrt(values), "b": values[at % 3 == 0] % 40, "c": [2.5]}
+    found = {}
+    for r in bt.bin_edges(df, ["a", "b", "c", "d"], 16).orderBy("feature", "place").collect():
+        found.setdefault(r.feature, []).append(r.edge)
+        assert r.place == len(found[r.feature]) - 1
+    assert sorted(found) == sorted(want)
+    for f, v in want.items():
+        edges = np.unique(np.round(np.quantile(v, np.arange(1, 16) / 16), 9))
+        assert len(found[f]) == len(edges) and np.allclose(found[f], edges, rtol=0, atol=2e-9)
