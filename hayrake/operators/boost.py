@@ -13,12 +13,14 @@ same passes: each leaves one fold of the queries out.  Scores are written to a n
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from ..sources.tables import released, staged
 
 #: Fixed point of gradients and hessians; a row's are below 1 in size or so, so 2^38 rows fit.
 SCALE = float(1 << 24)
-#: Rows whose cells a task holds before it adds them up.
+#: Rows that a task takes at a time, and whose cells it holds before it adds them up.
 HELD = 20_000
 
 
@@ -352,14 +354,28 @@ def packed(rows: DataFrame, group: str, key: str, features: list[str], edges: li
     return lists.select("grp", "fold", *[F.col(f"rows.{c}").alias(c) for c in ("item", "y", "w", "codes")], F.lit(None).cast("binary").alias("scores"))
 
 
-def _lists(batch: pa.RecordBatch, n_models: int, n_features: int):
-    """(group, fold, y, w, codes, scores by model) of every row of a batch of packed groups."""
-    at = {name: k for k, name in enumerate(batch.schema.names)}
-    column = lambda c: batch.column(at[c]).to_pylist()
-    for grp, fold, y, w, codes, scores in zip(*map(column, ("grp", "fold", "y", "w", "codes", "scores")), strict=True):
-        y, w = np.array(y, float), np.array(w, float)
-        known = np.zeros((n_models, len(y))) if scores is None else np.frombuffer(scores).reshape(n_models, len(y)).copy()
-        yield grp, fold, y, w, np.frombuffer(b"".join(codes), np.uint8).reshape(len(y), n_features), known
+def _chunks(batch: pa.RecordBatch, n_models: int, n_features: int):
+    """(groups, folds, bounds, y, w, codes, scores by model) of packed groups, about ``HELD`` rows at a time; group k has the rows from bounds[k] on."""
+    ends = np.cumsum(pc.list_value_length(batch.column("y")).to_numpy())
+    first = 0
+    while first < batch.num_rows:
+        done = ends[first - 1] if first else 0
+        until = max(first + 1, int(np.searchsorted(ends, done + HELD, "right")))
+        part = batch.slice(first, until - first)
+        bounds = np.concatenate([[0], ends[first:until] - done])
+        y, w = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(float) for c in "yw")
+        codes = np.frombuffer(b"".join(part.column("codes").flatten().to_pylist()), np.uint8).reshape(len(y), n_features)
+        scores = np.zeros((n_models, len(y)))
+        for k, known in enumerate(part.column("scores").to_pylist()):
+            if known is not None:
+                scores[:, bounds[k] : bounds[k + 1]] = np.frombuffer(known).reshape(n_models, -1)
+        yield part.column("grp").to_pylist(), part.column("fold").to_numpy(), bounds, y, w, codes, scores
+        first = until
+
+
+def _shares(spark: SparkSession) -> int:
+    """Files of the stage table: its bytes are few beside the work on them, and files dealt by bytes alone would leave a pass to one task."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _pass(table: DataFrame, model: Model, since: int, growing: list[_Growing]) -> list[dict[int, np.ndarray]]:
@@ -372,35 +388,29 @@ def _pass(table: DataFrame, model: Model, since: int, growing: list[_Growing]) -
 
     def run(batches):
         sums = {m: np.zeros((3, len(ks) * n_features * width), np.int64) for m, ks in enumerate(wanted) if ks}
-        held: dict[int, list] = {m: [] for m in sums}
-
-        def add(m: int) -> None:
-            """What is held of a model, added to its cells; sums of whole numbers are exact in double precision here."""
-            cell = np.concatenate([c for c, _, _ in held[m]]).ravel()
-            for k in (0, 1):
-                sums[m][k] += np.bincount(cell, np.repeat(np.concatenate([x[k + 1] for x in held[m]]), n_features), sums[m].shape[1]).astype(np.int64)
-            sums[m][2] += np.bincount(cell, minlength=sums[m].shape[1])
-            held[m] = []
-
         for b in batches:
-            for grp, fold, y, w, codes, scores in _lists(b, n_models, n_features):
+            for groups, folds, bounds, y, w, codes, scores in _chunks(b, n_models, n_features):
+                of = np.repeat(np.arange(len(groups)), np.diff(bounds))
                 for m in sums:
-                    if m == fold:
-                        continue
-                    s = scores[m] + sum((t.predict(codes, p.bins) for t in fresh[m]), np.zeros(len(y)))
-                    g, h = gradients(s, y, w, p, grp, number)
                     # wanted nodes are leaves as yet
                     slot = np.full(len(trees[m].feature), -1, np.int64)
                     slot[wanted[m]] = np.arange(len(wanted[m]))
-                    mine = slot[trees[m].leaf_of(codes, p.bins)]
+                    mine = np.where(folds[of] == m, -1, slot[trees[m].leaf_of(codes, p.bins)])
                     rows = np.flatnonzero(mine >= 0)
-                    cell = (mine[rows, None] * n_features + np.arange(n_features)) * width + codes[rows]
-                    held[m].append((cell, np.rint(g[rows] * SCALE), np.rint(h[rows] * SCALE)))
-                    if sum(len(c) for c, _, _ in held[m]) > HELD:
-                        add(m)
+                    # a list is scored whole, but only where one of its rows is asked for
+                    asked = np.unique(of[rows])
+                    lists = np.flatnonzero(np.isin(of, asked))
+                    s, g, h = scores[m].copy(), np.zeros(len(y)), np.zeros(len(y))
+                    s[lists] += sum((t.predict(codes[lists], p.bins) for t in fresh[m]), np.zeros(len(lists)))
+                    for k in asked:
+                        at = slice(bounds[k], bounds[k + 1])
+                        g[at], h[at] = gradients(s[at], y[at], w[at], p, groups[k], number)
+                    # sums of whole numbers are exact in double precision here
+                    cell = ((mine[rows, None] * n_features + np.arange(n_features)) * width + codes[rows]).ravel()
+                    for k, x in enumerate((g, h)):
+                        sums[m][k] += np.bincount(cell, np.repeat(np.rint(x[rows] * SCALE), n_features), sums[m].shape[1]).astype(np.int64)
+                    sums[m][2] += np.bincount(cell, minlength=sums[m].shape[1])
         for m, total in sums.items():
-            if held[m]:
-                add(m)
             at = np.flatnonzero(total[2])
             yield pa.RecordBatch.from_arrays([pa.array(at + m * slots * n_features * width), *(pa.array(x[at]) for x in total)], names=["cell", "g", "h", "n"])
 
@@ -420,11 +430,11 @@ def _rescored(table: DataFrame, model: Model, since: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for _, _, _, _, codes, scores in _lists(b, n_models, n_features):
+            for _, _, bounds, _, _, codes, scores in _chunks(b, n_models, n_features):
                 for m, trees in enumerate(fresh):
                     for t in trees:
                         scores[m] += t.predict(codes, p.bins)
-                out.append(scores.tobytes())
+                out += [scores[:, i:j].tobytes() for i, j in itertools.pairwise(bounds)]
             names = b.schema.names
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if c == "scores" else b.column(k) for k, c in enumerate(names)], names=names)
 
@@ -440,7 +450,8 @@ def train(rows: DataFrame, group: str, key: str, features: list[str], label: str
         raise ValueError(settings.objective)
     edges = bin_edges(rows, features, settings.bins) if edges is None else edges
     model = Model(features, _edge_lists(edges, features), settings, [[] for _ in range(folds)])
-    table = staged(packed(rows.na.fill(0, [label]), group, key, features, model.edges, settings.bins, label, weight, fold), "boost")
+    lists = packed(rows.na.fill(0, [label]), group, key, features, model.edges, settings.bins, label, weight, fold)
+    table = staged(lists.repartition(_shares(rows.sparkSession)), "boost")
     since = 0
     for k in range(settings.trees):
         growing = [_Growing(settings) for _ in range(folds)]
@@ -466,8 +477,8 @@ def out_of_fold(model: Model, table: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             scores = []
-            for _, fold, y, _, _, s in _lists(b, n, len(model.features)):
-                scores.append(s[fold])
+            for _, folds, bounds, _, _, _, s in _chunks(b, n, len(model.features)):
+                scores += [s[fold, i:j] for fold, (i, j) in zip(folds, itertools.pairwise(bounds), strict=True)]
             at = {c: k for k, c in enumerate(b.schema.names)}
             column = lambda c: b.column(at[c])  # noqa: B023, E731
             sizes = [len(s) for s in scores]

@@ -229,3 +229,24 @@ def test_bin_edges_take_all_rows(spark):
     for f, v in want.items():
         edges = np.unique(np.round(np.quantile(v, np.arange(1, 16) / 16), 9))
         assert len(found[f]) == len(edges) and np.allclose(found[f], edges, rtol=0, atol=2e-9)
+
+
+def test_passes_are_dealt_to_tasks(spark):
+    p = bt.Settings(trees=3, bins=8, leaves=3, least_rows=3, keep=2)
+    _, table = bt.train(_sample(spark).coalesce(1), "q", "i", FEATURES, "y", "fold", 3, p)
+    assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_chunks_are_whole_groups(spark, monkeypatch):
+    import pyarrow as pa
+
+    sizes, rng = [3, 0, 5, 1, 9], np.random.default_rng(4)
+    codes = [[rng.integers(0, 9, 2, np.uint8).tobytes() for _ in range(n)] for n in sizes]
+    scores = [rng.normal(size=(3, n)) if n != 5 else None for n in sizes]
+    columns = {"grp": list("abcde"), "fold": pa.array(range(5), pa.int32()), "y": [[float(k)] * n for k, n in enumerate(sizes)], "w": [[1.0] * n for n in sizes], "codes": pa.array(codes, pa.list_(pa.binary())), "scores": [None if x is None else x.tobytes() for x in scores]}
+    batch = pa.record_batch(columns)
+    for held in (1, 4, 8, 100):
+        monkeypatch.setattr(bt, "HELD", held)
+        found = [(g, f, y[i:j].tolist(), c[i:j].tobytes(), s[:, i:j]) for groups, folds, bounds, y, w, c, s in bt._chunks(batch, 3, 2) for g, f, i, j in zip(groups, folds, bounds, bounds[1:], strict=False)]
+        assert [x[:4] for x in found] == [(g, k, [float(k)] * n, b"".join(codes[k])) for k, (g, n) in enumerate(zip("abcde", sizes, strict=True))]
+        assert all(np.array_equal(x[4], np.zeros((3, n)) if s is None else s) for x, n, s in zip(found, sizes, scores, strict=True))
